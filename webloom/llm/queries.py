@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, packing, quality, sharding, token_store
+from . import chat_format, embed_dedup, order_minhash, packing, quality, sharding, substring_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(rows.unionByName(planted)))
 
 
+def op2_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.judge(_table(spark, sf_dir, "documents"), window=35)
+
+
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
@@ -39,12 +43,20 @@ def op5_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, store)
 
 
+def op6_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.classes(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), 1024))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_jump_shards, op4_compression_bands, op5_content_store, op7_binary_packing)}
+    return {f.__name__: f for f in (op1_chat_format, op2_level_doubling, op3_jump_shards, op4_compression_bands, op5_content_store, op6_spherical_cells, op7_binary_packing, op9_order_minhash)}
 
 
 OP1_SQL = r"""
@@ -65,5 +77,39 @@ FROM sized GROUP BY conv_id
 """
 
 
+OP2_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\f\r]+') AS w FROM documents
+), windows AS (
+  SELECT r, i, list_slice(w, i, i + 34) AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM split)
+), twice AS (
+  SELECT r, i FROM windows WHERE hash(s) IN (SELECT hash(s) FROM windows GROUP BY 1 HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT r, i + k AS i FROM twice, (SELECT unnest(range(35)) AS k)
+), words AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (r)
+"""
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), heads AS (SELECT a, min(b) AS head FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, head AS component_id, vec_id = head AS kept
+FROM v JOIN heads ON vec_id = heads.a LEFT JOIN counts ON vec_id = counts.a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_level_doubling": OP2_SQL, "op6_spherical_cells": OP6_SQL}
