@@ -82,22 +82,21 @@ def piece_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-class Encoder:
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+class PieceTable:
+    """Ids of texts that are made of pieces encoded each by itself; keeps the ids of KEEP pieces at most.
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        spec = json.loads(self.tokenizer.to_str())
-        cut = spec.get("pre_tokenizer") or {}
-        if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or spec.get("normalizer"):
-            raise ValueError("a byte-level tokenizer with the usual pattern is expected")
-        self.model = self.tokenizer.model
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        odd = iter(range(256, 512))
-        self.letters = [chr(b) if b in set(plain) else chr(next(odd)) for b in range(256)]
-        self.forget()
+    A subclass says where pieces begin (`cut`), encodes new pieces (`learn`) and whole texts (`plain`).
+    """
+
+    def cut(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, and how many each has."""
+        raise NotImplementedError
+
+    def plain(self, texts: list[str]) -> list[list[int]]:
+        raise NotImplementedError
 
     def forget(self) -> None:
         self.bits = 21
@@ -122,10 +121,7 @@ class Encoder:
         return out
 
     def _learn(self, keys: np.ndarray, checks: np.ndarray, texts: list[str]) -> None:
-        letters, tokenize = self.letters, self.model.tokenize
-        got = [[t.id for t in tokenize("".join([letters[b] for b in x.encode()]))] for x in texts]
-        sizes = np.fromiter(map(len, got), np.int32, len(got))
-        ids = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
+        ids, sizes = self.learn(texts)
         m = len(keys)
         while self.n + m > len(self.keys):
             self.keys, self.checks = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.checks))
@@ -152,7 +148,7 @@ class Encoder:
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         if not len(points):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        starts = piece_starts(points, offsets)
+        starts = self.cut(points, offsets)
         ends = np.append(starts[1:], len(points))
         wide = mix(points.astype(U64) + U64(0x2545F4914F6CDD1D))
         key = []
@@ -173,8 +169,8 @@ class Encoder:
             self._learn(keys[at], checks[at], [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
             entry[miss] = self._find(keys[miss])
         if not np.array_equal(self.checks[entry], checks):
-            # Two pieces share a 64-bit key: the library encodes this batch as a whole.
-            got = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            # Two pieces share a 64-bit key: this batch is encoded without the table.
+            got = self.plain(texts)
             return np.array([i for x in got for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in got])])
         size = self.size[entry].astype(np.int64)
         after = np.cumsum(size)
@@ -182,6 +178,38 @@ class Encoder:
         return ids, np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
 
 
+class Encoder(PieceTable):
+    """A byte-level BPE tokenizer of the tokenizers library."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        spec = json.loads(self.tokenizer.to_str())
+        cut = spec.get("pre_tokenizer") or {}
+        if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or spec.get("normalizer"):
+            raise ValueError("a byte-level tokenizer with the usual pattern is expected")
+        self.model = self.tokenizer.model
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        odd = iter(range(256, 512))
+        self.letters = [chr(b) if b in set(plain) else chr(next(odd)) for b in range(256)]
+        self.forget()
+
+    def cut(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return piece_starts(points, offsets)
+
+    def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        letters, tokenize = self.letters, self.model.tokenize
+        got = [[t.id for t in tokenize("".join([letters[b] for b in x.encode()]))] for x in pieces]
+        sizes = np.fromiter(map(len, got), np.int32, len(got))
+        return np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())), sizes
+
+    def plain(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One per Python worker and file."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embed_dedup, order_minhash, packing, quality, sharding, substring_dedup, token_store
+from . import chat_format, embed_dedup, language_id, order_minhash, packing, quality, sharding, spm_viterbi, substring_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,12 +51,22 @@ def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), 1024))
 
 
+def op8_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding them gives the text back."""
+    whole = spm_viterbi.decode(spm_viterbi.encode(_table(spark, sf_dir, "documents")))
+    return whole.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.char_length("decoded").cast("long").alias("decoded_chars"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(_table(spark, sf_dir, "documents"))
 
 
+def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_level_doubling, op3_jump_shards, op4_compression_bands, op5_content_store, op6_spherical_cells, op7_binary_packing, op9_order_minhash)}
+    return {f.__name__: f for f in (op1_chat_format, op2_level_doubling, op3_jump_shards, op4_compression_bands, op5_content_store, op6_spherical_cells, op7_binary_packing, op8_streaming_viterbi, op9_order_minhash, op10_cross_parsing)}
 
 
 OP1_SQL = r"""
