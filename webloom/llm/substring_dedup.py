@@ -37,6 +37,7 @@ from ._spark import partitions
 U64 = K.U64
 #: Words hashed at a time, and the bits of a position in such a step.
 STEP_WORDS, PLACE_BITS = 1 << 18, 24
+SIEVE = U64((1 << 22) - 1)
 MESSAGE = "grp int, bucket int, one binary, many binary"
 ANSWER = "grp int, hashes binary"
 #: A hash on the last level; the second half tells apart what the first does not.
@@ -89,14 +90,14 @@ class Level:
         for known in answers:
             first = known["a"] if known.dtype == PAIR else known
             sieve = np.zeros(1 << 22, bool)
-            sieve[(first >> U64(42)).astype(np.int64)] = True
+            sieve[(first & SIEVE).astype(np.int64)] = True
             self.sieves.append(sieve)
 
     def _repeats(self, level: int, first: np.ndarray, second) -> np.ndarray:
         """Which hashes are among the answers of a level; second gives the other halves where needed."""
         known = self.answers[level]
         out = np.zeros(len(first), bool)
-        at = np.flatnonzero(self.sieves[level][(first >> U64(42)).astype(np.int64)])
+        at = np.flatnonzero(self.sieves[level][(first & SIEVE).astype(np.int64)])
         if not len(at) or not len(known):
             return out
         pair = known.dtype == PAIR
@@ -185,8 +186,11 @@ def _messages(group: int, entries: list[np.ndarray], kind, buckets: int) -> pa.R
     begin = _runs(every) if len(every) else np.zeros(0, np.int64)
     many = np.diff(np.append(begin, len(every))) > 1
     every = every[begin]
-    first = every["a"] if kind == PAIR else every
+    # Representatives are least hashes, so their high bits are no measure of where they belong.
+    first = K.mix(every["a"] if kind == PAIR else every)
     bucket = ((first >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    every, many, bucket = every[order], many[order], bucket[order]
     cut = np.searchsorted(bucket, np.arange(buckets + 1))
     rows = [[], [], [], []]
     for k in np.flatnonzero(np.diff(cut)).tolist():
