@@ -1,0 +1 @@
+"""A Spark-native engine for auditing and mining websites."""
