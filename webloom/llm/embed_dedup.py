@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from ._kernels import U64, mix
 from ._spark import components, written
 
-SAMPLE, PER_CELL, MAX_CELLS, ROUNDS = 20_000, 1024, 1024, 8
+SAMPLE, PER_CELL, MAX_CELLS, ROUNDS = 20_000, 2048, 1024, 8
 #: Home vectors and visitors in a block, and rows multiplied at a time.
 HOME_BLOCK, VISIT_BLOCK, STRIP = 2048, 8192, 512
 
 
-def matrix(raw: list[bytes]) -> np.ndarray:
-    """Unit vectors in double precision from little-endian double bytes of equal lengths."""
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def matrix(raw: list[bytes], kind: str = "<f8") -> np.ndarray:
+    """Unit vectors in double precision from little-endian bytes of equal lengths."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -66,17 +66,19 @@ def visits(x: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarra
     return home, near & (np.arange(len(centres))[None, :] < home[:, None])
 
 
-def _deal(fit: dict[int, np.ndarray], blocks: dict, radius: float):
+def _deal(fit: dict[int, np.ndarray], blocks: dict, radius: float, kind: str):
     """Copies of each vector for the tasks it has a part in; blocks: home and visitor blocks of (length, cell)."""
 
+    width = int(kind[-1])
+
     def run(batches):
         for batch in batches:
             node, weight, raw = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_pylist()
-            sizes = np.array([len(r) // 8 for r in raw])
+            sizes = np.array([len(r) // width for r in raw])
             take, unit, side = [], [], []
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                x = matrix([raw[i] for i in at])
+                x = matrix([raw[i] for i in at], kind)
                 home, seen = visits(x, fit[size], radius) if size in fit else (np.zeros(len(at), int), np.zeros((len(at), 1), bool))
                 salt = mix(node[at].astype(U64))
                 for cell in np.unique(home).tolist():
@@ -147,13 +149,13 @@ class Forest:
             i, j = i[apart], j[apart]
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     def run(table):
         side = table.column("side").to_numpy()
         node, weight = table.column("node").to_numpy(), table.column("weight").to_numpy()
-        kind, i, j = table.column("unit")[0].as_py().split("/")[2:]
-        x = matrix(table.column("raw").to_pylist())
-        same = kind == "h" and i == j
+        part, i, j = table.column("unit")[0].as_py().split("/")[2:]
+        x = matrix(table.column("raw").to_pylist(), kind)
+        same = part == "h" and i == j
         left = np.arange(len(x)) if same else np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
         count, forest = np.zeros(len(x), np.int64), Forest(len(x))
@@ -169,29 +171,36 @@ def _compare(threshold: float):
     return run
 
 
-def _bytes(batches):
-    """Vectors as double bytes; what can't be compared is null."""
-    for batch in batches:
-        out = []
-        for v in batch.column(1).to_pylist():
-            x = np.array(v, dtype=np.float64) if v and None not in v else np.zeros(1)
-            norm = np.linalg.norm(x)
-            out.append(x.tobytes() if np.isfinite(norm) and norm > 0 else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "raw"])
+def _bytes(kind: str):
+    def run(batches):
+        """Vectors as bytes of their own precision; what can't be compared is null."""
+        for batch in batches:
+            out = []
+            for v in batch.column(1).to_pylist():
+                x = np.array(v, dtype=kind) if v and None not in v else np.zeros(1)
+                norm = np.linalg.norm(x.astype(np.float64))
+                out.append(x.tobytes() if np.isfinite(norm) and norm > 0 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "raw"])
+
+    return run
 
 
 def classes(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     radius = math.sqrt(2 - 2 * threshold) + 1e-9
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_bytes, "vec_id long, raw binary")
+    # Vectors travel in the precision they came in; all arithmetic on them is in double.
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+    width = int(kind[-1])
+    wide = "array<float>" if width == 4 else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(wide).alias("embedding")).mapInArrow(_bytes(kind), "vec_id long, raw binary")
     rows = written(rows.withColumn("node", F.xxhash64("raw")), "vectors")
     nodes = written(rows.where("raw is not null").groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("raw").alias("raw")), "nodes")
 
     n = nodes.count()
     sample = [bytes(r.raw) for r in nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("raw").collect()]
     fit = {}
-    for size in {len(r) // 8 for r in sample}:
-        x = matrix([r for r in sample if len(r) == 8 * size])
+    for size in {len(r) // width for r in sample}:
+        x = matrix([r for r in sample if len(r) == width * size], kind)
         k = max(1, min(MAX_CELLS, math.ceil(n * len(x) / len(sample) / PER_CELL), len(x)))
         fit[size] = spherical_kmeans(x, k)
 
@@ -200,13 +209,13 @@ def classes(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         found: dict[tuple, int] = {}
         for batch in batches:
             raw = batch.column(0).to_pylist()
-            sizes = np.array([len(r) // 8 for r in raw])
+            sizes = np.array([len(r) // width for r in raw])
             for size in np.unique(sizes).tolist():
-                x = matrix([raw[i] for i in np.flatnonzero(sizes == size)])
+                x = matrix([raw[i] for i in np.flatnonzero(sizes == size)], kind)
                 home, seen = visits(x, fit[size], radius) if size in fit else (np.zeros(len(x), int), np.zeros((len(x), 1), bool))
-                for kind, counts in (("h", np.bincount(home)), ("v", seen.sum(axis=0))):
+                for part, counts in (("h", np.bincount(home)), ("v", seen.sum(axis=0))):
                     for cell in np.flatnonzero(counts).tolist():
-                        found[size, cell, kind] = found.get((size, cell, kind), 0) + int(counts[cell])
+                        found[size, cell, part] = found.get((size, cell, part), 0) + int(counts[cell])
         keys = list(found)
         yield pa.RecordBatch.from_pydict({"size": [k[0] for k in keys], "cell": [k[1] for k in keys], "kind": [k[2] for k in keys], "n": [found[k] for k in keys]}, pa.schema([("size", pa.int32()), ("cell", pa.int32()), ("kind", pa.string()), ("n", pa.int64())]))
 
@@ -216,8 +225,8 @@ def classes(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     for r in counted:
         blocks.setdefault((r["size"], r["cell"]), [1, 1])[r["kind"] == "v"] = max(1, math.ceil(r["n"] / (VISIT_BLOCK if r["kind"] == "v" else HOME_BLOCK)))
 
-    dealt = nodes.select("node", "weight", "raw").mapInArrow(_deal(fit, {k: tuple(v) for k, v in blocks.items()}, radius), "unit string, side int, node long, weight long, raw binary")
-    met = written(dealt.groupBy("unit").applyInArrow(_compare(threshold), "node long, root long, links long"), "links")
+    dealt = nodes.select("node", "weight", "raw").mapInArrow(_deal(fit, {k: tuple(v) for k, v in blocks.items()}, radius, kind), "unit string, side int, node long, weight long, raw binary")
+    met = written(dealt.groupBy("unit").applyInArrow(_compare(threshold, kind), "node long, root long, links long"), "links")
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))
 
     ids = nodes.select("node", "least")
