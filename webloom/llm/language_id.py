@@ -83,23 +83,25 @@ class Model:
         self.languages = sorted(texts)
         learned = {k: normalised([" ".join(texts[k])])[0] for k in self.languages}
         seen = np.unique(np.concatenate([*learned.values(), np.zeros(0, np.uint8)]))
-        # Class 0 ends a segment, class 1 is any byte that was not learned.
-        self.classes = np.ones(256, np.uint8)
-        self.classes[seen] = np.arange(len(seen)) + 2
-        self.width = len(seen) + 2
+        # Class 0 is any byte that was not learned.
+        self.classes = np.zeros(256, np.uint8)
+        self.classes[seen] = np.arange(len(seen)) + 1
+        self.width = len(seen) + 1
         tables, self.roots, base = [], [], 0
         for k in self.languages:
             to = automaton(learned[k])
-            root = np.full(self.width, base * self.width, np.int32) | _MISS
+            # After a byte that was not learned - a phrase of its own - the state is `dead`, from which any byte begins anew.
+            dead = (base + len(to)) * self.width
+            anew = np.full(self.width, dead, np.int32) | _MISS
             for c, state in to[0].items():
-                root[self.classes[c]] = ((base + state) * self.width) | _MISS
-            table = np.tile(root, (len(to), 1))
-            state, c, following = (np.array(x, np.int64) for x in zip(*((s, self.classes[c], t) for s, row in enumerate(to) for c, t in row.items()))) if len(to) > 1 else (np.zeros(0, np.int64),) * 3
-            table[state, c] = (base + following) * self.width
-            table[:, 0] = base * self.width
+                anew[self.classes[c]] = ((base + state) * self.width) | _MISS
+            table = np.tile(anew, (len(to) + 1, 1))
+            table[0] = dead  # a segment's first phrase is open from the start
+            moves = np.array([(s, self.classes[c], t) for s, row in enumerate(to) for c, t in row.items()], np.int64).reshape(-1, 3)
+            table[moves[:, 0], moves[:, 1]] = (base + moves[:, 2]) * self.width
             tables.append(table)
             self.roots.append(base * self.width)
-            base += len(to)
+            base += len(to) + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.weights = np.array([np.log2(max(len(learned[k]), 2)) for k in self.languages])
 
