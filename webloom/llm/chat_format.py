@@ -28,7 +28,7 @@ TURNS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system":
 ROLE, TEXT, END = "<|role|>", "<|text|>", "<|end|>"
 CONTROL = re.compile(r"\[\\*/?INST\]|<\\*/?s>|<\\*</?SYS>>|<\\*\|(?:role|text|end)\|>")
 _BARE = re.compile(r"\[/?INST\]|</?s>|<</?SYS>>|<\|(?:role|text|end)\|>")
-_ESCAPED = re.compile(r"([\[<])\\(?=\\*(?:/?INST\]|/?s>|</?SYS>>|\|(?:role|text|end)\|>))")
+_ESCAPED = re.compile(r"\[\\(?=\\*/?INST\])|<\\(?=\\*(?:/?s>|</?SYS>>|\|(?:role|text|end)\|>))")
 
 SCHEMA = "conv_id long, n_turns long, formatted string, loss_starts array<long>, loss_ends array<long>"
 
@@ -38,7 +38,7 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(lambda m: m[0][0], text)
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
