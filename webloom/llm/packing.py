@@ -17,22 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernels import STEP_BYTES, batch_rows
+from ._kernels import STEP_BYTES, batch_rows, flat, steps
 from .bpe import default_path, encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
 def text_steps(batch: pa.RecordBatch, names: list[str], limit: int = STEP_BYTES):
-    """Slices of a batch with about `limit` characters of text each, so that memory is bounded by one document."""
-    texts = batch_rows(batch, names[-1]).to_pylist()
-    ids = batch_rows(batch, names[0])
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit or i + 1 == len(texts):
-            yield ids.slice(begin, i + 1 - begin), [x or "" for x in texts[begin : i + 1]]
-            begin, size = i + 1, 0
+    """Slices of a batch with at most `limit` bytes of text each (or one longer text), so that memory is bounded."""
+    texts, ids = batch_rows(batch, names[-1]), batch_rows(batch, names[0])
+    for i, j in steps(flat(texts)[1], limit):
+        yield ids.slice(i, j - i), [x or "" for x in texts.slice(i, j - i).to_pylist()]
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,6 @@ repeated rows need no rule; an empty table gives no rows; other columns are igno
 from __future__ import annotations
 
 import functools
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _kernels as K
 from ._kernels import U64, mix, powers
 from .bpe import PieceTable
 from .packing import text_steps
@@ -251,38 +251,45 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, text, n_tokens, ids (little-endian uint32)."""
+def _payload(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((4 * offsets).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))]).cast(pa.binary())
+
+
+def encode(docs: DataFrame, path: str | None = None, check: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian uint32); check: also decoded_chars and round_trip.
+
+    The check decodes the ids again where they were made, and compares the bytes of text and decoded text.
+    """
     path = path or default_path()
 
     def run(batches):
         for batch in batches:
             for doc_ids, texts in text_steps(batch, ["doc_id", "text"]):
                 ids, offsets = encoder(path).encode_texts(texts)
-                payload = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer((4 * offsets).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(texts, pa.string()), pa.array(np.diff(offsets).astype(np.int64)), payload], names=["doc_id", "text", "n_tokens", "ids"])
+                columns = [doc_ids, pa.array(np.diff(offsets).astype(np.int64)), _payload(ids, offsets)]
+                names = ["doc_id", "n_tokens", "ids"]
+                if check:
+                    data, ends = encoder(path).decode_flat(ids.astype(np.int64), offsets)
+                    back = [data[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                    columns += [pa.array([len(x.decode("utf-8", "replace")) for x in back], pa.int64()), pa.array([x == t.encode() for x, t in zip(back, texts)], pa.bool_())]
+                    names += ["decoded_chars", "round_trip"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, n_tokens long, ids binary")
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded_chars long, round_trip boolean" * check
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """encoded (doc_id, text, n_tokens, ids) with `decoded`."""
+    """doc_id, decoded of rows (doc_id, ids)."""
     path = path or default_path()
 
     def run(batches):
         for batch in batches:
-            raw = batch.column(3).to_pylist()
-            # A few documents at a time bound the memory.
-            for i in range(0, len(raw), 256):
-                some = raw[i : i + 256]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in some])])
-                data, ends = encoder(path).decode_flat(np.frombuffer(b"".join(some), "<u4").astype(np.int64), offsets)
-                text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary()).cast(pa.string())
-                part = batch.slice(i, len(some))
-                yield pa.RecordBatch.from_arrays([*part.columns, text], names=["doc_id", "text", "n_tokens", "ids", "decoded"])
-
-    return encoded.mapInArrow(run, "doc_id long, text string, n_tokens long, ids binary, decoded string")
-
-
-def crc32(ids: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
+            data, offsets = K.flat(batch.column(1))
+            for i, j in K.steps(offsets):
+                ids = data[offsets[i] : offsets[j]].view("<u4").astype(np.int64)
+                out, ends = encoder(path).decode_flat(ids, (offsets[i : j + 1] - offsets[i]) // 4)
+                text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(out))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), text.cast(pa.binary()).cast(pa.string())], names=["doc_id", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
