@@ -197,6 +197,7 @@ def test_round_trip_whole_table(spark, sf):
     rows = queries.op8_streaming_viterbi(spark, sf).collect()
     assert len(rows) == docs_of(spark, sf).count() and all(r.round_trip for r in rows)
     odd = spark.createDataFrame([(1, None, 3), (None, "", 3), (2, "x" * 100000, 3), (2, " a  ▁b\n", 3)], "doc_id long, text string, ids int")
+    assert all(r.round_trip for r in spm_viterbi.encode(odd, check=True).collect())
     got = {(r.doc_id, r.decoded) for r in spm_viterbi.decode(spm_viterbi.encode(odd)).collect()}
     assert got == {(1, ""), (None, ""), (2, "x" * 100000), (2, " a  ▁b\n")}
     assert spm_viterbi.encode(odd.limit(0)).count() == 0
