@@ -336,3 +336,40 @@ def test_models_and_suggestions(spark):
 def test_seed_files(spark, tmp_path):
     (tmp_path / "s.txt").write_text("a.example\n\n  http://b.example  \n")
     assert [r.url for r in seeds.read_seed_file(spark, str(tmp_path / "s.txt")).collect()] == ["https://a.example", "http://b.example"]
+
+
+def test_analysis_can_be_called_off(spark):
+    from webloom.plans import jobs
+
+    done = jobs.Analysis(spark, lambda: spark.range(10), lambda df: df.count())
+    assert done.wait(60) == "finished" and done.result == 10
+    endless = jobs.Analysis(spark, lambda: spark.range(1 << 40).selectExpr("sum(id % 7) AS s"), lambda df: df.collect())
+    import time
+
+    time.sleep(2)
+    assert 0 <= jobs.progress(spark) <= 1
+    endless.cancel()
+    assert endless.wait(20) == "cancelled"
+    assert jobs.Analysis(spark, lambda: spark.range(1), lambda df: 1 / 0).wait(60) == "failed"
+
+
+def test_stream_pauses_and_goes_on(spark, tmp_path):
+    rows = crawl_rows(spark, {"title": "x"}).select("url", "title")
+    rows.write.parquet(str(tmp_path / "in"))
+    got = []
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    query = events.follow(stream(), str(tmp_path / "state"), lambda df, n: got.extend(df.collect()))
+    query.processAllAvailable()
+    query.stop()
+    rows.withColumn("title", F.lit("y")).write.mode("append").parquet(str(tmp_path / "in"))
+    query = events.follow(stream(), str(tmp_path / "state"), lambda df, n: got.extend(df.collect()))
+    query.processAllAvailable()
+    query.stop()
+    assert [r.title for r in got] == ["x", "y"]
+
+
+def test_json_tokens():
+    from webloom.sources import structured
+
+    text = '{"a": ["b\\"", -1.5e3, true]}'
+    assert [(text[a:b], k) for a, b, k in structured.tokens(text)] == [('"a"', "key"), ('"b\\""', "string"), ("-1.5e3", "number"), ("true", "word")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,6 +104,18 @@ def pretty(block: str) -> str:
         return block
 
 
+_TOKEN = re.compile(r'(?P<text>"(?:\\.|[^"\\])*")(?P<colon>\s*:)?|(?P<number>-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<word>\b(?:true|false|null)\b)')
+
+
+def tokens(block: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the keys, strings, numbers and words of a JSON text, for showing it."""
+    found = []
+    for m in _TOKEN.finditer(block):
+        kind = "number" if m["number"] else "word" if m["word"] else "key" if m["colon"] else "string"
+        found.append((m.start(), m.end("text") if m["text"] else m.end(), kind))
+    return found
+
+
 def combined(blocks: Column) -> Column:
     """All valid blocks as one JSON text: one as itself, several as an array; null if there is none."""
     valid = F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull())

@@ -6,9 +6,11 @@ Every function takes a static or a streaming DataFrame; `drain` runs a stream ov
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from webloom.operators import dashboard, links
 
@@ -80,3 +82,12 @@ def upsert(current: DataFrame | None, batch: DataFrame) -> DataFrame:
 def merge_inlinks(spark: SparkSession, rows: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows with inlinks whichever of row and link came first: a batch join over what both streams have written."""
     return links.with_inlinks(rows, edges)
+
+
+def follow(stream: DataFrame, place: str, put: Callable[[DataFrame, int], None], mode: str = "append", every: str = "1 second") -> StreamingQuery:
+    """A stream that hands each micro-batch to `put`, with its state in `place`.
+
+    Stopping the query is a pause: the same call with the same place goes on where it stopped. Sources bound what one batch takes
+    (maxFilesPerTrigger), which is the back-pressure.
+    """
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", place).trigger(processingTime=every).foreachBatch(put).start()
