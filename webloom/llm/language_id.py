@@ -5,7 +5,7 @@ the longest match that the automaton has from here on, then the next begins. A t
 about phrases * log2(length of the language's text) / length of the text (Ziv and Merhav, 1993), so the language that
 needs fewest normalised phrases wins.
 
-Fitting uses a bounded sample: per language the PER_LANGUAGE rows with the least hash of doc_id, of these whole texts
+Fitting uses a bounded sample: of the LANGUAGES with most rows, per language the PER_LANGUAGE rows with the least hash of doc_id, of these whole texts
 up to CHARS bytes together (TOTAL over all languages). Prediction reads every whole text. Both see texts in lower
 case, each run of other than letters as one space. A phrase also ends every SEGMENT bytes, which is the same for all
 languages; segments of many texts are parsed side by side, one numpy step per byte of a segment and all languages.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import _kernels as K
 
-PER_LANGUAGE, CHARS, TOTAL, SEGMENT = 200, 24_000, 400_000, 256
+LANGUAGES, PER_LANGUAGE, CHARS, TOTAL, SEGMENT = 256, 200, 24_000, 400_000, 256
 UNKNOWN = "und"
 _MISS = np.int32(1 << 30)
 
@@ -146,12 +146,15 @@ def fit(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, ch
     rows = docs.where(learnable & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= chars))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # Only ids move to be ranked, and each task passes on no more than it may keep; then per_language texts a language.
-    chosen = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    sample = rows.join(F.broadcast(chosen.select("doc_id", "lang", "rank")), ["doc_id", "lang"]).select("lang", "rank", "doc_id", "text").collect()
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    known = rows.select("doc_id", "lang").join(F.broadcast(common), "lang")
+    chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).groupBy("doc_id", "lang").agg(F.min("rank").alias("rank"))
+    # One text for a doc_id, however many rows repeat it.
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "rank").agg(F.min("text").alias("text")).collect()
     texts: dict[str, list[str]] = {}
     used: dict[str, int] = {}
     most = min(chars, total // max(1, len({r["lang"] for r in sample})))
-    for r in sorted(sample, key=lambda r: (r["lang"], r["rank"], r["text"])):
+    for r in sorted(sample, key=lambda r: (r["lang"], r["rank"])):
         size = len(r["text"].encode())
         if used.get(r["lang"], 0) + size <= most:
             texts.setdefault(r["lang"], []).append(r["text"])
