@@ -271,6 +271,23 @@ def test_near_duplicates_odd_rows(spark):
     assert order_minhash.classes(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_large_family(spark, monkeypatch):
+    """Members that no lead of a bucket is near to are linked without further rounds too."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+
+    def edited(words, n):
+        w = list(words)
+        for at in rng.sample(range(60), n):
+            w[at] = f"e{rng.randint(0, 2)}"
+        return w
+
+    rows = [(k, " ".join(edited(base, rng.randint(1, 4)))) for k in range(150)]
+    monkeypatch.setattr(order_minhash, "ROUNDS", 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in order_minhash.classes(df).collect()} == brute_classes(rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=80, unique=True), st.lists(st.tuples(st.integers(0, 79), st.integers(0, 30)), max_size=8))
 def test_band_loses_no_alignment(a, edits):

@@ -17,7 +17,9 @@ Scale: copies of one text are one node from the start, found by a hash that is s
 does not make all its pairs: its least and its greatest node are compared with each member, so candidates grow with
 the members, and as texts share many buckets with different members, links join through many of them. Where a bucket
 still holds several components, its nodes meet again in up to ROUNDS rounds under pairs of sketches and with other
-ends, until a round finds no link. Joins on buckets
+ends, which only makes components grow at little cost. What is left in buckets of several components is then searched
+exactly: a prefix-filtered join over their shingles (Chaudhuri et al., 2006; Xiao et al., 2008) gives all pairs of
+different components that can be at the threshold, and each is verified. Joins on buckets, shingles
 and nodes are plain equi-joins, whose large partitions Spark splits. Only texts of nodes with a candidate go on to be
 aligned. Nothing is collected to the driver.
 
@@ -32,7 +34,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _kernels as K
@@ -185,8 +187,42 @@ def _paired(step: int) -> Column:
     return F.transform("sketch", lambda x, i: F.xxhash64(x, F.get("sketch", F.pmod(i + step, F.lit(SKETCHES)))))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, component_id (the least doc_id of its group), kept."""
+def _shingled(batches):
+    for batch in batches:
+        data, offsets_all = K.flat(batch.column(2))
+        for i, j in K.steps(offsets_all):
+            offsets = offsets_all[i : j + 1]
+            values, at = labelled(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(at).astype(np.int64)), lists], names=["node", "root", "size", "shingles"])
+
+
+def _possible(texts: DataFrame, left: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes of left (node, root) of different roots that can be at the threshold, and few others.
+
+    Shingles have one order for all nodes: first those of one component only, which no pair has in common, then the
+    rest, rare ones first. Two texts at the threshold share a shingle among the first of each (its prefix), and after the first
+    that they share enough must be left on both sides.
+    """
+    p, q = THRESHOLD
+    listed = written(texts.join(left, "node").select("node", "root", "text").mapInArrow(_shingled, "node long, root long, size long, shingles array<long>"), "shingles")
+    each = listed.select("node", "root", "size", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select(F.col("shingle").alias("s"), "n")
+    own = Window.partitionBy("node")
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "shingle"))
+    placed = each.join(common, F.col("shingle") == F.col("s")).select("node", "root", "size", "shingle", place.alias("place"))
+    prefix = written(placed.where(f"place <= size - div({p} * size + {q - 1}, {q}) + 1"), "prefixes")
+    # The component with most nodes of a shingle is met by the others only, not by itself.
+    of = prefix.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    others = prefix.join(of, "shingle").where("root <> most").select("shingle", *(F.col(c).alias(f"{c}_o") for c in ("node", "root", "size", "place")))
+    fits = f"{q} * least(size, size_o) >= {p} * greatest(size, size_o)"
+    enough = f"{p + q} * (1 + least(size - place, size_o - place_o)) >= {p} * (size + size_o)"
+    met = others.join(prefix, "shingle").where("root <> root_o").where(fits).where(enough)
+    return met.select(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b")).distinct()
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, node, has: whether there is a word), the nodes with words (node, least) and the linked ones (node, root)."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("node"), text.alias("text"))
     sketched = written(rows.mapInArrow(_sketched, "doc_id long, node long, sketch array<long>, size long"), "sketches")
@@ -205,7 +241,7 @@ def classes(docs: DataFrame) -> DataFrame:
     roots = components(links, "near")
 
     # A link that was not met yet is between nodes of a bucket that holds several components. Their sketches are met again
-    # two by two, which parts dissimilar texts, with other ends of the buckets in each round, until a round adds nothing.
+    # two by two, which parts dissimilar texts, with other ends of the buckets in each round, while rounds add links.
     left = _apart(shared, roots).select("node").distinct()
     left = written(single.join(left, "node", "left_semi"), "left")
     texts = written(texts.join(left, "node", "left_semi"), "texts")
@@ -221,6 +257,16 @@ def classes(docs: DataFrame) -> DataFrame:
         if links.isEmpty():
             break
         roots, tested = _merged(roots, links), tested.unionByName(pairs)
+
+    # What no lead was near to: every pair of components that can still be linked.
+    left = written(_apart(shared, roots).select("node", "root").distinct(), "left")
+    pairs = written(_possible(texts, left).join(tested, ["a", "b"], "left_anti"), "pairs")
+    return narrow, nodes, _merged(roots, _verify(pairs, texts))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, component_id (the least doc_id of its group), kept."""
+    narrow, nodes, roots = _grouped(docs)
     joined = roots.join(nodes, "node").select("node", "root", "least")
     heads = joined.groupBy("root").agg(F.min("least").alias("head"))
     named = joined.join(heads, "root").select(F.col("node").alias("n"), "head")
