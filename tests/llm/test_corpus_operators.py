@@ -288,6 +288,17 @@ def test_near_duplicates_of_a_large_family(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in order_minhash.classes(df).collect()} == brute_classes(rows)
 
 
+def test_near_duplicates_go_by_row(spark):
+    near = " ".join(f"w{k}" for k in range(60))
+    other, third = " ".join(f"v{k}" for k in range(60)), " ".join(f"u{k}" for k in range(60))
+    # 1: a null row near a document; 2: a null row of its own text; 3 and 4: an id of two texts; 5: repeats of an id or of null.
+    rows = [(1, near, "1"), (None, near + " x", "1"), (None, other, "2"), (5, near + " y", "3"), (5, third, "4"), (6, "a b c", "5"), (6, "a b c", "5"), (None, "d e", "6"), (None, "d e", "6"), (None, None, "7"), (None, None, "7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    kept = order_minhash.keep_one(df)
+    assert kept.schema == df.schema
+    assert Counter(tuple(r) for r in kept.collect()) == Counter([rows[0], rows[2], rows[4], rows[5], rows[7], rows[9], rows[10]])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=80, unique=True), st.lists(st.tuples(st.integers(0, 79), st.integers(0, 30)), max_size=8))
 def test_band_loses_no_alignment(a, edits):

@@ -277,6 +277,24 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs of one document of each group, with all their columns as they are."""
-    dropped = classes(docs).where("not kept").select(F.col("doc_id").alias("_wl_gone")).distinct()
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_wl_gone")), "left_anti")
+    """The rows of docs that stay, with all their columns as they are: one row of each group, and all rows without words.
+
+    Rows are told apart by doc_id and text, so that a row goes only for its own text. The row that stays is of the least
+    doc_id, null last, and of the least hash of a text among those; of rows equal in both one stays.
+    """
+    narrow, nodes, roots = _grouped(docs)
+    keys = narrow.where("has").groupBy("doc_id", "node").agg(F.count("*").alias("n"))
+    least = keys.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("head"))
+    of = least.join(roots.withColumnsRenamed({"node": "r"}), F.col("node") == F.col("r"), "left").select(F.col("node").alias("w"), F.coalesce("root", "node").alias("root"), "head")
+    heads = of.select("w", "root").join(of.groupBy("root").agg(F.min("head").alias("head")), "root").select("w", "head")
+    first = (F.col("node") == F.col("head.node")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
+    judged = written(keys.join(heads, F.col("node") == F.col("w")).select(F.col("doc_id").alias("_wl_id"), F.col("node").alias("_wl_of"), "n", first.alias("first")), "judged")
+    named = docs.withColumn("_wl_node", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_wl_id")) & (F.col("_wl_node") == F.col("_wl_of"))
+    out = named.join(judged.where("not first"), own, "left_anti")
+    again = judged.where("first and n > 1")
+    if not again.isEmpty():
+        # dropDuplicates takes all columns of one row; only rows that are there several times move.
+        one = out.join(again, own, "left_semi").withColumn("_wl_id", F.col("doc_id").cast("long")).dropDuplicates(["_wl_id", "_wl_node"]).drop("_wl_id")
+        out = out.join(again, own, "left_anti").unionByName(one)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
