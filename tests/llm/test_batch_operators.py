@@ -185,3 +185,19 @@ def test_store(spark, sf, odd, tmp_path):
     assert len(names) == len(set(names))
     empty = token_store.write(docs.limit(0), str(tmp_path / "empty"))
     assert token_store.read_digests(spark, empty).count() == 0
+
+
+def test_noise_and_half_noise_are_dropped(spark, sf):
+    import random
+    import string
+
+    rng = random.Random(8)
+
+    def noise(size, letters=string.ascii_letters + string.digits):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 10))) for _ in range(size // 7 + 9))[:size]
+
+    prose = max((t for _, t in texts_of(spark, sf) if t and t.isascii() and quality.compression(memoryview(t.encode()), __import__("zstandard").ZstdCompressor(level=3))[3]), key=len)
+    texts = [noise(600), noise(1100), noise(1600), noise(5000), noise(1600, string.ascii_lowercase), noise(5000, "0123456789abcdef"), prose + noise(len(prose) // 3), prose]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(prose) > 3 * quality.CHUNK
+    assert [r.kept for r in quality.judge(df).orderBy("doc_id").collect()] == [False] * 7 + [True]
