@@ -365,6 +365,27 @@ def test_languages_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(df.where("lang is null")).collect()} == {"und"}
 
 
+def test_languages_of_long_texts_and_many(spark, monkeypatch):
+    """A language has training text however long its texts are and however many languages there are."""
+    rows = [(k, "12 " * 9000 + "the house and the garden " * 2000, "en") for k in range(5)] + [(10 + k, "la maison et le jardin avec " * 2000, "fr") for k in range(5)]
+    words = {f"l{n:02}": " ".join(chr(97 + (n * 7 + k * k) % 26) * (1 + k % 3) + chr(97 + n % 26) for k in range(9000)) for n in range(20)}
+    rows += [(100 + 10 * n + k, t, lang) for n, (lang, t) in enumerate(words.items()) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, F.lit(True))
+    assert model.languages == sorted({"en", "fr", *words})
+    assert (model.weights > np.log2(20_000)).all()
+    assert model.predict(["the garden and the house", "le jardin et la maison"])[0] == ["en", "fr"]
+
+
+def test_sparse_moves_equal_the_full_table(monkeypatch):
+    texts = {"a": ["the cat sat on the mat and the dog"], "b": ["le chat est sur la table et le chien"], "c": ["élan ñandú"]}
+    data, offsets = language_id.normalised(["the chat sat on la mat", "xyz", "élan the the", "", "a" * 1000, "q the dog ñ le"])
+    full = language_id.Model(texts)
+    monkeypatch.setattr(language_id, "FULL", 0)
+    sparse = language_id.Model(texts)
+    assert full.full and not sparse.full and np.array_equal(full.phrases(data, offsets), sparse.phrases(data, offsets))
+
+
 # Pipeline.
 
 

@@ -5,8 +5,8 @@ the longest match that the automaton has from here on, then the next begins. A t
 about phrases * log2(length of the language's text) / length of the text (Ziv and Merhav, 1993), so the language that
 needs fewest normalised phrases wins.
 
-Fitting uses a bounded sample: of the LANGUAGES with most rows, per language the PER_LANGUAGE rows with the least hash of doc_id, of these whole texts
-up to CHARS bytes together (TOTAL over all languages). Prediction reads every whole text. Both see texts in lower
+Fitting uses a bounded sample: of the LANGUAGES with most rows, per language the PER_LANGUAGE lettered rows with the least hash of doc_id, of these the texts from their first letter on
+up to CHARS bytes together, the last one cut: the same for any number of languages and any length. Prediction reads every whole text. Both see texts in lower
 case, each run of other than letters as one space. A phrase also ends every SEGMENT bytes, which is the same for all
 languages; segments of many texts are parsed side by side, one numpy step per byte of a segment and all languages.
 
@@ -25,9 +25,12 @@ from pyspark.sql import functions as F
 
 from . import _kernels as K
 
-LANGUAGES, PER_LANGUAGE, CHARS, TOTAL, SEGMENT = 256, 200, 24_000, 400_000, 256
+LANGUAGES, PER_LANGUAGE, CHARS, SEGMENT = 256, 200, 24_000, 256
+#: Entries of a full table of moves; models that need more keep the moves that there are, sorted by state.
+FULL = 1 << 25
 UNKNOWN = "und"
 _MISS = np.int32(1 << 30)
+_LETTERED = r"\p{L}"
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -87,24 +90,52 @@ class Model:
         self.classes = np.zeros(256, np.uint8)
         self.classes[seen] = np.arange(len(seen)) + 1
         self.width = len(seen) + 1
-        tables, self.roots, base = [], [], 0
+        built, self.roots, base = [], [], 0
         for k in self.languages:
             to = automaton(learned[k])
-            # After a byte that was not learned - a phrase of its own - the state is `dead`, from which any byte begins anew.
-            dead = (base + len(to)) * self.width
-            anew = np.full(self.width, dead, np.int32) | _MISS
-            for c, state in to[0].items():
-                anew[self.classes[c]] = ((base + state) * self.width) | _MISS
-            table = np.tile(anew, (len(to) + 1, 1))
-            table[0] = dead  # a segment's first phrase is open from the start
             moves = np.array([(s, self.classes[c], t) for s, row in enumerate(to) for c, t in row.items()], np.int64).reshape(-1, 3)
-            table[moves[:, 0], moves[:, 1]] = (base + moves[:, 2]) * self.width
-            tables.append(table)
-            self.roots.append(base * self.width)
+            built.append((base, len(to), moves))
             base += len(to) + 1
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.full = base * self.width <= FULL
+        scale = self.width if self.full else 1
+        self.roots = np.array([b * scale for b, _, _ in built], np.int32)
+        # After a byte that was not learned - a phrase of its own - the state is `dead`, from which any byte begins anew.
+        self.dead = np.array([(b + n) * scale for b, n, _ in built], np.int32)
+        self.anew = np.repeat((self.dead | _MISS)[:, None], self.width, axis=1)
+        for own, (b, _, moves) in zip(self.anew, built):
+            first = moves[moves[:, 0] == 0]
+            own[first[:, 1]] = ((b + first[:, 2]) * scale) | _MISS
+        if self.full:
+            tables = []
+            for own, dead, (b, n, moves) in zip(self.anew, self.dead, built):
+                table = np.tile(own, (n + 1, 1))
+                table[0] = dead  # a segment's first phrase is open from the start
+                table[moves[:, 0], moves[:, 1]] = (b + moves[:, 2]) * self.width
+                tables.append(table)
+            self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        else:
+            sorted_moves = [(b, m[np.lexsort((m[:, 1], m[:, 0]))]) for b, _, m in built]
+            state = np.concatenate([b + m[:, 0] for b, m in sorted_moves])
+            self.on = np.concatenate([m[:, 1] for _, m in sorted_moves]).astype(np.int16)
+            self.to = np.concatenate([b + m[:, 2] for b, m in sorted_moves]).astype(np.int32)
+            self.first = np.searchsorted(state, np.arange(base + 1)).astype(np.int32)
+            self.halvings = int(np.diff(self.first).max()).bit_length()
         self.weights = np.array([np.log2(max(len(learned[k]), 2)) for k in self.languages])
 
+    def _moved(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The entries of states (a row a language) on classes c: from the full table, or by halving a state's sorted moves."""
+        if self.full:
+            return self.table[state + c]
+        low, end = self.first[state], self.first[state + 1]
+        high, last = end, len(self.on) - 1
+        for _ in range(self.halvings):
+            middle = (low + high) >> 1
+            less = (low < high) & (self.on[np.minimum(middle, last)] < c)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        at = np.minimum(low, last)
+        missed = np.where(state == self.roots[:, None], self.dead[:, None], self.anew[:, c])
+        return np.where((low < end) & (self.on[at] == c), self.to[at], missed)
+
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases that each text (rows) needs in each language (columns)."""
         counts = np.diff(offsets)
@@ -116,11 +147,11 @@ class Model:
         order = np.argsort(-size, kind="stable")
         begin, size, doc = begin[order], size[order], doc[order]
         c = np.append(self.classes[data], 0)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(begin), axis=1)
+        state = np.repeat(self.roots[:, None], len(begin), axis=1)
         ended = np.ones((len(self.languages), len(begin)), np.int32)
         for step in range(int(size.max(initial=0))):
             live = int(np.searchsorted(-size, -step, side="left"))  # longer ones stand first
-            entry = self.table[state[:, :live] + c[begin[:live] + step].astype(np.int32)]
+            entry = self._moved(state[:, :live], c[begin[:live] + step].astype(np.int32))
             ended[:, :live] += entry >> 30
             state[:, :live] = entry & (_MISS - 1)
         out = np.zeros((len(counts), len(self.languages)), np.int64)
@@ -141,24 +172,21 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, chars: int = CHARS, total: int = TOTAL) -> Model:
+def fit(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, chars: int = CHARS) -> Model:
     """A model from the bounded sample of the rows of docs (doc_id, text, lang) that may be learned from."""
-    rows = docs.where(learnable & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= chars))
+    rows = docs.where(learnable & F.col("text").rlike(_LETTERED) & F.col("lang").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # Only ids move to be ranked, and each task passes on no more than it may keep; then per_language texts a language.
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     known = rows.select("doc_id", "lang").join(F.broadcast(common), "lang")
     chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).groupBy("doc_id", "lang").agg(F.min("rank").alias("rank"))
-    # One text for a doc_id, however many rows repeat it.
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "rank").agg(F.min("text").alias("text")).collect()
+    # One text for a doc_id, however many rows repeat it, and no more of it than a language's share.
+    passage = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, chars)
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "rank").agg(F.min(passage).alias("text"))
+    before = F.coalesce(F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     texts: dict[str, list[str]] = {}
-    used: dict[str, int] = {}
-    most = min(chars, total // max(1, len({r["lang"] for r in sample})))
-    for r in sorted(sample, key=lambda r: (r["lang"], r["rank"])):
-        size = len(r["text"].encode())
-        if used.get(r["lang"], 0) + size <= most:
-            texts.setdefault(r["lang"], []).append(r["text"])
-            used[r["lang"]] = used.get(r["lang"], 0) + size
+    for r in sorted(sample.withColumn("before", before).where(F.col("before") < chars).collect(), key=lambda r: (r["lang"], r["rank"])):
+        texts.setdefault(r["lang"], []).append(r["text"].encode()[: chars - r["before"]].decode(errors="ignore"))
     return Model({k: v for k, v in texts.items() if any(c.isalpha() for t in v for c in t)})
 
 
@@ -182,9 +210,6 @@ def _predictor(spark, model: Model):
     return predict
 
 
-_LETTERED = r"\p{L}"
-
-
 def identify(docs: DataFrame, learnable: Column | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score. Learns from the rows that are not held out."""
     predict = _predictor(docs.sparkSession, fit(docs, ~held_out() & F.col("doc_id").isNotNull() if learnable is None else learnable))
