@@ -181,6 +181,20 @@ for _name in ("url", "status_code", "title", "word_count", "size_bytes", "depth"
     _sorted(_name)
 
 
+def _ordered(column: str, sql: str | None = None) -> None:
+    """The whole grid in the order of a column; sort_* are its first 100 rows."""
+    missing = "''" if column in ("title", "url", "indexability_status") else "0"
+
+    @register(f"WITH {SQL} SELECT url, row_number() OVER (ORDER BY coalesce({sql or column}, {missing}), url) AS place FROM doc_pages", f"grid_order_{column}")
+    def query(spark, sf_dir):
+        return links.placed(doc_pages(spark, sf_dir).select(*dict.fromkeys(("url", column))), column).select("url", "place")
+
+
+for _name in ("url", "status_code", "title", "word_count", "size_bytes", "depth", "response_time_ms"):
+    _ordered(_name)
+_ordered("indexability_status", "CASE WHEN indexable THEN 'Indexable' ELSE 'Other' END")
+
+
 @register(
     f"WITH {SQL} SELECT url, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN printf('%.1f', size_bytes / 1024) || ' KB' ELSE printf('%.1f', size_bytes / 1048576) || ' MB' END AS size, printf('%.2f', size_bytes / 1024) || ' KB' AS grid_size, '(' || length(title) || ' chars)' AS title_label, CASE WHEN h1_count > 1 THEN '(Multiple tags: ' || h1_count || ' found)' ELSE '' END AS h1_label, CAST(status_code AS VARCHAR) AS status FROM doc_pages"
 )
