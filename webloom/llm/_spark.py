@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and all runs in one process."""
     have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not have:
-        # As in local tests: there is one machine, so its folder is shared by driver and executors.
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         have = os.path.join(tempfile.gettempdir(), f"webloom-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", have)
     if not spark.sparkContext.getCheckpointDir():
@@ -24,10 +26,61 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, kind: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/webloom-{kind}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, kind)
+
+
+class Scratch:
+    """Tables written to the shared folder on the way to a result; `drop` deletes them once no table needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, kind: str) -> DataFrame:
+        path = f"{shared_dir(self.spark).rstrip('/')}/webloom-{kind}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths.clear()
+
+
+def key_of(value: Column) -> Column:
+    """A 64-bit key of a text or bytes."""
+    return F.coalesce(F.xxhash64(value), F.lit(0))
+
+
+def check_of(value: Column) -> Column:
+    """64 more bits of a text or bytes, by other functions than its key."""
+    return F.coalesce(F.shiftleft(F.hash(value).cast("long"), 32).bitwiseXOR(F.crc32(value)), F.lit(0))
+
+
+def clashes(rows: DataFrame) -> DataFrame | None:
+    """The keys of rows (node, check, ...) that several values share, as (node, low); None if there are none."""
+    found = rows.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node", "low")
+    found = written(found, "clashes")
+    return None if found.isEmpty() else found
+
+
+def told_apart(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """rows (node, check, ...) without check, where values that only share a key are nodes of their own: 128 bits know them."""
+    if found is None:
+        return rows.drop("check")
+    named = rows.join(found.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
+    node = F.when(F.col("check") != F.col("low"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return named.withColumn("node", node).drop("check", "c_node", "low")
+
+
+def input_bytes(df: DataFrame) -> int:
+    """About how many bytes df has: from the files it reads, or counted where that is not known."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 60:
+        return known
+    return df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
 
 
 def partitions(spark: SparkSession) -> int:
@@ -44,17 +97,21 @@ def components(links: DataFrame, kind: str, rounds: int = 60) -> DataFrame:
     Every round takes the least label over the links, then follows labels of labels, so that long chains halve;
     labels are written to the shared folder in each round and rounds end once nothing changes.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), kind)
+    scratch = Scratch(links.sparkSession)
+    both = scratch.write(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), kind)
     label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-    label = written(label, kind)
+    label = scratch.write(label, kind)
     for _ in range(rounds):
+        last = Scratch(links.sparkSession)
         near = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("m"))
         step = label.join(near, label["node"] == near["n"], "left").select("node", "root", F.least("root", F.coalesce("m", "root")).alias("next"))
         jump = label.select(F.col("node").alias("j"), F.col("root").alias("far"))
         step = step.join(jump, step["next"] == jump["j"], "left").select("node", "root", F.least("next", F.coalesce("far", "next")).alias("next"))
-        step = written(step, kind)
+        step = last.write(step, kind)
         changed = step.where("root <> next").limit(1).count()
         label = step.select("node", F.col("next").alias("root"))
         if not changed:
+            scratch.drop()
             return label
+        scratch.paths += last.paths
     raise RuntimeError("components did not settle")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._kernels import U64, mix
-from ._spark import components, written
+from ._spark import Scratch, check_of, clashes, components, key_of, told_apart, written
 
 SAMPLE, PER_CELL, MAX_CELLS, ROUNDS = 20_000, 2048, 1024, 8
 #: Home vectors and visitors in a block, and rows multiplied at a time.
@@ -193,7 +193,9 @@ def classes(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     width = int(kind[-1])
     wide = "array<float>" if width == 4 else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(wide).alias("embedding")).mapInArrow(_bytes(kind), "vec_id long, raw binary")
-    rows = written(rows.withColumn("node", F.xxhash64("raw")), "vectors")
+    scratch = Scratch(vectors.sparkSession)
+    rows = written(rows.withColumn("node", key_of(F.col("raw"))).withColumn("check", check_of(F.col("raw"))), "vectors")
+    rows = told_apart(rows, clashes(rows.where("raw is not null")))
     nodes = written(rows.where("raw is not null").groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("raw").alias("raw")), "nodes")
 
     n = nodes.count()
@@ -226,11 +228,12 @@ def classes(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         blocks.setdefault((r["size"], r["cell"]), [1, 1])[r["kind"] == "v"] = max(1, math.ceil(r["n"] / (VISIT_BLOCK if r["kind"] == "v" else HOME_BLOCK)))
 
     dealt = nodes.select("node", "weight", "raw").mapInArrow(_deal(fit, {k: tuple(v) for k, v in blocks.items()}, radius, kind), "unit string, side int, node long, weight long, raw binary")
-    met = written(dealt.groupBy("unit").applyInArrow(_compare(threshold, kind), "node long, root long, links long"), "links")
-    counts = met.groupBy("node").agg(F.sum("links").alias("links"))
+    met = scratch.write(dealt.groupBy("unit").applyInArrow(_compare(threshold, kind), "node long, root long, links long"), "links")
+    counts = written(met.groupBy("node").agg(F.sum("links").alias("links")), "counts")
 
     ids = nodes.select("node", "least")
     roots = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")), "cells")
+    scratch.drop()
     held = rows.where("raw is not null").select("vec_id", "node")
     grouped = ids.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     heads = grouped.groupBy("root").agg(F.min("least").alias("head"))
