@@ -3,12 +3,14 @@
 A row's shard follows from its key and the number of shards alone, without a table of the ring; one more shard takes
 rows only into itself, 1/(n + 1) of them. `slot` numbers a shard's rows gapless from 0 in the order of bin, key and
 the other columns named; a bin is part of the key's hash, so a shard is numbered in many tasks, and only counts of
-(shard, bin) - at most MAX_COUNTS rows, whatever the input - are summed up and broadcast.
+(shard, bin) are summed up: bins are as many as keep them within MAX_COUNTS rows, whatever the input, which may be
+broadcast. With so many shards that even one bin each is more, their counts are joined without a broadcast.
 
 Defined cases: a row without key takes its other columns' hash for a key, so such rows spread over the shards; rows
 with one key share a shard (that is the law) and are dealt to bins by their other columns too; repeated rows get
-slots of their own; an empty table gives no rows; columns beside those named are passed on unless they clash with an
-output column, which replaces them.
+slots of their own, in one task that streams through them; very long texts are not read; an empty table gives no rows;
+columns beside those named are passed on, whatever their names, unless they clash with an output column, which
+replaces them.
 """
 
 from __future__ import annotations
@@ -44,26 +46,30 @@ def jump(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def assign(df: DataFrame, key: str = "doc_id", order: tuple[str, ...] = (), shards: int = 16, bins: int = 4096) -> DataFrame:
-    """df with law, shard, slot and grown_shard (the shard if there were one more)."""
-    if (shards + 1) * bins > MAX_COUNTS:
-        raise ValueError("shards * bins is past the size that may be broadcast")
+    """df with law, shard, slot and grown_shard (the shard if there were one more); bins is a limit."""
+    if shards < 1:
+        raise ValueError("there must be a shard")
+    bins = max(1, min(bins, MAX_COUNTS // (shards + 1)))
     made = ["law", "shard", "slot", "grown_shard"]
     df = df.drop(*made)
     order = tuple(c for c in order if c != key)
     rest = F.xxhash64(*order) if order else F.lit(0).cast("long")
+    # By position, so that no name of df can clash with a name in here.
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
 
     def dealt(batches):
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False)
             other = batch.column(1).to_numpy(zero_copy_only=False)
             k = stable_key(values)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(jump(k, shards), pa.int32()), pa.array(jump(k, shards + 1), pa.int32()), pa.array((mix(k ^ other.astype(U64)) % U64(bins)).astype(np.int32))], names=[*batch.schema.names[2:], "shard", "grown_shard", "_wl_bin"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(jump(k, shards), pa.int32()), pa.array(jump(k, shards + 1), pa.int32()), pa.array((mix(k ^ other.astype(U64)) % U64(bins)).astype(np.int32))], names=[*at.values(), "shard", "grown", "bin"])
 
-    wide = df.select(F.coalesce(F.col(key).cast("long"), rest).alias("_wl_key"), rest.alias("_wl_rest"), *df.columns)
-    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("shard", "grown_shard", "_wl_bin"))])
-    rows = wide.mapInArrow(dealt, schema)
-    counts = rows.groupBy("shard", "_wl_bin").count()
-    before = counts.select(F.col("shard").alias("_wl_s"), F.col("_wl_bin").alias("_wl_b"), (F.sum("count").over(Window.partitionBy("shard").orderBy("_wl_bin")) - F.col("count")).alias("_wl_before"))
-    within = F.row_number().over(Window.partitionBy("shard", "_wl_bin").orderBy(key, *order)) - 1
-    numbered = rows.withColumn("_wl_within", within).join(F.broadcast(before), (F.col("shard") == F.col("_wl_s")) & (F.col("_wl_bin") == F.col("_wl_b")))
-    return numbered.select(*df.columns, F.lit("key").alias("law"), "shard", (F.col("_wl_before") + F.col("_wl_within")).alias("slot"), "grown_shard")
+    wide = df.select(F.coalesce(F.col(key).cast("long"), rest), rest, *(F.col(f"`{c}`").alias(n) for c, n in at.items()))
+    schema = T.StructType([*(T.StructField(at[f.name], f.dataType) for f in df.schema.fields), *(T.StructField(c, T.IntegerType()) for c in ("shard", "grown", "bin"))])
+    rows = wide.toDF("key", "rest", *at.values()).mapInArrow(dealt, schema)
+    counts = rows.groupBy("shard", "bin").count()
+    before = counts.select(F.col("shard").alias("s"), F.col("bin").alias("b"), (F.sum("count").over(Window.partitionBy("shard").orderBy("bin")) - F.col("count")).alias("before"))
+    before = F.broadcast(before) if (shards + 1) * bins <= MAX_COUNTS else before
+    within = F.row_number().over(Window.partitionBy("shard", "bin").orderBy(*(at[c] for c in (key, *order)))) - 1
+    numbered = rows.withColumn("within", within).join(before, (F.col("shard") == F.col("s")) & (F.col("bin") == F.col("b")))
+    return numbered.select(*(F.col(n).alias(c) for c, n in at.items()), F.lit("key").alias("law"), "shard", (F.col("before") + F.col("within")).alias("slot"), F.col("grown").alias("grown_shard"))
