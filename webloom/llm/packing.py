@@ -1,20 +1,21 @@
 """Packing by power-of-two decomposition.
 
 A document's ids (with the end id) are cut into full sequences and then pieces of the binary digits of what is left,
-largest first. Every piece is a sequence of its own, of a power-of-two length; equal lengths are batched together
-(the column `length` is the bucket), so no sequence crosses documents and nothing is padded.
-
-Defined cases: a null or empty text is the end id alone; rows with equal doc_id are documents of their own; an empty
-table gives no rows; other columns are ignored. There is no shuffle: a piece depends on its document only, and
-sequence ids are unique numbers given by each task (task number, then position), the same again when a task reruns
-on the same input.
+largest first. Every piece is a sequence of its own, of a power-of-two length, so no sequence crosses documents and
+nothing is padded. `write` buckets equal lengths: a folder for each length holds rows of so many ids each and nothing
+else, from which a reader takes batches of one shape; `read` gives one bucket back.
+
+Defined cases: a null or empty text is the end id alone; rows with equal doc_id are documents of their own; a very long
+text is encoded by itself, so a task needs memory for its longest text; an empty table gives no rows; other columns,
+whatever their names, are ignored. There is no shuffle: a piece depends on its document only, and sequence ids are
+unique numbers given by each task (task number, then position), the same again when a task reruns on the same input.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._kernels import STEP_BYTES, batch_rows, flat, steps
@@ -74,3 +75,13 @@ def pack(docs: DataFrame, longest: int = 1024, path: str | None = None, end_id:
 
 def digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def write(pieces: DataFrame, path: str) -> None:
+    """Buckets of equal lengths: a folder `length=n` for each of the few lengths that there are, without a shuffle."""
+    pieces.write.partitionBy("length").parquet(path)
+
+
+def read(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """One bucket: sequences of `length` ids each."""
+    return spark.read.parquet(path).where(F.col("length") == length)
