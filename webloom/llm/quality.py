@@ -8,10 +8,11 @@ for a ratio to mean anything have the base rules only. Upper limits are the larg
 in the languages at hand, plus about 0.01; random words of 62 letters and digits lie above in every class, of 26
 letters from 1.5 KB on, and of 16 from 4 KB on (shorter ones compress as prose does).
 
-Every text is measured whole; there is no shuffle and memory is bounded by one text.
+Every text is measured whole, a very long one by itself; there is no shuffle and memory is bounded by the longest text.
 
 Defined cases: a null or empty text has counts of 0 and fails the base rules; rows are judged each by itself, so ties
-and repeated rows need no rule; an empty table gives no rows; other columns are ignored.
+and repeated rows need no rule; an empty table gives no rows; other columns, whatever their names, are passed by `keep`
+and ignored by `judge`.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ BANDS = (
     (2048, 0.27, 0.57), (3072, 0.27, 0.54), (4096, 0.25, 0.525), (8192, 0.25, 0.485), (16384, 0.22, 0.46),
 )
 #: Bytes of a chunk, the band of its ratio, and how many of a hundred may lie outside.
-CHUNK, CHUNK_BAND, OUT_PERCENT = 4096, (0.25, 0.527), 10
+CHUNK, CHUNK_BAND, OUT_PERCENT = 2048, (0.27, 0.57), 10
 LEAST_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 50, 50, 3
 
 _SYMBOL = np.zeros(256, np.int64)
