@@ -5,15 +5,23 @@ the longest match that the automaton has from here on, then the next begins. A t
 about phrases * log2(length of the language's text) / length of the text (Ziv and Merhav, 1993), so the language that
 needs fewest normalised phrases wins.
 
-Fitting uses a bounded sample: of the LANGUAGES with most rows, per language the PER_LANGUAGE lettered rows with the least hash of doc_id, of these the texts from their first letter on
-up to CHARS bytes together, the last one cut: the same for any number of languages and any length. Prediction reads every whole text. Both see texts in lower
-case, each run of other than letters as one space. A phrase also ends every SEGMENT bytes, which is the same for all
-languages; segments of many texts are parsed side by side, one numpy step per byte of a segment and all languages.
+Fitting uses a bounded sample: per language the PER_LANGUAGE lettered rows with the least hash of doc_id, of these the
+texts from their first letter on up to CHARS bytes together, the last one cut: the same for any number of languages
+and any length. Every label is learned; the model grows with the labels, not with the documents. Prediction reads every
+whole text. Both see texts in lower case, each run of other than letters as one space. A phrase also ends every SEGMENT
+bytes, which is the same for all languages and adds a phrase at most; segments of many texts are parsed side by side,
+one numpy step per byte of a segment and all languages.
+
+`keep_known` rejects what is of no learned language: texts without a letter, and texts of LEAST_BYTES normalised bytes or
+more for which even the best language needs more than MOST_BITS a byte (learned languages need 2 to 4.5 here, unlearned
+ones 5 to 9, random letters 9.6 and more); and, if target languages are named, texts of others.
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is every text if nothing could be learned;
 at equal phrases the first language by name wins; score is 1 - phrases of the best / phrases of the second (1 if
-there is one language); rows of null doc_id or null lang are not learned from; an empty table gives no rows; other
-columns are ignored.
+there is one language); rows of null doc_id or null lang are not learned from; very long texts are read whole, a batch of
+bounded size or one text at a time; repeated rows are predicted each by itself and learned from once; an empty table
+gives no rows; other columns, whatever their names, are passed by `keep_known` and ignored by `identify`. `keep_known` has
+no ground to reject a lettered text if nothing could be learned, and keeps all of them.
 """
 
 from __future__ import annotations
@@ -24,8 +32,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _kernels as K
+from ._spark import written
 
-LANGUAGES, PER_LANGUAGE, CHARS, SEGMENT = 256, 200, 24_000, 256
+PER_LANGUAGE, CHARS, SEGMENT = 200, 24_000, 256
+#: A text of so many normalised bytes is of no learned language if each needs more bits a byte.
+LEAST_BYTES, MOST_BITS = 100, 5.5
+#: Sampled rows that may be broadcast; more go by a plain join.
+MAX_CHOSEN = 1 << 17
 #: Entries of a full table of moves; models that need more keep the moves that there are, sorted by state.
 FULL = 1 << 25
 UNKNOWN = "und"
@@ -158,14 +171,17 @@ class Model:
         np.add.at(out, doc, ended.T)
         return out
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Per text: the language, the score, and whether it is of a learned language at all."""
         data, offsets = normalised(texts)
         cost = self.phrases(data, offsets) * self.weights
         best = cost.argmin(axis=1)
         least = cost.min(axis=1)
         second = np.partition(cost, 1, axis=1)[:, 1] if cost.shape[1] > 1 else np.full(len(cost), np.inf)
         score = 1 - np.divide(least, second, out=np.ones(len(cost)), where=second > 0)
-        return [self.languages[k] for k in best.tolist()], np.clip(score, 0, 1)
+        size = np.diff(offsets)
+        known = (size < LEAST_BYTES) | (least <= MOST_BITS * size)
+        return [self.languages[k] for k in best.tolist()], np.clip(score, 0, 1), known
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -176,13 +192,13 @@ def fit(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, ch
     """A model from the bounded sample of the rows of docs (doc_id, text, lang) that may be learned from."""
     rows = docs.where(learnable & F.col("text").rlike(_LETTERED) & F.col("lang").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Only ids move to be ranked, and each task passes on no more than it may keep; then per_language texts a language.
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    known = rows.select("doc_id", "lang").join(F.broadcast(common), "lang")
-    chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).groupBy("doc_id", "lang").agg(F.min("rank").alias("rank"))
+    # Only ids move to be ranked, and each task passes on no more than it may keep; then per_language rows a language.
+    known = rows.select("doc_id", "lang")
+    chosen = written(known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).groupBy("doc_id", "lang").agg(F.min("rank").alias("rank")), "chosen")
+    chosen = F.broadcast(chosen) if chosen.count() <= MAX_CHOSEN else chosen
     # One text for a doc_id, however many rows repeat it, and no more of it than a language's share.
     passage = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, chars)
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "rank").agg(F.min(passage).alias("text"))
+    sample = rows.join(chosen, ["doc_id", "lang"]).groupBy("lang", "rank").agg(F.min(passage).alias("text"))
     before = F.coalesce(F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     texts: dict[str, list[str]] = {}
     for r in sorted(sample.withColumn("before", before).where(F.col("before") < chars).collect(), key=lambda r: (r["lang"], r["rank"])):
@@ -194,18 +210,19 @@ def _predictor(spark, model: Model):
     shared = spark.sparkContext.broadcast(model)
 
     def predict(texts: list[str | None], lettered: list[bool]):
-        """Languages and scores, a bounded amount of text at a time."""
-        model, names, scores = shared.value, [], []
+        """Languages, scores, and whether texts are of a learned language, a bounded amount of text at a time."""
+        model, names, scores, known = shared.value, [], [], []
         begin = size = 0
         for i, t in enumerate(texts):
             size += len(t or "")
             if size >= K.STEP_BYTES or i + 1 == len(texts):
                 some = [x or "" for x in texts[begin : i + 1]]
-                got = model.predict(some) if model.languages else ([UNKNOWN] * len(some), np.zeros(len(some)))
+                got = model.predict(some) if model.languages else ([UNKNOWN] * len(some), np.zeros(len(some)), np.ones(len(some), bool))
                 names += got[0]
                 scores += got[1].tolist()
+                known += got[2].tolist()
                 begin, size = i + 1, 0
-        return [n if ok else UNKNOWN for n, ok in zip(names, lettered)], [s if ok else 0.0 for s, ok in zip(scores, lettered)]
+        return [n if ok else UNKNOWN for n, ok in zip(names, lettered)], [s if ok else 0.0 for s, ok in zip(scores, lettered)], [k and ok for k, ok in zip(known, lettered)]
 
     return predict
 
@@ -216,22 +233,24 @@ def identify(docs: DataFrame, learnable: Column | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            names, scores = predict(batch.column(3).to_pylist(), batch.column(2).to_pylist())
+            names, scores, _ = predict(batch.column(3).to_pylist(), batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce(F.col("text").rlike(_LETTERED), F.lit(False)).alias("lettered"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text is of a learned language, with all their columns as they are."""
+def keep_known(docs: DataFrame, languages: set[str] | None = None) -> DataFrame:
+    """The rows of docs whose text is of a learned language (and of one of `languages`), with all their columns as they are."""
     predict = _predictor(docs.sparkSession, fit(docs, ~held_out() & F.col("doc_id").isNotNull()))
     names = docs.columns
 
     def run(batches):
         for batch in batches:
-            lettered = batch.column(len(names)).to_pylist()
-            found, _ = predict(K.batch_rows(batch, "text").to_pylist(), lettered)
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
+            found, _, known = predict(batch.column(names.index("text")).to_pylist(), batch.column(len(names)).to_pylist())
+            keep = [ok and (languages is None or x in languages) for x, ok in zip(found, known)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.select("*", F.coalesce(F.col("text").rlike(_LETTERED), F.lit(False)).alias("_wl_lettered")).mapInArrow(run, docs.schema)
+    # By position, so that no name of docs can clash with a name in here.
+    lettered = F.coalesce(F.col("text").cast("string").rlike(_LETTERED), F.lit(False))
+    return docs.select("*", lettered).toDF(*(f"c{i}" for i in range(len(names) + 1))).mapInArrow(run, docs.schema)
