@@ -10,8 +10,8 @@ parser takes one away, so that escaping is undone exactly.
 
 Defined cases: a null text or role is empty; turns are in the order of turn (nulls first), role, text, so that ties
 and repeated rows give one result; rows without conv_id belong to no conversation, and each is one by itself; an
-empty table gives no rows; other columns are ignored. A conversation is one output value, so its turns are gathered
-in one row; no other group is.
+empty table gives no rows; other columns, whatever their names, are ignored. A conversation is one output value, so its
+turns, very long texts among them, are gathered in one row; no other group is.
 """
 
 from __future__ import annotations

@@ -5,10 +5,11 @@ piece wins. `stream` reads a text once: it keeps the best score and backpointer
 soon as the backpointer paths of all positions that can still be extended (those within the longest piece's length)
 meet in one boundary, it commits the ids before it and forgets them. So a text of any length needs a window only.
 
-A piece holds U+2581 (a space) at its start or nothing else, so all paths meet at every word's start: there the stream
-commits whatever was read. `Encoder` uses that: texts are cut at those boundaries, and words - each is one window -
-are solved many at a time with numpy, words of equal length together, once for each word in a bounded table. Longer
-words go through `stream`. Both give the same ids.
+In most models a piece holds U+2581 (a space) at its start or nothing else, so all paths meet at every word's start: there
+the stream commits whatever was read, and a word is a window. `Encoder` uses that commit rule for many texts at once:
+they are cut at those boundaries and the windows are solved with numpy, those of equal length together, each distinct
+one once (a bounded table keeps them). Longer windows go through `stream`, and so do all texts where a model has
+pieces over a word's start. Both give the same ids, which tests check over a whole table.
 
 The model is used as it is: identity normalisation, one space before the text, spaces as U+2581, and byte pieces for
 characters without a piece (U+2581 itself among them, so that decoding gives back each text exactly). Its scores are
@@ -16,7 +17,8 @@ taken as stored also where the file was made by merges (ranks): this is the Vite
 the library's order of merges.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; rows are encoded each by itself, so ties and
-repeated rows need no rule; an empty table gives no rows; other columns are ignored.
+repeated rows need no rule; a very long text is encoded by itself, and a window grows only while paths do not meet; an
+empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -71,8 +73,7 @@ class Encoder(PieceTable):
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.texts[i] = piece.replace(chr(SPACE), " ").encode()
                 self.pieces[tuple(map(ord, piece))] = (i, -model.get_score(i))
-        if any(SPACE in p[1:] and set(p) != {SPACE} for p in self.pieces):
-            raise ValueError("a piece goes over a word's start")
+        self.over_words = any(SPACE in p[1:] and set(p) != {SPACE} for p in self.pieces)
         self.unknown = max(c for _, c in self.pieces.values()) + 10
         self.longest = max(map(len, self.pieces))
         self._index()
@@ -243,7 +244,11 @@ class Encoder(PieceTable):
         return self.decode_flat(np.array(ids, np.int64), np.array([0, len(ids)]))[0].tobytes().decode("utf-8", "replace")
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.encode([" " + t if t else "" for t in texts])
+        prefixed = [" " + t if t else "" for t in texts]
+        if not self.over_words:
+            return self.encode(prefixed)
+        got = self.plain(prefixed)
+        return np.array([i for x in got for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in got], dtype=np.int64)])
 
 
 @functools.lru_cache(maxsize=2)
