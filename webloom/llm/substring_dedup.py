@@ -2,23 +2,23 @@
 
 Finds every window of `window` words whose word sequence also starts anywhere else, in the same document or another,
 and removes the words that such windows cover. A window that repeats has sub-windows that repeat, so levels go from
-half the length (or further down, by `levels`) up to the full length: only windows whose sub-window repeated at one
-level are looked at on the next, and levels end when none is left.
+about nine words by doubling up to the full length (9, 18, 35; shorter ones repeat by chance almost anywhere): only windows whose sub-window repeated at one length
+are extended to the next, and a group of texts is done as soon as none of its windows survives.
 
-On the first level one sub-window stands for each window: the one with the least hash in it (the leftmost, if equal).
-Equal windows choose the same one, so a window whose representative does not repeat cannot repeat, and about one in
-ten positions is counted instead of all. Higher levels hash all windows of their length that are still candidates,
-with 128 bits on the last.
+On each level but the last one sub-window stands for each window: the one with the least hash in it (the leftmost, if
+equal). Equal windows choose the same one, so a window whose representative does not repeat cannot repeat, and only
+one in ten to fourteen positions is counted. The last level hashes the windows that are still candidates, with 128 bits.
 
-Documents are dealt to groups by a hash of id and text. A group sends each bucket of hashes one message with the
-distinct hashes it holds and whether it holds them more than once; the bucket answers each group with the hashes that
-repeat over all groups. So a passage that stands in every document costs one entry per group and not one per copy,
-hashes alone travel, and texts move once, to their group (the exchange is shared by all levels).
+Documents are dealt to groups by a hash of id and text; groups are as many as keep one near GROUP_BYTES of input. A
+group sends each bucket of hashes one message with the distinct hashes it holds and whether it holds them more than
+once; the bucket answers each group with the hashes that repeat over all groups. So a passage that stands in every
+document costs one entry per group and not one per copy, hashes alone travel, and texts move once, to their group
+(the exchange is shared by all levels).
 
 Defined cases: words are runs of other than U+0020 and U+0009 to U+000D; a null or empty text has none, and loses
 none; all copies of a repeated window go, the first as well; rows that repeat are documents of their own, so both lose
-what they share; rows of equal doc_id are kept apart; an empty table gives no rows; other columns are passed by
-`remove` and ignored by `judge`.
+what they share; rows of equal doc_id are kept apart; a very long text is read whole, in steps of STEP_WORDS words; an
+empty table gives no rows; other columns, whatever their names, are passed by `remove` and ignored by `judge`.
 """
 
 from __future__ import annotations
@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._spark import partitions
+from ._spark import input_bytes, partitions
 
 U64 = K.U64
 #: Words hashed at a time, and the bits of a position in such a step.
 STEP_WORDS, PLACE_BITS = 1 << 18, 24
+#: Levels at most, and bytes of input that a group of texts is meant to have.
+LEVELS, GROUP_BYTES = 3, 1 << 26
 SIEVE = U64((1 << 22) - 1)
 MESSAGE = "grp int, bucket int, one binary, many binary"
 ANSWER = "grp int, hashes binary"
@@ -44,7 +46,7 @@ ANSWER = "grp int, hashes binary"
 PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
-def lengths(window: int, levels: int = 2) -> list[int]:
+def lengths(window: int, levels: int = LEVELS) -> list[int]:
     """Window lengths from level to level, each about twice the one before."""
     out = [window]
     while len(out) < levels and out[0] > 4:
@@ -115,21 +117,22 @@ class Level:
         return out
 
     def candidates(self, value: np.ndarray, word_offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of the full length that fit and are still candidates, and each one's representative place."""
+        """Windows of the full length that fit and are still candidates, and each one's place on the next level."""
         full = self.sizes[-1]
         fits = K.window_fits(word_offsets, full)
         first = self.sizes[0]
         if not fits.any() or first == full:
             return fits, np.arange(len(fits))
-        hashes = K.window_hashes(value, first)
-        place = _least(hashes, fits, full - first + 1)
-        if self.answers:
-            fits = fits & self._repeats(0, hashes[place], None)
-        for level in range(1, len(self.sizes) - 1):
-            if len(self.answers) <= level or not fits.any():
+        place = np.zeros(0, np.int64)
+        for level, size in enumerate(self.sizes[:-1]):
+            if not fits.any():
+                break
+            if level < len(self.answers):
+                hashes = K.window_hashes(value, size)
+                fits = fits & self._repeats(level, hashes[_least(hashes, fits, full - size + 1)], None)
+            else:
+                place = _least(K.window_hashes(value, size), fits, full - size + 1)
                 break
-            size = self.sizes[level]
-            fits = fits & self._repeats(level, K.window_hashes(value, size)[: len(fits)], None)
         return fits, place
 
     def entries(self, value, other, word_offsets) -> np.ndarray:
@@ -145,9 +148,7 @@ class Level:
             out["a"] = K.window_hashes(value, self.sizes[-1])[at]
             out["b"] = K.window_hashes(other, self.sizes[-1], 1)[at]
             return out
-        if level == 0:
-            return K.window_hashes(value, self.sizes[0])[np.unique(place[at])]
-        return K.window_hashes(value, self.sizes[level])[at]
+        return K.window_hashes(value, self.sizes[level])[np.unique(place[at])]
 
     def repeated(self, value, other, word_offsets) -> np.ndarray:
         """For each window of the full length: whether it repeats; all levels have been answered."""
@@ -253,8 +254,8 @@ def _levels(docs: DataFrame, sizes: list[int], n_groups: int) -> DataFrame:
             if texts.num_rows == 0:
                 return pa.Table.from_batches([_messages(0, [], kind, n_groups)])
             state = Level(sizes, [_known(known.filter(pc.equal(known.column("level"), at)), kinds[at]) for at in range(level)])
-            out = []
-            for _, _, data, starts, ends, word_offsets in Texts(texts.column("_wl_text")):
+            out, live = [], level == 0 or len(state.answers[-1])
+            for _, _, data, starts, ends, word_offsets in Texts(texts.column("_wl_text")) if live else ():
                 value, other = K.span_hashes(data, starts, ends), K.span_hashes(data, starts, ends, 1) if kind == PAIR else None
                 for a, b, inner in _pieces(value, word_offsets, sizes[-1]):
                     found = state.entries(value[a:b], None if other is None else other[a:b], inner)
@@ -267,7 +268,7 @@ def _levels(docs: DataFrame, sizes: list[int], n_groups: int) -> DataFrame:
     answers, groups = None, docs.groupBy("grp")
     for level, kind in enumerate(kinds):
         sent = groups.applyInArrow(counter(0), MESSAGE) if answers is None else groups.cogroup(answers.groupBy("grp")).applyInArrow(counter(level), MESSAGE)
-        told = sent.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(_answers(kind), ANSWER).select("grp", F.lit(level).alias("level"), "hashes")
+        told = sent.repartition(max(partitions(docs.sparkSession), n_groups // 2), "bucket").mapInArrow(_answers(kind), ANSWER).select("grp", F.lit(level).alias("level"), "hashes")
         answers = told if answers is None else answers.unionByName(told)
     return answers
 
@@ -297,12 +298,12 @@ def _cut(texts, known, sizes: list[int]):
 
 def _grouped(docs: DataFrame, columns: list) -> tuple[DataFrame, int]:
     """columns, with the text as _wl_text and the group; as many groups as keep one near a partition's share."""
-    n = 2 * partitions(docs.sparkSession)
+    n = max(2 * partitions(docs.sparkSession), -(-input_bytes(docs) // GROUP_BYTES))
     text = F.col("text").cast("string")
     return docs.select(*columns, text.alias("_wl_text"), F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("grp")), n
 
 
-def judge(docs: DataFrame, window: int = 35, levels: int = 2) -> DataFrame:
+def judge(docs: DataFrame, window: int = 35, levels: int = LEVELS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     sizes = lengths(window, levels)
     grouped, n = _grouped(docs, [F.col("doc_id").cast("long").alias("doc_id")])
@@ -317,7 +318,7 @@ def judge(docs: DataFrame, window: int = 35, levels: int = 2) -> DataFrame:
     return grouped.groupBy("grp").cogroup(_levels(grouped, sizes, n).groupBy("grp")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, window: int = 35, levels: int = 2) -> DataFrame:
+def remove(docs: DataFrame, window: int = 35, levels: int = LEVELS) -> DataFrame:
     """docs without the repeated words: texts that lose none stay as they are, else kept runs are joined by a space.
 
     A column n_chars, if there is one, follows the text.
