@@ -17,15 +17,17 @@ Scale: copies of one text are one node from the start, found by a hash that is s
 does not make all its pairs: its least and its greatest node are compared with each member, so candidates grow with
 the members, and as texts share many buckets with different members, links join through many of them. Where a bucket
 still holds several components, its nodes meet again in up to ROUNDS rounds under pairs of sketches and with other
-ends, which only makes components grow at little cost. What is left in buckets of several components is then searched
+ends, which makes components grow at little cost, so that few pairs are left. What is left in buckets of several components is then searched
 exactly: a prefix-filtered join over their shingles (Chaudhuri et al., 2006; Xiao et al., 2008) gives all pairs of
 different components that can be at the threshold, and each is verified. Joins on buckets, shingles
 and nodes are plain equi-joins, whose large partitions Spark splits. Only texts of nodes with a candidate go on to be
 aligned. Nothing is collected to the driver.
 
-Defined cases: a null text or one without words is in no group; texts of under five words have one shingle, all of
+Defined cases: a null text or one without words is in no group; a very long text is read whole, so a task needs memory for
+the two longest texts it aligns; texts of under five words have one shingle, all of
 their words; the class of a group is its least doc_id, null only if all are null; rows of equal doc_id are one
-document, so that all or none are kept; an empty table gives no rows; other columns are ignored.
+document to `classes`, so that all or none are kept, and rows to `keep_one`; an empty table gives no rows; other
+columns, whatever their names, are passed by `keep_one` and ignored by `classes`.
 """
 
 from __future__ import annotations
@@ -38,12 +40,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._spark import components, written
+from ._spark import Scratch, check_of, clashes, components, key_of, told_apart, written
 
 U64 = K.U64
 SHINGLE, SKETCHES, PICKED = 5, 20, 3
-#: Further rounds at most, over buckets that hold several components, and pairings of sketches in each.
-ROUNDS, STEPS = 5, 1
+#: Rounds over buckets that hold several components; the exact search after them finds what they leave, however many there are.
+ROUNDS = 2
 #: The similarity as a fraction.
 THRESHOLD = (4, 5)
 #: Shingles that are ranked at a time.
@@ -121,7 +123,7 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int] = THRESHOLD
 
 def _sketched(batches):
     for batch in batches:
-        data, offsets_all = K.flat(batch.column(2))
+        data, offsets_all = K.flat(batch.column(3))
         sketches, sizes = [], []
         for i, j in K.steps(offsets_all):
             offsets = offsets_all[i : j + 1]
@@ -129,7 +131,7 @@ def _sketched(batches):
             sizes += np.diff(at).tolist()
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 sketches.append(sketch(values[a:b]).view(np.int64) if b > a else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sketches, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["doc_id", "node", "sketch", "size"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sketches, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["doc_id", "node", "check", "sketch", "size"])
 
 
 def _verified(batches):
@@ -148,14 +150,14 @@ def _texts_of(shared: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame
     """node, text of all nodes that share a bucket: the one time that all texts move."""
     wanted = shared.select("node").distinct().join(nodes, "node").select(F.col("node").alias("w"), F.col("least").alias("of"))
     texts = rows.where("text is not null").join(wanted, (F.col("node") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "text")
-    return written(texts.dropDuplicates(["node"]), "texts")
+    return texts.dropDuplicates(["node"])
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes that are linked."""
     first = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
     both = first.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(_verified, "a long, b long"), "links")
+    return scratch.write(both.mapInArrow(_verified, "a long, b long"), "links")
 
 
 def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -173,7 +175,7 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     joined = components(two, "near").withColumnsRenamed({"node": "was", "root": "now"})
     old = roots.join(joined, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
     new = joined.join(at, F.col("was") == F.col("n"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
-    return written(old.unionByName(new).distinct(), "roots")
+    return old.unionByName(new).distinct()
 
 
 def _of_a_size() -> Column:
@@ -197,7 +199,7 @@ def _shingled(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(at).astype(np.int64)), lists], names=["node", "root", "size", "shingles"])
 
 
-def _possible(texts: DataFrame, left: DataFrame) -> DataFrame:
+def _possible(texts: DataFrame, left: DataFrame, scratch: Scratch) -> DataFrame:
     """All pairs (a, b) of nodes of left (node, root) of different roots that can be at the threshold, and few others.
 
     Shingles have one order for all nodes: first those of one component only, which no pair has in common, then the
@@ -205,13 +207,13 @@ def _possible(texts: DataFrame, left: DataFrame) -> DataFrame:
     that they share enough must be left on both sides.
     """
     p, q = THRESHOLD
-    listed = written(texts.join(left, "node").select("node", "root", "text").mapInArrow(_shingled, "node long, root long, size long, shingles array<long>"), "shingles")
+    listed = scratch.write(texts.join(left, "node").select("node", "root", "text").mapInArrow(_shingled, "node long, root long, size long, shingles array<long>"), "shingles")
     each = listed.select("node", "root", "size", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select(F.col("shingle").alias("s"), "n")
     own = Window.partitionBy("node")
     place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "shingle"))
     placed = each.join(common, F.col("shingle") == F.col("s")).select("node", "root", "size", "shingle", place.alias("place"))
-    prefix = written(placed.where(f"place <= size - div({p} * size + {q - 1}, {q}) + 1"), "prefixes")
+    prefix = scratch.write(placed.where(f"place <= size - div({p} * size + {q - 1}, {q}) + 1"), "prefixes")
     # The component with most nodes of a shingle is met by the others only, not by itself.
     of = prefix.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
     others = prefix.join(of, "shingle").where("root <> most").select("shingle", *(F.col(c).alias(f"{c}_o") for c in ("node", "root", "size", "place")))
@@ -221,52 +223,57 @@ def _possible(texts: DataFrame, left: DataFrame) -> DataFrame:
     return met.select(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b")).distinct()
 
 
-def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows (doc_id, node, has: whether there is a word), the nodes with words (node, least) and the linked ones (node, root)."""
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("node"), text.alias("text"))
-    sketched = written(rows.mapInArrow(_sketched, "doc_id long, node long, sketch array<long>, size long"), "sketches")
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """The rows (doc_id, node, has: whether there is a word), the nodes with words (node, least), the linked ones (node, root)
+    and the keys that several texts share, if there are any (node, low)."""
+    scratch, text = Scratch(docs.sparkSession), F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of(text).alias("node"), check_of(text).alias("check"), text.alias("text"))
+    sketched = written(rows.mapInArrow(_sketched, "doc_id long, node long, check long, sketch array<long>, size long"), "sketches")
+    # A text is known by 128 bits: a key of 64, and 64 more that tell apart the few texts that share a key.
+    shared_keys = clashes(sketched)
+    rows, sketched = told_apart(rows, shared_keys), told_apart(sketched, shared_keys)
     narrow = sketched.select("doc_id", "node", F.col("sketch").isNotNull().alias("has"))
     nodes = narrow.where("has").groupBy("node").agg(F.min("doc_id").alias("least"))
 
     single = sketched.where("sketch is not null").dropDuplicates(["node"]).select("node", "sketch", "size")
-    members = written(single.select("node", "size", F.explode("sketch").alias("bucket")), "members")
+    members = scratch.write(single.select("node", "size", F.explode("sketch").alias("bucket")), "members")
     whole = F.struct("node", "size")
     ends = members.groupBy("bucket").agg(F.min(whole).alias("low"), F.max(whole).alias("high")).where("low.node <> high.node")
-    shared = written(members.join(ends, "bucket").select("node", "size", "bucket", "low", "high"), "shared")
+    shared = scratch.write(members.join(ends, "bucket").select("node", "size", "bucket", "low", "high"), "shared")
     met = shared.select("node", "size", F.explode(F.array("low", "high")).alias("lead")).where(_of_a_size() & F.expr("node <> lead.node"))
-    tested = written(met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct(), "pairs")
-    texts = _texts_of(shared, rows, nodes)
-    links = _verify(tested, texts)
+    tested = scratch.write(met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct(), "pairs")
+    texts = scratch.write(_texts_of(shared, rows, nodes), "texts")
+    links = _verify(tested, texts, scratch)
     roots = components(links, "near")
 
     # A link that was not met yet is between nodes of a bucket that holds several components. Their sketches are met again
     # two by two, which parts dissimilar texts, with other ends of the buckets in each round, while rounds add links.
     left = _apart(shared, roots).select("node").distinct()
-    left = written(single.join(left, "node", "left_semi"), "left")
-    texts = written(texts.join(left, "node", "left_semi"), "texts")
+    left = scratch.write(single.join(left, "node", "left_semi"), "left")
+    texts = scratch.write(texts.join(left, "node", "left_semi"), "texts")
     for step in range(1, ROUNDS + 1):
-        keys = F.flatten(F.array(*(_paired(k) for k in range((step - 1) * STEPS + 1, step * STEPS + 1))))
-        apart = written(_apart(left.select("node", "size", F.explode(keys).alias("bucket")), roots), "apart")
+        apart = scratch.write(_apart(left.select("node", "size", F.explode(_paired(step)).alias("bucket")), roots), "apart")
         order, whole = F.xxhash64("node", "bucket"), F.struct("node", "size", "root")
         ends = apart.groupBy("bucket").agg(F.min_by(whole, order).alias("low"), F.max_by(whole, order).alias("high"))
         met = apart.join(ends, "bucket").select("node", "size", "root", F.explode(F.array("low", "high")).alias("lead")).where(_of_a_size() & F.expr("root <> lead.root"))
         pairs = met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = _verify(pairs, texts)
+        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = _verify(pairs, texts, scratch)
         if links.isEmpty():
             break
-        roots, tested = _merged(roots, links), tested.unionByName(pairs)
+        roots, tested = scratch.write(_merged(roots, links), "roots"), tested.unionByName(pairs)
 
     # What no lead was near to: every pair of components that can still be linked.
-    left = written(_apart(shared, roots).select("node", "root").distinct(), "left")
-    pairs = written(_possible(texts, left).join(tested, ["a", "b"], "left_anti"), "pairs")
-    return narrow, nodes, _merged(roots, _verify(pairs, texts))
+    left = scratch.write(_apart(shared, roots).select("node", "root").distinct(), "left")
+    pairs = scratch.write(_possible(texts, left, scratch).join(tested, ["a", "b"], "left_anti"), "pairs")
+    roots = written(_merged(roots, _verify(pairs, texts, scratch)), "roots")
+    scratch.drop()
+    return narrow, nodes, roots, shared_keys
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, component_id (the least doc_id of its group), kept."""
-    narrow, nodes, roots = _grouped(docs)
+    narrow, nodes, roots, _ = _grouped(docs)
     joined = roots.join(nodes, "node").select("node", "root", "least")
     heads = joined.groupBy("root").agg(F.min("least").alias("head"))
     named = joined.join(heads, "root").select(F.col("node").alias("n"), "head")
@@ -282,19 +289,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are told apart by doc_id and text, so that a row goes only for its own text. The row that stays is of the least
     doc_id, null last, and of the least hash of a text among those; of rows equal in both one stays.
     """
-    narrow, nodes, roots = _grouped(docs)
+    narrow, _, roots, shared_keys = _grouped(docs)
     keys = narrow.where("has").groupBy("doc_id", "node").agg(F.count("*").alias("n"))
     least = keys.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("head"))
     of = least.join(roots.withColumnsRenamed({"node": "r"}), F.col("node") == F.col("r"), "left").select(F.col("node").alias("w"), F.coalesce("root", "node").alias("root"), "head")
     heads = of.select("w", "root").join(of.groupBy("root").agg(F.min("head").alias("head")), "root").select("w", "head")
     first = (F.col("node") == F.col("head.node")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
-    judged = written(keys.join(heads, F.col("node") == F.col("w")).select(F.col("doc_id").alias("_wl_id"), F.col("node").alias("_wl_of"), "n", first.alias("first")), "judged")
-    named = docs.withColumn("_wl_node", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_wl_id")) & (F.col("_wl_node") == F.col("_wl_of"))
+    judged = written(keys.join(heads, F.col("node") == F.col("w")).select(F.col("doc_id").alias("j_id"), F.col("node").alias("j_node"), "n", first.alias("first")), "judged")
+    text = F.col("text").cast("string")
+    # By position, so that no name of docs can clash with a name in here.
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"_wl_{i}") for i, c in enumerate(docs.columns)), F.col("doc_id").cast("long").alias("own"), key_of(text).alias("node"), check_of(text).alias("check"))
+    named = told_apart(plain, shared_keys)
+    own = F.col("own").eqNullSafe(F.col("j_id")) & (F.col("node") == F.col("j_node"))
     out = named.join(judged.where("not first"), own, "left_anti")
     again = judged.where("first and n > 1")
     if not again.isEmpty():
         # dropDuplicates takes all columns of one row; only rows that are there several times move.
-        one = out.join(again, own, "left_semi").withColumn("_wl_id", F.col("doc_id").cast("long")).dropDuplicates(["_wl_id", "_wl_node"]).drop("_wl_id")
+        one = out.join(again, own, "left_semi").dropDuplicates(["own", "node"])
         out = out.join(again, own, "left_anti").unionByName(one)
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.select(*(F.col(f"_wl_{i}").alias(c) for i, c in enumerate(docs.columns)))
