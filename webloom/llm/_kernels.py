@@ -6,6 +6,8 @@ windows are computed for the whole batch with numpy, never text by text.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -173,12 +175,19 @@ def _shift_tables(bits: int) -> list[np.ndarray]:
     return _SHIFTS
 
 
+@functools.cache
+def _shift_bytes(bit: int) -> np.ndarray:
+    """What each byte of a crc32 becomes after 2 ** bit more zero bytes: 4 tables of 256."""
+    matrix = _shift_tables(bit + 1)[bit]
+    return np.stack([_apply(matrix, np.arange(256, dtype=np.uint32) << np.uint32(8 * i)) for i in range(4)])
+
+
 def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     """The crc32 values after `n_bytes` more zero bytes (no initial or final inversion)."""
     out, n = crc.astype(np.uint32), n_bytes.astype(np.int64)
-    top = int(n.max(initial=0)).bit_length()
-    for bit, matrix in enumerate(_shift_tables(top)[:top]):
+    for bit in range(int(n.max(initial=0)).bit_length()):
         at = np.flatnonzero((n >> bit) & 1)
         if len(at):
-            out[at] = _apply(matrix, out[at])
+            x, t = out[at], _shift_bytes(bit)
+            out[at] = t[0][x & 255] ^ t[1][x >> 8 & 255] ^ t[2][x >> 16 & 255] ^ t[3][x >> 24]
     return out

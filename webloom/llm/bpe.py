@@ -192,6 +192,7 @@ class Encoder(PieceTable):
         if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or spec.get("normalizer"):
             raise ValueError("a byte-level tokenizer with the usual pattern is expected")
         self.model = self.tokenizer.model
+        self.vocabulary = self.tokenizer.get_vocab_size()
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = iter(range(256, 512))
         self.letters = [chr(b) if b in set(plain) else chr(next(odd)) for b in range(256)]
