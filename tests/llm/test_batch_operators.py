@@ -1,6 +1,7 @@
 """Chat formatting, sharding, quality, token store and packing against brute force, with odd tables."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from webloom.llm import bpe, chat_format, packing, quality, queries, sharding, token_store
 
@@ -167,7 +169,7 @@ def test_packing(spark, sf, odd):
 
 
 def test_store(spark, sf, odd, tmp_path):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id % 4 = 0").union(odd.select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
     pairs = [(r.doc_id, r.text) for r in docs.collect()]
     ids = library_ids([t for _, t in pairs])
     store = token_store.write(docs, str(tmp_path / "store"))
@@ -187,6 +189,64 @@ def test_store(spark, sf, odd, tmp_path):
     assert token_store.read_digests(spark, empty).count() == 0
 
 
+def rewrite(folder, change):
+    """Replaces the rows of a table by change(rows), in one file."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    files = sorted(x for x in os.listdir(folder) if x.endswith(".parquet"))
+    table = pa.concat_tables([pq.read_table(os.path.join(folder, x), partitioning=None) for x in files])
+    for x in os.listdir(folder):
+        os.remove(os.path.join(folder, x))
+    pq.write_table(pa.Table.from_pylist(change(table.to_pylist()), table.schema), os.path.join(folder, "part-0.parquet"))
+
+
+def swapped(rows):
+    """Two recipes of unlike documents in each other's place, each with its own root."""
+    a, b = next((a, b) for a in range(len(rows)) for b in range(a) if rows[a]["n_tokens"] == rows[b]["n_tokens"] and rows[a]["root"] != rows[b]["root"])
+    for k in ("digests", "sizes", "root"):
+        rows[a][k], rows[b][k] = rows[b][k], rows[a][k]
+    return rows
+
+
+@pytest.mark.parametrize(
+    "folder, change",
+    [
+        ("recipes", lambda rows: rows[:7] + rows[8:]),
+        ("recipes", lambda rows: rows[: len(rows) // 3]),
+        ("recipes", lambda rows: rows + rows[3:4]),
+        ("recipes", swapped),
+        ("recipes", lambda rows: [rows[0] | {"doc_id": -5}, *rows[1:]]),
+        ("recipes", lambda rows: [r | {"digests": r["digests"][16:] + r["digests"][:16]} for r in rows]),
+        ("parts/kind=1", lambda rows: rows[1:]),
+        ("parts/kind=1", lambda rows: rows + rows[:1]),
+        ("parts/kind=1", lambda rows: [rows[0] | {"ids": rows[0]["ids"][:-2] + b"zz"}, *rows[1:]]),
+        ("manifest", lambda rows: rows[:-1]),
+        ("manifest", lambda rows: [r | {"first": r["first"] + (r["part"] > 0)} for r in rows]),
+        ("manifest", lambda rows: [r | {"root": bytes(16)} if r["part"] == 1 else r for r in rows]),
+        ("manifest", lambda rows: []),
+    ],
+)
+def test_store_reads_nothing_that_was_changed(spark, sf, tmp_path, folder, change):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
+    store = token_store.write(docs, str(tmp_path / "store"))
+    rewrite(os.path.join(store, folder), change)
+    for read in (token_store.read_digests, token_store.read_ids):
+        with pytest.raises(Exception, match="chunk|recipe|document|manifest"):
+            read(spark, store).collect()
+
+
+def test_merkle_folds_as_the_whole_tree():
+    def whole(leaves):
+        while len(leaves) > 1:
+            leaves = [token_store.name_of(b"\1" + b"".join(leaves[i : i + 2])) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
+        return leaves[0]
+
+    for n in range(1, 70):
+        leaves = [token_store.name_of(str(k).encode()) for k in range(n)]
+        assert token_store.merkle(leaves) == whole(leaves)
+
+
 def test_noise_and_half_noise_are_dropped(spark, sf):
     import random
     import string
@@ -201,3 +261,44 @@ def test_noise_and_half_noise_are_dropped(spark, sf):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert len(prose) > 3 * quality.CHUNK
     assert [r.kept for r in quality.judge(df).orderBy("doc_id").collect()] == [False] * 7 + [True]
+
+
+def test_bands_reject_what_the_base_rules_let_through(spark):
+    """Repetition without repeated windows and noise in words, each beside clean prose of the same length."""
+    import random
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(6, 12))) for _ in range(14)]
+    few = [" ".join(rng.choice(words) for _ in range(n)) for n in (160, 220, 260)]
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(8)) for _ in range(n)) for n in (60, 200, 2000)]
+    df = spark.createDataFrame(list(enumerate([*few, *noise])), "doc_id long, text string")
+    rows = quality.judge(df).collect()
+    assert not any(r.base_failed for r in rows) and not any(r.kept for r in rows)
+
+
+@pytest.mark.parametrize("shards", [1, 32, 1000])
+def test_any_number_of_shards(spark, sf, shards):
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.lit(3).alias("key"), F.lit("x").alias("bin"))
+    rows = sharding.assign(df, "doc_id", shards=shards).collect()
+    slots = {}
+    for r in rows:
+        assert r.shard == jump_one(int(sharding.stable_key(np.array([r.doc_id]))[0]), shards) and r.grown_shard in (r.shard, shards) and (r.key, r.bin) == (3, "x")
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == df.count() and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_counts_too_many_to_broadcast(spark, sf, monkeypatch):
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
+    want = Counter((r.doc_id, r.shard) for r in sharding.assign(df, shards=16).collect())
+    monkeypatch.setattr(sharding, "MAX_COUNTS", 4)
+    rows = sharding.assign(df, shards=16).collect()
+    assert Counter((r.doc_id, r.shard) for r in rows) == want and len({(r.shard, r.slot) for r in rows}) == len(rows)
+
+
+def test_buckets_of_equal_lengths(spark, sf, tmp_path):
+    pieces = packing.pack(spark.read.parquet(f"{sf}/documents.parquet"))
+    packing.write(pieces, str(tmp_path / "packed"))
+    want = Counter(r.length for r in pieces.select("length").collect())
+    for length, n in want.items():
+        rows = packing.read(spark, str(tmp_path / "packed"), length).collect()
+        assert len(rows) == n and all(len(r.ids) == 4 * length for r in rows)

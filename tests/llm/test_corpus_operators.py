@@ -49,7 +49,7 @@ def test_substrings_whole_table(spark, sf):
     assert as_counter(queries.op2_level_doubling(spark, sf)) == brute_substrings(rows, 35)
 
 
-@pytest.mark.parametrize("levels", [1, 2, 3])
+@pytest.mark.parametrize("levels", [1, 2, 3, 4])
 def test_substrings_odd_rows(spark, levels):
     rng = random.Random(levels)
     rows = [(k, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))) for k in range(40)]
@@ -203,6 +203,28 @@ def test_round_trip_whole_table(spark, sf):
     assert spm_viterbi.encode(odd.limit(0)).count() == 0
 
 
+def test_ids_of_the_whole_table_equal_the_lattice_and_the_stream(spark, sf):
+    import zlib
+
+    e = spm_viterbi.encoder(spm_viterbi.default_path())
+    ids = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in queries.op8_streaming_viterbi(spark, sf).collect()}
+    for r in docs_of(spark, sf).collect():
+        streamed = list(e.stream(e.points(" " + r.text))) if r.text else []
+        if len(r.text or "") < 2000:
+            assert streamed == (viterbi(e, e.points(" " + r.text)) if r.text else [])
+        assert ids[r.doc_id] == (len(streamed), zlib.crc32(np.array(streamed, "<u4").tobytes()))
+
+
+def test_models_with_pieces_over_words_are_streamed():
+    e = spm_viterbi.Encoder(spm_viterbi.default_path())
+    e.pieces[tuple(e.points(" of the"))] = (5, -100.0)
+    e.longest, e.over_words = max(e.longest, 7), True
+    texts = ["one of the cats", "", "of the"]
+    ids, offsets = e.encode_texts(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [viterbi(e, e.points(" " + t)) if t else [] for t in texts]
+    assert ids.tolist().count(5) == 2
+
+
 # Near-dedup.
 
 
@@ -288,6 +310,30 @@ def test_near_duplicates_of_a_large_family(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in order_minhash.classes(df).collect()} == brute_classes(rows)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Families of 80 to 150 words with 1 to 3 words replaced: no link is lost to leads, rounds or sketches."""
+    rng = random.Random(17)
+    rows = []
+    for words, edits in ((80, 1), (100, 2), (150, 3)):
+        base = [f"f{words}w{k}" for k in range(words)]
+        for _ in range(120):
+            w = list(base)
+            for at in rng.sample(range(words), edits):
+                w[at] = f"e{rng.randint(0, 999)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in order_minhash.classes(df).collect()} == brute_classes(rows)
+
+
+def test_near_duplicates_of_texts_that_share_a_key(spark, sf, monkeypatch):
+    monkeypatch.setattr(order_minhash, "key_of", lambda text: F.coalesce(F.length(text).cast("long") % 50, F.lit(0)))
+    rows = sorted((r.doc_id, r.text) for r in docs_of(spark, sf).collect())[:80]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    assert {r.doc_id: r.component_id for r in order_minhash.classes(df).collect()} == want
+    assert {r.doc_id for r in order_minhash.keep_one(df).collect()} == set(want.values())
+
+
 def test_near_duplicates_go_by_row(spark):
     near = " ".join(f"w{k}" for k in range(60))
     other, third = " ".join(f"v{k}" for k in range(60)), " ".join(f"u{k}" for k in range(60))
@@ -362,7 +408,69 @@ def test_languages_odd_rows(spark):
     kept = language_id.keep_known(df)
     assert kept.schema == df.schema and kept.count() == len(rows) - 3
     assert language_id.identify(df.limit(0)).count() == 0
-    assert {r.lang_pred for r in language_id.identify(df.where("lang is null")).collect()} == {"und"}
+    unlabelled = df.where("lang is null")
+    assert {r.lang_pred for r in language_id.identify(unlabelled).collect()} == {"und"}
+    assert language_id.keep_known(unlabelled).count() == unlabelled.count() == 2
+    assert {r.doc_id for r in language_id.keep_known(df, {"fr"}).collect()} == {*range(100, 120), 203}
+
+
+def test_texts_of_no_learned_language_go(spark, sf):
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (40, 400, 4000)]
+    docs = docs_of(spark, sf)
+    other = [t for (t,) in docs.where("lang = 'de' and length(text) > 300").select("text").collect()]
+    learned = docs.where("lang in ('en', 'fr')")
+    more = spark.createDataFrame([(10_000 + k, t, None, "x", 0) for k, t in enumerate([*noise, *other])], docs.schema)
+    kept = {r.doc_id for r in language_id.keep_known(learned.union(more).withColumn("_wl_lettered", F.lit(False))).collect()}
+    assert not {d for d in kept if d < 10_003 and d >= 10_000} and len([d for d in kept if d >= 10_003]) <= len(other) // 20
+    assert {r.doc_id for r in learned.where(r"text rlike '\\p{L}'").collect()} <= kept
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    """No label is left out, however many there are, also where the sample is too large to broadcast."""
+    monkeypatch.setattr(language_id, "MAX_CHOSEN", 0)
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 30, f"l{k:03}") for k in range(400)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), chars=50)
+    assert model.languages == [r[2] for r in rows]
+
+
+def test_predictions_equal_a_greedy_parse_of_the_whole_table(spark, sf):
+    """Every text of the table against each language's learned bytes, parsed phrase by phrase."""
+    docs = docs_of(spark, sf)
+    model = language_id.fit(docs, ~language_id.held_out() & F.col("doc_id").isNotNull(), chars=1500)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    known = {k: bytes(language_id.normalised([" ".join(t)])[0]) for k, t in _learned(docs, 1500).items()}
+    assert sorted(known) == model.languages
+    texts = [t or "" for _, t in rows]
+    data, offsets = language_id.normalised(texts)
+    got = model.phrases(data, offsets)
+    for k, language in enumerate(model.languages):
+        for n in range(len(texts)):
+            whole, count = bytes(data[offsets[n] : offsets[n + 1]]), 0
+            for s in range(0, len(whole), language_id.SEGMENT):
+                rest = whole[s : s + language_id.SEGMENT]
+                while rest:
+                    size = 1
+                    while size < len(rest) and rest[: size + 1] in known[language]:
+                        size += 1
+                    rest, count = rest[size:], count + 1
+            assert got[n, k] == count
+
+
+def _learned(docs, chars):
+    """The sample by hand: per language the rows that are not held out in the order of the hash of doc_id."""
+    import zlib
+
+    ranked = docs.where(r"text rlike '\\p{L}' and lang is not null and doc_id is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h")).collect()
+    out, sizes = defaultdict(list), Counter()
+    for r in sorted(ranked, key=lambda r: (r.lang, r.h)):
+        held = zlib.crc32(str(r.doc_id).encode()) % 5 == 0
+        before = sizes[r.lang]
+        if not held and before < chars:
+            text = r.text[next(i for i, c in enumerate(r.text) if c.isalpha()) :][:chars]
+            sizes[r.lang] += len(text.encode())
+            out[r.lang].append(text.encode()[: chars - before].decode(errors="ignore"))
+    return out
 
 
 def test_languages_of_long_texts_and_many(spark, monkeypatch):
@@ -405,7 +513,7 @@ def test_pipeline_stage_by_stage(spark, sf):
         out[name] = now
     before = {r.doc_id: r for r in docs.collect()}
     lettered = {d for d, r in before.items() if r.text and any(c.isalpha() for c in r.text)}
-    assert {r.doc_id for r in out["language_id"].collect()} == lettered
+    assert {r.doc_id for r in out["language_id"].collect()} == lettered  # no text of this table is of another language
     z = zstandard.ZstdCompressor(level=3)
     judged = {r.doc_id: r.kept for r in quality.judge(out["language_id"]).collect()}
     assert {r.doc_id for r in out["quality_rules"].collect()} == {d for d, ok in judged.items() if ok}
