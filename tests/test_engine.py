@@ -373,3 +373,94 @@ def test_json_tokens():
 
     text = '{"a": ["b\\"", -1.5e3, true]}'
     assert [(text[a:b], k) for a, b, k in structured.tokens(text)] == [('"a"', "key"), ('"b\\""', "string"), ("-1.5e3", "number"), ("true", "word")]
+
+
+def test_robots_are_fetched(spark, tmp_path):
+    """With default settings a disallowed path is a failed row, from a fetcher and from stored pages."""
+    site = SITE | {"https://a.example/robots.txt": "User-agent: *\nDisallow: /secret\n"}
+    asked = Crawl(spark, AuditConfig(), str(tmp_path / "f"), fetcher=fetcher_of(site)).run(["a.example"])
+    stored = spark.createDataFrame(list(site.items()), "url string, html string")
+    offline = Crawl(spark, AuditConfig(), str(tmp_path / "o"), stored=stored).run(["a.example"])
+    for rows in (asked, offline):
+        row = rows.where("url = 'https://a.example/secret/x'").first()
+        assert (row.indexability_status, row.error_message, row.status_code) == ("Blocked by Robots.txt", "Blocked by Robots.txt", None)
+        assert rows.where("error_message = 'Blocked by Robots.txt'").count() == 1
+    free = Crawl(spark, AuditConfig(respect_robots=False), str(tmp_path / "n"), stored=spark.createDataFrame([*site.items(), ("https://a.example/secret/x", "s")], "url string, html string")).run(["a.example"])
+    assert free.where("url = 'https://a.example/secret/x'").first().status_code == 200
+
+
+def test_model_catalogue_is_fetched():
+    def fetch(targets):
+        for url in targets:
+            yield {"url": url, "status_code": 200 if url == "m" else 500, "body": b'{"data": [{"id": "b"}, {"id": "a"}]}'}
+
+    assert seeds.fetch_models(fetch, "m") == ["a", "b"] and seeds.fetch_models(fetch, "x") == []
+
+
+def test_images_are_downloaded(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def fetch(targets):
+        for url in targets:
+            yield {"url": url, "status_code": 404 if url == "t" else 200, "body": url.encode()}
+
+    def put(path, body):
+        import os
+
+        os.makedirs(f"{folder}/images", exist_ok=True)
+        with open(f"{folder}/{path}", "wb") as f:
+            f.write(body)
+
+    df = crawl_rows(spark, {"images": [("s", None, None), ("t", "", None)]}, {"url": "https://a.example/2", "images": [("s", None, None)]})
+    got = export.download_images(df, fetch, put)
+    (stored,) = got.collect()
+    assert stored.src == "s" and (tmp_path / stored.local_path).read_bytes() == b"s"
+    assert [i.local_path for r in export.with_local_images(df, got).collect() for i in r.images if i.src == "s"] == [stored.local_path] * 2
+
+
+def test_labels_are_cut_by_bytes(spark):
+    long = "/" + "é" * 40
+    assert one(spark, text.tail_label(F.col("u")), long, long + "x", "/short") == ["..." + "é" * 14, "..." + "é" * 13 + "x", "/short"]
+
+
+def test_layout_of_some_open_folders(spark):
+    df = crawl_rows(spark, {"url": "https://a.example/"}, {"url": "https://a.example/x/p.html"}, {"url": "https://a.example/x/y/q.html"}, {"url": "https://a.example/z/r.html"})
+    some = spark.createDataFrame([("/",), ("/x/",)], "path string")
+    rows = [(r.kind, r.path, r.label) for r in tree.layout(df, expanded=some).orderBy("idx").collect()]
+    assert rows == [("folder", "/", "Root (/) (4) [-]"), ("folder", "/x/", "x (2) [-]"), ("folder", "/x/y/", "y (1) [+]"), ("page", "/x/", "/x/p.html"), ("folder", "/z/", "z (1) [+]"), ("page", "/", "/")]
+    shut = tree.layout(df, expanded=some.limit(0)).collect()
+    assert [r.path for r in shut] == ["/"]
+    drawn = tree.painted(tree.projected(tree.layout(df), 0.3, 0.1)).orderBy("paint").collect()
+    assert [r.proj_z for r in drawn] == sorted(r.proj_z for r in drawn) and [r.paint for r in drawn] == list(range(1, len(drawn) + 1))
+
+
+def test_inlinks_of_two_streams(spark, tmp_path):
+    """A link before its page, one after it, and one to no page."""
+    for name, batches, kind in (("rows", [[("t",)], [("u",)]], "url string"), ("edges", [[("a", "t"), ("b", "u"), ("a", "z")], [("c", "t")]], "src string, dst string")):
+        for k, batch in enumerate(batches):
+            spark.createDataFrame(batch, kind).coalesce(1).write.parquet(str(tmp_path / name / f"part={k}"))
+    read = lambda name, kind: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / name))
+    told = events.drain(events.inlinks_stream(read("rows", "url string"), read("edges", "src string, dst string")), "update")
+    last = {r.url: r.inlinks for r in told.groupBy("url").agg(F.max_by("inlinks", "n").alias("inlinks")).collect()}
+    assert last == {"t": ["a", "c"], "u": ["b"]}
+
+
+def test_audits_are_recounted_by_batch(spark, tmp_path):
+    first = crawl_rows(spark, {"url": "https://a.example/1", "title": "same"})
+    second = crawl_rows(spark, {"url": "https://a.example/2", "title": "same"}, {"url": "https://a.example/3"})
+    told = {}
+    handle = events.recounting(str(tmp_path / "pages"), lambda counts, n: told.update({n: {r.filter: r["count"] for r in counts.collect()}}))
+    handle(first, 0)
+    handle(second, 1)
+    handle(second, 1)
+    assert (told[0]["all"], told[0]["title_duplicate"]) == (1, 0) and (told[1]["all"], told[1]["title_duplicate"], told[1]["title_missing"]) == (3, 2, 1)
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from webloom import shared
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {})
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(SimpleNamespace(conf={}, sparkContext=context))

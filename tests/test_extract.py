@@ -121,3 +121,29 @@ def test_tidy_is_idempotent(text):
 def test_any_html_is_taken(html):
     got = extract.extract("https://a.example/", html)
     assert got["word_count"] >= 0 and isinstance(got["markdown"], str)
+
+
+DEEP = 100_000
+
+
+@pytest.mark.parametrize("opening, closing", [("<div>", "</div>"), ("<div>", ""), ("<ul><li>", ""), ("<div itemscope itemprop=p>", "</div>"), ("<b>", ""), ("<section><p>", "")])
+def test_deep_pages(opening, closing):
+    """No page is too deep: neither the tree, nor the fields, nor Markdown or microdata recurse."""
+    depth = DEEP if "li" not in opening and opening != "<b>" else 3000
+    page = f"<title>t</title><body>{opening * depth}<h1>end</h1>{closing * depth}"
+    out = extract.extract("https://a.example/", page, AuditConfig(extract_microdata=True))
+    assert out["title"] == "t" and out["h1"] == "end" and "end" in out["markdown"]
+
+
+def test_microdata_of_many_levels():
+    page = "".join(f'<div itemscope itemprop="p{k}" itemtype="https://schema.org/T"><span itemprop=n>v{k}</span>' for k in range(2000))
+    (block,) = structured.microdata(htmltree.parse(page))
+    assert block.count('"@type"') == structured.DEEPEST + 1 and "v1999" in block
+
+
+def test_batches_are_cut_by_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"url": list("abcde"), "html": ["x" * 10, None, "y" * 30, "z", "w" * 9]})
+    monkeypatch.setattr(extract, "STEP_BYTES", 12)
+    assert [b.column(0).to_pylist() for b in extract._steps([batch], "html")] == [["a", "b"], ["c"], ["d", "e"]]

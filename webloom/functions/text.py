@@ -60,10 +60,21 @@ def strip_markdown(text: Column) -> Column:
     return F.regexp_replace(text, r"\[([^\]]*)(?:\]|\z)(?:\([^)]*(?:\)|\z))?|[*_`#]", "$1")
 
 
+def marked(text: Column) -> Column:
+    """The text in lower case between two \x01, with what is neither letter, number nor space as \x01."""
+    return F.concat(F.lit("\x01"), F.regexp_replace(F.lower(text), f"[^{_WORD} ]", "\x01"), F.lit("\x01"))
+
+
 def whole_word_at(text: Column, keyword: Column) -> Column:
     """The 1-based place of the first hit of a keyword of letters, numbers and spaces that is no part of a longer word; 0 if none."""
-    pattern = F.concat(F.lit(rf"(?<![{_WORD}])\Q"), keyword, F.lit(rf"\E(?![{_WORD}])"))
-    return F.regexp_instr(F.lower(text), pattern)
+    return whole_word_in(marked(text), keyword)
+
+
+def whole_word_in(marked: Column, keyword: Column) -> Column:
+    """The same in a marked text: plain searches for the keyword between each two borders, without a pattern a row."""
+    borders = [F.lit(" "), F.lit("\x01")]
+    hits = [F.nullif(F.instr(marked, F.concat(a, keyword, b)), F.lit(0)) for a in borders for b in borders]
+    return F.coalesce(F.least(*hits), F.lit(0))
 
 
 def escape_markup(text: Column) -> Column:
@@ -111,5 +122,7 @@ def status_label(status: Column, missing: str = "Err") -> Column:
 
 
 def tail_label(text: Column) -> Column:
-    """A long path from its end."""
-    return F.when(F.octet_length(text) > 30, F.concat(F.lit("..."), F.right(text, F.lit(28)))).otherwise(text)
+    """A long path from its end: its last 28 bytes, or the characters that are whole in them."""
+    raw = F.encode(text, "UTF-8")
+    ends = [F.try_validate_utf8(F.substring(raw, F.octet_length(text) - n + 1, F.lit(n)).cast("string")) for n in (28, 27, 26, 25)]
+    return F.when(F.octet_length(text) > 30, F.concat(F.lit("..."), F.coalesce(*ends))).otherwise(text)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.config import AuditConfig
 from webloom.functions import urls
 
+from .ranks import ranked
+
 
 def edges(pages: DataFrame) -> DataFrame:
     """src, dst of all links, copies included."""
@@ -98,19 +100,6 @@ def sorted_view(pages: DataFrame, column: str, descending: bool = False) -> Data
 
 
 def placed(pages: DataFrame, column: str) -> DataFrame:
-    """All rows of pages with their place in the grid's order by one column, ties by URL.
-
-    Ranges between sampled keys are numbered each by itself and begin after the rows of those before, so no task has
-    all rows; the keys are the same on every run, so ranges and counts agree.
-    """
-    spark, missing = pages.sparkSession, F.lit("") if dict(pages.dtypes)[column] == "string" else F.lit(0)
-    keyed = pages.withColumn("_key", F.struct(F.coalesce(F.col(column), missing).alias("value"), F.coalesce("url", F.lit("")).alias("link")))
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sample = sorted(tuple(r[0]) for r in keyed.orderBy(F.xxhash64("url"), "url").limit(20 * n).select("_key").collect())
-    bounds = spark.createDataFrame([([sample[len(sample) * k // n] for k in range(1, n)] if sample else [],)], f"_bounds array<{keyed.schema['_key'].dataType.simpleString()}>")
-    ranged = keyed.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col("_key")))).drop("_bounds")
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # One row a range, of which there are no more than shuffle partitions.
-    starts = ranged.groupBy("_range").count().select(F.col("_range").alias("_of"), before.alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
-    return ranged.withColumn("_local", local).join(F.broadcast(starts), F.col("_range") == F.col("_of")).withColumn("place", F.col("_before") + F.col("_local")).drop("_key", "_range", "_local", "_of", "_before")
+    """All rows of pages with their place in the grid's order by one column, ties by URL."""
+    missing = F.lit("") if dict(pages.dtypes)[column] == "string" else F.lit(0)
+    return ranked(pages, [F.coalesce(F.col(column), missing), F.coalesce("url", F.lit(""))])

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import text, urls
+from webloom.shared import written
+
+from .ranks import ranked
 
 PAGES_SHOWN = 25
 
@@ -73,27 +76,40 @@ def shown_pages(pages: DataFrame, most: int = PAGES_SHOWN) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("folder").orderBy("url"))).where(F.col("rank") <= most).drop("r", "part")
 
 
-def layout(pages: DataFrame, inlinks: DataFrame | None = None) -> DataFrame:
-    """Nodes of the fully opened tree in drawing order: kind, path, url, label, depth, idx, radius, x, y, x3, y3, z3, ...
+def _hidden(paths: DataFrame, expanded: DataFrame) -> DataFrame:
+    """The paths (path, its parts) with a folder above them that is not expanded (path)."""
+    above = paths.select("path", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("n"), "parts").select("path", _path(F.col("parts"), F.col("n")).alias("up"))
+    return above.join(expanded.select(F.col("path").alias("up")).distinct(), "up", "left_anti").select("path").distinct()
+
+
+def layout(pages: DataFrame, inlinks: DataFrame | None = None, expanded: DataFrame | None = None) -> DataFrame:
+    """Nodes of the opened tree in drawing order: kind, path, url, label, depth, idx, radius, x, y, x3, y3, z3, ...
 
+    Without expanded (path) all folders are open; with it those it names, and what lies in others is not drawn.
     Drawing order is folders before pages, depth first, by name: a sort key from the path says where a node stands, and
-    idx and y are running sums over it. What is drawn is limited to PAGES_SHOWN pages a folder.
+    idx and y are running sums over it, made in ranges. What is drawn is limited to PAGES_SHOWN pages a folder.
     """
-    tree = rollup(pages)
+    tree = rollup(pages).withColumn("open", F.lit(True))
     # A folder's key is its path with \x01 between segments; its pages come after all of its folders: \x7f.
     key = F.when(F.col("path") == "/", "").otherwise(F.translate(F.substring("path", 2, 1 << 30), "/", "\x01"))
-    dirs = tree.select(F.lit("folder").alias("kind"), "path", F.lit(None).cast("string").alias("url"), "name", "depth", "pages", "errors", F.lit(None).cast("int").alias("status_code"), F.lit(True).alias("indexable"), key.alias("key"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("inlinks"))
+    dirs = tree.select(F.lit("folder").alias("kind"), "path", F.lit(None).cast("string").alias("url"), "name", "depth", "pages", "errors", F.lit(None).cast("int").alias("status_code"), F.lit(True).alias("indexable"), key.alias("key"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("inlinks"), "open")
     shown = shown_pages(pages)
+    if expanded is not None:
+        named = tree.select("path", F.filter(F.split("path", "/"), lambda x: x != "").alias("parts"))
+        shut = _hidden(named.where("path <> '/'"), expanded)
+        open_ones = expanded.select(F.col("path").alias("e")).distinct()
+        dirs = dirs.join(shut, "path", "left_anti").drop("open").join(open_ones, F.col("path") == F.col("e"), "left").withColumn("open", F.col("e").isNotNull()).drop("e")
+        shown = shown.join(dirs.where("open").select(F.col("path").alias("d")), F.col("folder") == F.col("d"), "left_semi")
     if inlinks is not None:
         shown = shown.join(inlinks.select(F.col("dst"), F.col("n").alias("n_in")), F.col("url") == F.col("dst"), "left")
     else:
         shown = shown.withColumn("n_in", F.lit(0))
     own = F.when(F.col("folder") == "/", "").otherwise(F.translate(F.substring("folder", 2, 1 << 30), "/", "\x01"))
-    leaves = shown.select(F.lit("page").alias("kind"), F.col("folder").alias("path"), "url", F.lit(None).cast("string").alias("name"), (F.size("parts") + 1).alias("depth"), F.lit(1).cast("long").alias("pages"), F.lit(0).cast("long").alias("errors"), "status_code", "indexable", F.concat(own, F.lit("\U0010ffff")).alias("key"), "rank", F.coalesce("n_in", F.lit(0)).cast("long").alias("inlinks"))
-    nodes = dirs.unionByName(leaves)
-    order = Window.orderBy("key", "rank")
+    leaves = shown.select(F.lit("page").alias("kind"), F.col("folder").alias("path"), "url", F.lit(None).cast("string").alias("name"), (F.size("parts") + 1).alias("depth"), F.lit(1).cast("long").alias("pages"), F.lit(0).cast("long").alias("errors"), "status_code", "indexable", F.concat(own, F.lit("\U0010ffff")).alias("key"), "rank", F.coalesce("n_in", F.lit(0)).cast("long").alias("inlinks"), F.lit(False).alias("open"))
+    nodes = written(dirs.unionByName(leaves), "nodes")
     step = F.when(F.col("path").eqNullSafe("/") & (F.col("kind") == "folder"), 0.0).when(F.col("kind") == "folder", 65.0).otherwise(36.0)
-    nodes = nodes.withColumn("idx", (F.row_number().over(order) - 1).cast("long")).withColumn("y", F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    nodes = ranked(nodes, [F.col("key"), F.col("rank")], "idx", {"y": step}).withColumn("idx", (F.col("idx") - 1).cast("long"))
+    # A folder has PAGES_SHOWN pages at most here, so no window is large.
     folder_idx = F.max(F.when(F.col("kind") == "folder", F.col("idx"))).over(Window.partitionBy("path"))
     nodes = nodes.withColumn("folder_idx", folder_idx)
     page = F.col("kind") == "page"
@@ -102,7 +118,7 @@ def layout(pages: DataFrame, inlinks: DataFrame | None = None) -> DataFrame:
     phi = F.pmod(F.col("folder_idx") * F.lit(0.35), F.lit(math.pi))
     r = F.lit(140.0) + fdepth * 90.0 + F.when(page, 60.0).otherwise(0.0)
     radius = F.when(page, F.least(F.lit(18.0), 6.0 + F.sqrt("inlinks") * 1.5)).otherwise(F.least(F.lit(35.0), 12.0 + F.sqrt("pages") * 2.2))
-    label = F.when(page, text.tail_label(F.coalesce(F.nullif(urls.path(F.col("url")), F.lit("")), F.col("url")))).otherwise(F.concat(F.when(F.col("path") == "/", "Root (/)").otherwise(F.col("name")), F.lit(" ("), F.col("pages").cast("string"), F.lit(") [-]")))
+    label = F.when(page, text.tail_label(F.coalesce(F.nullif(urls.path(F.col("url")), F.lit("")), F.col("url")))).otherwise(F.concat(F.when(F.col("path") == "/", "Root (/)").otherwise(F.col("name")), F.lit(" ("), F.col("pages").cast("string"), F.when(F.col("open"), ") [-]").otherwise(") [+]")))
     return nodes.select("kind", "path", "url", label.alias("label"), "depth", "idx", "folder_idx", "pages", "errors", "status_code", "indexable", radius.alias("radius"), (F.col("depth") * 240.0 - 450.0).alias("x"), "y", (r * F.sin(phi) * F.cos(theta)).alias("x3"), (r * F.sin(phi) * F.sin(theta)).alias("y3"), (r * F.cos(phi)).alias("z3"))
 
 
@@ -122,6 +138,11 @@ def projected(nodes: DataFrame, yaw: float = 0.0, pitch: float = 0.0, camera: fl
     return nodes.withColumns({"proj_x": x1 * scale, "proj_y": y2 * scale, "proj_z": z2, "proj_scale": scale})
 
 
+def painted(nodes: DataFrame) -> DataFrame:
+    """Projected nodes with `paint`, their place in the order they are drawn in: the least proj_z first."""
+    return ranked(written(nodes, "projected"), [F.col("proj_z"), F.col("idx")], "paint")
+
+
 def colour() -> Column:
     """The colour class of a node."""
     status = F.col("status_code")

@@ -47,6 +47,7 @@ class Crawl:
     work: str
     fetcher: seeds.Fetcher | None = None
     stored: DataFrame | None = None
+    #: Disallowed prefixes; read from the robots.txt beside the first seed if not given.
     robots: list[str] | None = None
 
     def _has(self, path: str) -> bool:
@@ -69,6 +70,9 @@ class Crawl:
         """CRAWL rows of all that can be reached from seed lines, inlinks merged."""
         spark, config = self.spark, self.config
         good, bad = seeds.seed_rows(lines)
+        if config.respect_robots and self.robots is None and good:
+            ask = self.fetcher if self.stored is None else seeds.stored_fetcher(self.stored)
+            self.robots = seeds.fetch_robots(ask, good[0], config.user_agent)
         base = (urls.normalise(good[0]) or "").split("://", 1)[-1].split("/")[0].split(":")[0] if good else "localhost"
         catalogue = None
         if config.crawl_mode == "Path" and good:

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    return from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def from_documents(docs: DataFrame) -> DataFrame:
+    docs = docs.where("text is not null")
     i = F.col("doc_id")
     url = F.concat(F.lit("https://site.example/"), "lang", F.lit("/"), "source", F.lit("/"), i.cast("string"))
     line = F.substring_index("text", "\n", 1)

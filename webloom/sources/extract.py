@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +85,23 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+#: Bytes of HTML that are held as fields at a time; a longer page is a step of its own.
+STEP_BYTES = 1 << 23
+
+
+def _steps(batches, html: str):
+    """Slices of batches with at most STEP_BYTES of HTML each."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(html))), 0).to_pylist()
+        begin = held = 0
+        for i, size in enumerate(sizes):
+            if held and held + size > STEP_BYTES:
+                yield batch.slice(begin, i - begin)
+                begin, held = i, 0
+            held += size
+        yield batch.slice(begin)
+
+
 def extract_pages(pages: DataFrame, config: AuditConfig | None = None, html: str = "html", markdown: bool = True) -> DataFrame:
     """pages (url, HTML as text or bytes) with the PARSED fields; bytes are read as UTF-8, faulty ones replaced.
 
@@ -97,7 +115,7 @@ def extract_pages(pages: DataFrame, config: AuditConfig | None = None, html: str
 
     def run(batches):
         tests = ignored(config)
-        for batch in batches:
+        for batch in _steps(batches, html):
             index = {n: i for i, n in enumerate(batch.schema.names)}
             rows = []
             for url, body in zip(batch.column(index["url"]).to_pylist(), batch.column(index[html]).to_pylist()):

@@ -8,6 +8,7 @@ Elements inside a table that do not belong there stay where they are written (no
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -59,6 +60,8 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("html", {}, None)
         self.open = [self.root]
+        # How many elements of each tag are open, so that deep pages are not searched for tags that are not.
+        self.counts: Counter[str] = Counter()
         self.head: Element | None = None
         self.body: Element | None = None
         self.reopen: list[tuple[str, dict]] = []
@@ -68,12 +71,22 @@ class _Builder(HTMLParser):
     def _push(self, tag: str, attrs: dict[str, str]) -> Element:
         node = Element(tag, attrs, self.open[-1])
         self.open[-1].children.append(node)
-        self.open.append(node)
+        self._enter(node)
         return node
 
+    def _enter(self, node: Element) -> None:
+        self.open.append(node)
+        self.counts[node.tag] += 1
+
+    def _leave(self, at: int) -> None:
+        """Takes all open elements from this place on from the stack."""
+        for e in self.open[at:]:
+            self.counts[e.tag] -= 1
+        del self.open[at:]
+
     def _in_body(self) -> None:
         if self.body is None:
-            del self.open[1:]
+            self._leave(1)
             self.body = self._push("body", {})
 
     def _place(self, tag: str) -> None:
@@ -83,7 +96,7 @@ class _Builder(HTMLParser):
                 if self.head is None:
                     self.head = self._push("head", {})
                 elif len(self.open) == 1:
-                    self.open.append(self.head)
+                    self._enter(self.head)
             else:
                 self._in_body()
 
@@ -95,10 +108,12 @@ class _Builder(HTMLParser):
     def _close(self, at: int) -> None:
         """Closes the open element at this place and all inside; formatting ones are reopened later."""
         inner = [(e.tag, e.attrs) for e in self.open[at + 1 :] if e.tag in FORMATTING]
-        del self.open[at:]
+        self._leave(at)
         self.reopen = inner + self.reopen
 
     def _find(self, tags, stops) -> int:
+        if not any(self.counts[t] for t in tags):
+            return 0
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].tag in tags:
                 return at
@@ -146,7 +161,7 @@ class _Builder(HTMLParser):
             self._restore()
         node = self._push(tag, own)
         if tag in VOID:
-            self.open.pop()
+            self._leave(len(self.open) - 1)
         elif tag == "plaintext":
             self.set_cdata_mode(tag)
         return node
@@ -159,14 +174,14 @@ class _Builder(HTMLParser):
             return
         if tag == "head":
             if self.head is not None and self.body is None:
-                del self.open[1:]
+                self._leave(1)
             return
         if tag == "br":
             self.handle_starttag("br", [])
             return
         if tag == "p" and not self._find(("p",), SCOPE):
             self.handle_starttag("p", [])
-            self.open.pop()
+            self._leave(len(self.open) - 1)
             return
         if tag in HEADINGS:
             at = self._find(HEADINGS, SCOPE)

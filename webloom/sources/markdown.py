@@ -41,23 +41,36 @@ def tidy(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
+def _run(step):
+    """Runs a generator that yields further ones, whose results it is sent: nesting of any depth needs no recursion."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
 class _Writer:
-    """Renders nodes into a list of strings; `end` tells the last character written so far."""
+    """Renders nodes into a list of strings; methods that go down are generators for `_run`."""
 
     def __init__(self, config: AuditConfig, tests: list):
         self.config, self.tests = config, tests
 
-    def inner(self, element: Element, level: int, pre: bool) -> str:
+    def inner(self, element: Element, level: int, pre: bool):
         out: list[str] = []
-        self.children(element, out, level, pre)
+        yield self.children(element, out, level, pre)
         return "".join(out)
 
-    def children(self, element: Element, out: list[str], level: int, pre: bool) -> None:
+    def children(self, element: Element, out: list[str], level: int, pre: bool):
         for child in element.children:
             if isinstance(child, str):
                 self.string(child, out, pre)
             else:
-                self.element(child, out, level, pre)
+                yield self.element(child, out, level, pre)
 
     @staticmethod
     def string(text: str, out: list[str], pre: bool) -> None:
@@ -74,34 +87,38 @@ class _Writer:
         if text[-1].isspace():
             out.append(" ")
 
-    def element(self, e: Element, out: list[str], level: int, pre: bool, number: int | None = None) -> None:
+    def element(self, e: Element, out: list[str], level: int, pre: bool, number: int | None = None):
         tag = e.tag
         if tag in DROPPED or (tag in FRAME and self.config.md_only_main_content) or any(t(e) for t in self.tests):
             return
         block = getattr(self, f"on_{tag}", None)
         if tag == "li":
             mark = "- " if number is None else f"{number}. "
-            out.append("\n" + "  " * max(level - 1, 0) + mark + self.inner(e, level, pre).strip() + "\n")
+            inner = yield self.inner(e, level, pre)
+            out.append("\n" + "  " * max(level - 1, 0) + mark + inner.strip() + "\n")
         elif block:
-            block(e, out, level, pre)
+            yield block(e, out, level, pre)
         else:
-            self.children(e, out, level, pre)
+            yield self.children(e, out, level, pre)
 
     def _heading(self, e, out, level, pre):
-        out.append("\n\n" + "#" * int(e.tag[1]) + " " + self.inner(e, level, pre).strip() + "\n\n")
+        inner = yield self.inner(e, level, pre)
+        out.append("\n\n" + "#" * int(e.tag[1]) + " " + inner.strip() + "\n\n")
 
     on_h1 = on_h2 = on_h3 = on_h4 = on_h5 = on_h6 = _heading
 
     def on_p(self, e, out, level, pre):
-        out.append("\n\n" + self.inner(e, level, pre).strip() + "\n\n")
+        inner = yield self.inner(e, level, pre)
+        out.append("\n\n" + inner.strip() + "\n\n")
 
     def on_br(self, e, out, level, pre):
         out.append("\n")
+        yield from ()
 
     def _wrapped(mark):  # noqa: N805
         def render(self, e, out, level, pre):
             out.append(mark)
-            self.children(e, out, level, pre)
+            yield self.children(e, out, level, pre)
             out.append(mark)
 
         return render
@@ -111,22 +128,24 @@ class _Writer:
 
     def on_code(self, e, out, level, pre):
         if pre:
-            self.children(e, out, level, True)
+            yield self.children(e, out, level, True)
             return
         out.append("` ")
-        self.children(e, out, level, pre)
+        yield self.children(e, out, level, pre)
         out.append(" `")
 
     def on_pre(self, e, out, level, pre):
-        out.append("\n\n```\n" + self.inner(e, level, True) + "\n```\n\n")
+        inner = yield self.inner(e, level, True)
+        out.append("\n\n```\n" + inner + "\n```\n\n")
 
     def on_blockquote(self, e, out, level, pre):
-        inner = self.inner(e, level, pre).strip()
+        inner = yield self.inner(e, level, pre)
+        inner = inner.strip()
         out.append("\n\n" + "".join(f"> {line}\n" for line in inner.split("\n") if inner) + "\n")
 
     def on_ul(self, e, out, level, pre):
         out.append("\n\n")
-        self.children(e, out, level + 1, pre)
+        yield self.children(e, out, level + 1, pre)
         out.append("\n\n")
 
     def on_ol(self, e, out, level, pre):
@@ -135,26 +154,32 @@ class _Writer:
         for child in e.children:
             if isinstance(child, Element):
                 number += child.tag == "li"
-                self.element(child, out, level + 1, pre, number if child.tag == "li" else None)
+                yield self.element(child, out, level + 1, pre, number if child.tag == "li" else None)
         out.append("\n\n")
 
     def on_a(self, e, out, level, pre):
         href = e.attrs.get("href", "").strip()
         if href and self.config.md_keep_links:
-            out.append(f"[{self.inner(e, level, pre).strip()}]({href})")
+            inner = yield self.inner(e, level, pre)
+            out.append(f"[{inner.strip()}]({href})")
         else:
-            self.children(e, out, level, pre)
+            yield self.children(e, out, level, pre)
 
     def on_img(self, e, out, level, pre):
         src = e.attrs.get("src", "").strip()
         if src and not self.config.md_ignore_images:
             out.append(f" ![{e.attrs.get('alt', '').strip()}]({src}) ")
+        yield from ()
 
     def on_table(self, e, out, level, pre):
         rows = []
         for row in e.walk():
             if row.tag == "tr":
-                cells = [self.inner(c, level, pre).strip().replace("\n", " ").replace("|", "\\|") for c in row.walk() if c is not row and c.tag in ("td", "th")]
+                cells = []
+                for c in row.walk():
+                    if c is not row and c.tag in ("td", "th"):
+                        inner = yield self.inner(c, level, pre)
+                        cells.append(inner.strip().replace("\n", " ").replace("|", "\\|"))
                 if cells:
                     rows.append(cells)
         lines = ["| " + " | ".join(cells) + " |\n" for cells in rows]
@@ -166,6 +191,6 @@ class _Writer:
 def to_markdown(root: Element, config: AuditConfig, tests: list | None = None) -> str:
     start = main_content(root) if config.md_only_main_content else root
     out: list[str] = []
-    _Writer(config, ignored(config) if tests is None else tests).element(start, out, 0, False)
+    _run(_Writer(config, ignored(config) if tests is None else tests).element(start, out, 0, False))
     text = "".join(out)
     return tidy(text) if config.md_clean_whitespace else text.strip()

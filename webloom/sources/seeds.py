@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterable
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from webloom import schema
 from webloom.config import AuditConfig
 from webloom.functions import urls
+from webloom.shared import written
 
 
 def seed_lines(text: DataFrame, column: str = "value") -> DataFrame:
@@ -149,11 +151,17 @@ def read_project(spark: SparkSession, path: str) -> tuple[str, AuditConfig, Data
 
 
 def project_json(results: DataFrame, seed: str, config: AuditConfig, stats: DataFrame) -> DataFrame:
-    """One row with a project's JSON; a project is one document, as large as a file may be - Parquet is for more."""
-    rows = results.select(F.to_json(F.struct(*(f.name for f in schema.CRAWL.fields)), {"ignoreNullFields": "false"}).alias("row"))
-    joined = rows.agg(F.array_join(F.sort_array(F.collect_list("row")), ",\n").alias("rows"))
-    head = F.lit(f'{{"seed_url": {json.dumps(seed)}, "config": {config.to_json()}, "results": [\n')
-    return joined.crossJoin(F.broadcast(stats.select(F.to_json(F.struct("*")).alias("stats")))).select(F.concat(head, F.col("rows"), F.lit('\n], "stats": '), F.col("stats"), F.lit("}")).alias("value"))
+    """The lines of a project's JSON, in one ordered partition, for a text file.
+
+    A project is one document, so one task writes it, but a row at a time; Parquet is for results that are more.
+    """
+    spark = results.sparkSession
+    rows = written(results.select(F.monotonically_increasing_id().alias("at"), F.to_json(F.struct(*(f.name for f in schema.CRAWL.fields)), {"ignoreNullFields": "false"}).alias("value")), "project")
+    last = rows.agg(F.max("at").alias("last"))
+    lines = rows.crossJoin(F.broadcast(last)).select(F.lit(1).alias("part"), "at", F.when(F.col("at") == F.col("last"), F.col("value")).otherwise(F.concat("value", F.lit(","))).alias("value"))
+    head = spark.createDataFrame([(0, 0, f'{{"seed_url": {json.dumps(seed)}, "config": {config.to_json()}, "results": [')], "part int, at long, value string")
+    tail = stats.select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("at"), F.concat(F.lit('], "stats": '), F.to_json(F.struct("*")), F.lit("}")).alias("value"))
+    return head.union(lines).union(tail).repartition(1).sortWithinPartitions("part", "at").select("value")
 
 
 def models(catalogue: str) -> list[str]:
@@ -161,6 +169,33 @@ def models(catalogue: str) -> list[str]:
     return sorted(m["id"] for m in json.loads(catalogue).get("data", []) if isinstance(m.get("id"), str))
 
 
+def fetch_models(fetcher: Fetcher, url: str) -> list[str]:
+    """The models that a catalogue's address lists; none if it gives nothing that can be read."""
+    got = next(iter(fetcher([url])), {})
+    try:
+        return models((got.get("body") or b"{}").decode("utf-8", "replace")) if got.get("status_code") == 200 else []
+    except (ValueError, AttributeError):
+        return []
+
+
+def fetch_robots(fetcher: Fetcher, seed: str, user_agent: str) -> list[str]:
+    """The rules of the robots.txt beside a seed; none if there is no such file."""
+    got = next(iter(fetcher([urllib.parse.urljoin(seed, "/robots.txt")])), {})
+    ok = 200 <= (got.get("status_code") or 0) < 300
+    return robots_rules((got.get("body") or b"").decode("utf-8", "replace"), user_agent) if ok else []
+
+
+def stored_fetcher(pages: DataFrame) -> Fetcher:
+    """Stored pages (url, html) as a fetcher on the driver, for a few URLs."""
+
+    def fetch(targets):
+        for url in targets:
+            row = pages_as_responses(pages).where(F.col("url") == url).first()
+            yield row.asDict() if row else {"url": url, "status_code": None}
+
+    return fetch
+
+
 def suggest(requests: DataFrame, client: Callable[[str], str]) -> DataFrame:
     """requests (prompt) with `suggestion`, asked for with a client of one's own."""
     import pyarrow as pa

@@ -64,7 +64,11 @@ def _strip_all(text: str, prefix: str) -> str:
     return text
 
 
-def _item(element: Element) -> dict:
+#: Items nested deeper are given by their text: indented JSON grows with the square of its depth.
+DEEPEST = 100
+
+
+def _item(element: Element, depth: int = 0) -> dict:
     kind = "Thing"
     if "itemtype" in element.attrs:
         kind = element.attrs["itemtype"]
@@ -78,7 +82,7 @@ def _item(element: Element) -> dict:
         if "itemprop" in child.attrs:
             attribute = VALUE_OF.get(child.tag)
             plain = child.attrs.get(attribute, "") if attribute else " ".join(child.strings()).strip()
-            found.setdefault(child.attrs["itemprop"], []).append(_item(child) if scoped else plain)
+            found.setdefault(child.attrs["itemprop"], []).append(_item(child, depth + 1) if scoped and depth < DEEPEST else plain)
         if not scoped:
             pending.extend(c for c in reversed(child.children) if isinstance(c, Element))
     return {k: v[0] if len(v) == 1 else v for k, v in found.items()}

@@ -5,7 +5,6 @@ Every function takes a static or a streaming DataFrame; `drain` runs a stream ov
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from webloom.operators import dashboard, links
+from webloom.shared import new_path
 
 
 def timed(events: DataFrame, delay: str | None = "1 day", column: str = "ts") -> DataFrame:
@@ -43,14 +43,6 @@ def counters(crawled: DataFrame) -> DataFrame:
     return dashboard.status_classes(crawled)
 
 
-def shared(spark: SparkSession) -> str:
-    import os
-    import tempfile
-
-    have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return have or os.path.join(tempfile.gettempdir(), f"webloom-{os.getpid()}")
-
-
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all input that is there, and returns what it gave.
 
@@ -58,7 +50,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     its own, and the last one counts.
     """
     spark = stream.sparkSession
-    place = f"{shared(spark).rstrip('/')}/webloom-stream-{uuid.uuid4().hex}"
+    place = new_path(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
     last: list[int] = []
 
@@ -84,6 +76,44 @@ def merge_inlinks(spark: SparkSession, rows: DataFrame, edges: DataFrame) -> Dat
     return links.with_inlinks(rows, edges)
 
 
+def inlinks_stream(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """url, n, inlinks of pages, from a stream of pages (url) and one of links (src, dst), whichever comes first.
+
+    Links that come before their page wait in its state; in update mode a page is told again whenever it has more. State
+    holds the sources of each target, as the data model has them in one row.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    told = rows.select("url", F.lit(None).cast("string").alias("src")).union(edges.select("dst", "src"))
+
+    def step(key, batches, state):
+        known, sources = state.get if state.exists else (False, [])
+        before, sources = (known, len(sources)), set(sources)
+        for batch in batches:
+            known = known or bool(batch["src"].isna().any())
+            sources.update(batch["src"].dropna())
+        state.update((known, sorted(sources)))
+        if known and before != (known, len(sources)):
+            yield pd.DataFrame({"url": [key[0]], "n": [len(sources)], "inlinks": [sorted(sources)]})
+
+    return told.groupBy("url").applyInPandasWithState(step, "url string, n long, inlinks array<string>", "known boolean, sources array<string>", "update", GroupStateTimeout.NoTimeout)
+
+
+def recounting(place: str, put: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A handler of micro-batches that adds each one's pages to the table in `place` and hands on its audit counts.
+
+    A batch that comes again replaces itself. Counts are over all pages so far, duplicates of titles and the like among them.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/batch={number}")
+        pages = batch.sparkSession.read.schema(batch.schema).parquet(place)
+        put(dashboard.audit_counts(pages.select(*batch.columns)), number)
+
+    return handle
+
+
 def follow(stream: DataFrame, place: str, put: Callable[[DataFrame, int], None], mode: str = "append", every: str = "1 second") -> StreamingQuery:
     """A stream that hands each micro-batch to `put`, with its state in `place`.
 
