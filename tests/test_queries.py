@@ -42,8 +42,8 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("column", ["url", "status_code", "title", "indexability_status"])
+@pytest.mark.parametrize("column", ["url", "status_code", "title", "indexability"])
 def test_grid_orders_are_whole(spark, sf, column):
-    rows = engine.QUERIES[f"grid_order_{column}"](spark, sf).collect()
+    rows = engine.QUERIES[f"sort_{column}"](spark, sf).collect()
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert n > 100 and sorted(r.place for r in rows) == list(range(1, n + 1))

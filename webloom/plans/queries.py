@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from webloom.config import AuditConfig
 from webloom.functions import audit, text, urls
 from webloom.operators import dashboard, links, mining, tree
-from webloom.plans.surrogate import PREDICATES, SQL, doc_pages
-from webloom.sources import export, extract, seeds
+from webloom.plans.surrogate import PREDICATES, SQL, doc_pages, from_documents
+from webloom.shared import written
+from webloom.sources import export, extract, seeds, structured
 from webloom.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,7 +69,7 @@ _TITLE = _H1.replace("h1", "title")
 
 @register(f"SELECT page_id, h1, count(*) OVER (PARTITION BY h1) AS pages FROM (SELECT page_id, {_H1} AS h1 FROM pages) QUALIFY count(*) OVER (PARTITION BY h1) > 1")
 def dup_h1(spark, sf_dir):
-    rows = page_h1_extract(spark, sf_dir)
+    rows = written(page_h1_extract(spark, sf_dir), "h1")  # one pass over the pages, for counts and rows
     counts = rows.groupBy(F.col("h1").alias("v")).agg(F.count("*").alias("pages")).where("pages > 1")
     return rows.join(counts, F.col("h1") == F.col("v")).select("page_id", "h1", "pages")
 
@@ -165,34 +166,18 @@ def grid_sorted_topn(spark, sf_dir):
     return links.sorted_view(doc_pages(spark, sf_dir).select("url", "word_count"), "word_count", True).limit(50)
 
 
-def _sorted(column: str) -> None:
-    missing = "''" if column in ("title", "url") else "0"
-
-    @register(f"WITH {SQL} SELECT url, row_number() OVER (ORDER BY coalesce({column}, {missing}), url) AS place FROM doc_pages ORDER BY place LIMIT 100", f"sort_{column}")
-    def query(spark, sf_dir):
-        from pyspark.sql import Window
-
-        first = links.sorted_view(doc_pages(spark, sf_dir), column).limit(100)
-        missing = F.lit("") if column in ("title", "url") else F.lit(0)
-        return first.select("url", F.row_number().over(Window.orderBy(F.coalesce(F.col(column), missing), "url")).alias("place"))
-
-
-for _name in ("url", "status_code", "title", "word_count", "size_bytes", "depth", "response_time_ms"):
-    _sorted(_name)
-
-
-def _ordered(column: str, sql: str | None = None) -> None:
-    """The whole grid in the order of a column; sort_* are its first 100 rows."""
+def _sorted(column: str, name: str, sql: str | None = None) -> None:
+    """The whole grid in the order of a column: every row with its place."""
     missing = "''" if column in ("title", "url", "indexability_status") else "0"
 
-    @register(f"WITH {SQL} SELECT url, row_number() OVER (ORDER BY coalesce({sql or column}, {missing}), url) AS place FROM doc_pages", f"grid_order_{column}")
+    @register(f"WITH {SQL} SELECT url, row_number() OVER (ORDER BY coalesce({sql or column}, {missing}), url) AS place FROM doc_pages", f"sort_{name}")
     def query(spark, sf_dir):
         return links.placed(doc_pages(spark, sf_dir).select(*dict.fromkeys(("url", column))), column).select("url", "place")
 
 
 for _name in ("url", "status_code", "title", "word_count", "size_bytes", "depth", "response_time_ms"):
-    _ordered(_name)
-_ordered("indexability_status", "CASE WHEN indexable THEN 'Indexable' ELSE 'Other' END")
+    _sorted(_name, _name)
+_sorted("indexability_status", "indexability", "CASE WHEN indexable THEN 'Indexable' ELSE 'Other' END")
 
 
 @register(
@@ -215,14 +200,14 @@ def page_h1_extract(spark, sf_dir):
     return extract.extract_pages(pages(spark, sf_dir), markdown=False).select("page_id", "h1")
 
 
-#: hrefs as written, their entities read, on the page's host without its fragment.
-_LINKS = r"SELECT url AS src, regexp_extract(url, '^(https?://[^/?#]+)', 1) || replace(unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)), '&amp;', '&') AS dst FROM pages".replace('\\"', '"')
+#: Targets as browsers write them: the page's host without its scheme's own port, the path's other characters percent-encoded.
+_ORIGIN = "regexp_replace(regexp_replace(regexp_extract(url, '^(https?://[^/?#]+)', 1), '^(http://[^:]+):80$', '\\1'), '^(https://[^:]+):443$', '\\1')"
+_LINKS = f"SELECT url AS src, {_ORIGIN} || '/' || replace(replace(url_encode(substr(href, 2)), '%2C', ','), '%2F', '/') AS dst FROM (SELECT url, replace(unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)), '&amp;', '&') AS href FROM pages)"
 
 
-def raw_links(spark, sf_dir):
-    """Root-relative links as they are written: pages' own form, before percent-encoding."""
-    rows = pages(spark, sf_dir).select("url", F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), 1)).alias("href"))
-    return rows.select(F.col("url").alias("src"), F.concat(F.regexp_extract("url", "^(https?://[^/?#]+)", 1), F.replace("href", F.lit("&amp;"), F.lit("&"))).alias("dst"))
+def page_links(spark, sf_dir):
+    """src, dst of all links of the pages, by the extractor."""
+    return links.edges(extract.extract_pages(pages(spark, sf_dir), markdown=False))
 
 
 @register("SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href=')) AS links FROM pages")
@@ -235,13 +220,35 @@ def page_word_count(spark, sf_dir):
     return extract.extract_pages(pages(spark, sf_dir), markdown=False).select("page_id", F.col("word_count").alias("words"))
 
 
-@register()
+_WORDS = r"len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>', ''), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g'), '\S+'))"
+
+
+def _meta(name: str, key: str = "name") -> str:
+    return f"nullif(trim(regexp_extract(html, '(?is)<meta [^>]*{key}=\"{name}\"[^>]*content=\"([^\"]*)\"', 1)), '')"
+
+
+def _tags(tag: str) -> str:
+    return f"len(regexp_extract_all(html, '(?i)<{tag}[ >]'))"
+
+
+@register(
+    f"SELECT page_id, url, {_TITLE} AS title, {_meta('description')} AS meta_desc, nullif(regexp_extract(html, '(?is)<link [^>]*rel=\"canonical\"[^>]*href=\"([^\"]*)\"', 1), '') AS canonical, contains(lower(coalesce({_meta('robots')}, '')), 'noindex') AS noindex, "
+    f"{_H1} AS h1, {_tags('h1')} AS h1_count, nullif(regexp_extract(html, '(?is)<h2[^>]*>(.*?)</h2>', 1), '') AS h2, {_tags('h2')} AS h2_count, {_WORDS} AS word_count, CAST({_tags('img')} AS INT) AS images, "
+    f"coalesce((SELECT string_agg(dst, ' ' ORDER BY pos) FROM (SELECT {_ORIGIN} || '/' || replace(replace(url_encode(substr(replace(h, '&amp;', '&'), 2)), '%2C', ','), '%2F', '/') AS dst, pos FROM (SELECT unnest(hrefs) AS h, generate_subscripts(hrefs, 1) AS pos))), '') AS outlinks, "
+    f"{_meta('og:title', 'property')} AS og_title, {_meta('twitter:card')} AS twitter_card, CAST(len(regexp_extract_all(html, 'application/ld.json|itemscope')) AS INT) AS schemas, '' AS schema_errors, CAST({_tags('h[1-6]')} AS INT) AS headings "
+    "FROM (SELECT *, regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1) AS hrefs FROM pages)"
+)
 def pages_extracted_dom(spark, sf_dir):
     """All scalar fields of every page."""
     rows = extract.extract_pages(pages(spark, sf_dir), AuditConfig(extract_microdata=True))
     return rows.select("page_id", "url", "title", "meta_desc", "canonical", "noindex", "h1", "h1_count", "h2", "h2_count", "word_count", F.size("images").alias("images"), F.array_join("outlinks", " ").alias("outlinks"), "og_title", "twitter_card", F.size("schema_json_ld").alias("schemas"), F.array_join("schema_errors", "; ").alias("schema_errors"), F.size("headings").alias("headings"))
 
 
+@register(f"SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[ >]')) > 1 AS several FROM pages")
+def duplicate_h1_flag(spark, sf_dir):
+    return extract.extract_pages(pages(spark, sf_dir), markdown=False).select("page_id", audit.duplicate_h1_flag().alias("several"))
+
+
 @register()
 def html_to_markdown(spark, sf_dir):
     return extract.to_markdown_pages(pages(spark, sf_dir))
@@ -249,34 +256,34 @@ def html_to_markdown(spark, sf_dir):
 
 @register(_LINKS)
 def link_edges(spark, sf_dir):
-    return raw_links(spark, sf_dir)
+    return page_links(spark, sf_dir)
 
 
 @register(f"SELECT dst, string_agg(DISTINCT src, ' ' ORDER BY src) AS sources, count(DISTINCT src) AS n FROM ({_LINKS}) GROUP BY dst")
 def inlinks(spark, sf_dir):
-    grouped = raw_links(spark, sf_dir).groupBy("dst").agg(F.array_sort(F.collect_set("src")).alias("s"))
+    grouped = page_links(spark, sf_dir).groupBy("dst").agg(F.array_sort(F.collect_set("src")).alias("s"))
     return grouped.select("dst", F.array_join("s", " ").alias("sources"), F.size("s").cast("long").alias("n"))
 
 
 @register(f"SELECT src, count(*) AS links, count(DISTINCT dst) AS targets FROM ({_LINKS}) GROUP BY src")
 def outlink_counts(spark, sf_dir):
-    return raw_links(spark, sf_dir).groupBy("src").agg(F.count("*").alias("links"), F.count_distinct("dst").alias("targets"))
+    return page_links(spark, sf_dir).groupBy("src").agg(F.count("*").alias("links"), F.count_distinct("dst").alias("targets"))
 
 
 @register(f"SELECT dst AS url, 1 AS depth FROM ({_LINKS}) WHERE dst NOT IN (SELECT regexp_replace(url, '#.*$', '') FROM pages) GROUP BY dst")
 def frontier_next(spark, sf_dir):
     seen = pages(spark, sf_dir).select(urls.without_fragment(F.col("url")).alias("url"))
-    return links.unseen(raw_links(spark, sf_dir).select(F.col("dst").alias("url"), F.lit(1).alias("depth")), seen)
+    return links.unseen(page_links(spark, sf_dir).select(F.col("dst").alias("url"), F.lit(1).alias("depth")), seen)
 
 
 @register(f"SELECT regexp_replace(url, '#.*$', '') AS url FROM pages UNION SELECT dst FROM ({_LINKS})")
 def discovered_union(spark, sf_dir):
-    return links.add_missing(pages(spark, sf_dir).select(urls.without_fragment(F.col("url")).alias("url")), raw_links(spark, sf_dir).select(F.col("dst").alias("url")))
+    return links.add_missing(pages(spark, sf_dir).select(urls.without_fragment(F.col("url")).alias("url")), page_links(spark, sf_dir).select(F.col("dst").alias("url")))
 
 
 @register(f"SELECT count(DISTINCT dst) AS discovered FROM ({_LINKS})")
 def discovered_count(spark, sf_dir):
-    return dashboard.discovered(raw_links(spark, sf_dir).select(F.col("dst").alias("url")))
+    return dashboard.discovered(page_links(spark, sf_dir).select(F.col("dst").alias("url")))
 
 
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
@@ -321,7 +328,7 @@ def robots_blocked(spark, sf_dir):
 
 @register(f"SELECT src, dst FROM ({_LINKS}) WHERE regexp_matches(dst, '[a-m]$') AND NOT regexp_matches(dst, 'qu|th')")
 def regex_include_exclude(spark, sf_dir):
-    return raw_links(spark, sf_dir).where(links.allowed(F.col("dst"), AuditConfig(include_regex="[a-m]$", exclude_regex="qu|th")))
+    return page_links(spark, sf_dir).where(links.allowed(F.col("dst"), AuditConfig(include_regex="[a-m]$", exclude_regex="qu|th")))
 
 
 @register(f"WITH {SQL} SELECT url FROM doc_pages WHERE starts_with(url, 'https://site.example/en/src0/')")
@@ -329,11 +336,40 @@ def path_mode(spark, sf_dir):
     return doc_pages(spark, sf_dir).where(links.allowed(F.col("url"), AuditConfig(crawl_mode="Path"), "https://site.example/en/src0/")).select("url")
 
 
-@register("SELECT trim(line) AS seed, CASE WHEN regexp_matches(trim(line), '^https?://') THEN trim(line) ELSE 'https://' || trim(line) END AS url FROM (SELECT unnest(string_split(string_agg(' ' || replace(url, 'https://', '') || ' ' || chr(10), '' ORDER BY page_id), chr(10))) AS line FROM pages) WHERE trim(line) <> ''")
+@register("SELECT CASE WHEN regexp_matches(trim(line), '^https?://') THEN trim(line) ELSE 'https://' || trim(line) END AS url FROM (SELECT unnest(string_split(string_agg(' ' || replace(url, 'https://', '') || ' ' || chr(10), '' ORDER BY page_id), chr(10))) AS line FROM pages) WHERE trim(line) <> ''")
 def seed_urls(spark, sf_dir):
     lines = pages(spark, sf_dir).select(F.concat(F.lit(" "), F.replace("url", F.lit("https://"), F.lit("")), F.lit(" \n")).alias("value"))
-    split = lines.select(F.explode(F.split("value", "\r?\n")).alias("line")).where(F.trim("line") != "")
-    return split.select(F.trim("line").alias("seed"), urls.clean_seed(F.col("line")).alias("url"))
+    return seeds.seed_lines(lines)
+
+
+@register(f"SELECT DISTINCT {_HOST} AS host, unnest(['/a', '/d']) AS rule FROM pages")
+def robots_table(spark, sf_dir):
+    files = pages(spark, sf_dir).select(urls.host(F.col("url")).alias("host")).distinct().withColumn("value", F.lit(ROBOTS))
+    return seeds.robots_rules_table(files, "webloom/0.1")
+
+
+@register(f"WITH {SQL} SELECT url AS src, outlink AS dst, depth + 1 AS depth FROM doc_pages WHERE depth + 1 <= 5")
+def links_followed(spark, sf_dir):
+    return links.followed(doc_pages(spark, sf_dir), "site.example", AuditConfig(max_depth=5))
+
+
+@register(f"WITH {SQL} SELECT url, status_code FROM doc_pages WHERE url = 'https://site.example/en/src0/0'")
+def page_lookup(spark, sf_dir):
+    return links.lookup(doc_pages(spark, sf_dir), "https://site.example/en/src0/0").select("url", "status_code")
+
+
+@register(f"WITH {SQL} SELECT url, 'Article' AS types, 'https://schema.org' AS contexts FROM doc_pages WHERE has_schema")
+def schema_summary(spark, sf_dir):
+    rows = doc_pages(spark, sf_dir).where(F.size("schema_json_ld") > 0)
+    return rows.select("url", structured.summary(structured.combined(F.col("schema_json_ld"))).alias("s")).select("url", "s.types", "s.contexts")
+
+
+@register(
+    f"WITH {SQL} SELECT m AS message, count(*) AS pages FROM (SELECT unnest(CASE WHEN len(ms) = 0 THEN ['{audit.SOCIAL_FINE}'] ELSE ms END) AS m FROM (SELECT list_filter([CASE WHEN og_title IS NULL THEN '{audit.OG_TITLE_MISSING}' WHEN og_title <> title THEN '{audit.OG_TITLE_OTHER}' END, "
+    f"CASE WHEN og_description IS NULL THEN '{audit.OG_DESCRIPTION_MISSING}' WHEN og_description <> meta_desc THEN '{audit.OG_DESCRIPTION_OTHER}' END, CASE WHEN og_image IS NULL THEN '{audit.OG_IMAGE_MISSING}' END, CASE WHEN twitter_card IS NULL THEN '{audit.CARD_MISSING}' END], lambda x: x IS NOT NULL) AS ms FROM doc_pages)) GROUP BY m"
+)
+def social_summary(spark, sf_dir):
+    return dashboard.social_summary(doc_pages(spark, sf_dir))
 
 
 # Text mining.
@@ -442,6 +478,36 @@ def layout_2d(spark, sf_dir):
     return tree.layout(doc_pages(spark, sf_dir)).select("kind", "path", "url", "idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.round("radius", 6).alias("radius"))
 
 
+@register(_LAYOUT + "SELECT idx FROM a WHERE contains(lower(path), 'src1') OR contains(lower(coalesce(url, '')), 'src1')")
+def node_search(spark, sf_dir):
+    return tree.layout(doc_pages(spark, sf_dir)).where(tree.node_search("SRC1")).select("idx")
+
+
+@register(_LAYOUT + "SELECT idx FROM a WHERE power(depth * 240.0 - 450.0 + 210, 2) + power(y - 65, 2) <= power(greatest(CASE WHEN kind = 'page' THEN 6.0 ELSE least(35.0, 12.0 + sqrt(pages) * 2.2) END, 12.0), 2) ORDER BY idx LIMIT 1")
+def hit_test(spark, sf_dir):
+    """What is under one point; one node is the feature."""
+    return tree.hit_test(tree.layout(doc_pages(spark, sf_dir)), -210.0, 65.0).select("idx")
+
+
+@register(_LAYOUT + "SELECT idx FROM a WHERE depth * 240.0 - 450.0 BETWEEN -50 AND 850 AND y BETWEEN -50 AND 650")
+def in_view(spark, sf_dir):
+    nodes = tree.layout(doc_pages(spark, sf_dir))
+    return nodes.where(F.col("idx") >= 0).transform(lambda n: tree.in_view(n, 800.0, 600.0)).select("idx")
+
+
+@register(f"WITH {SQL}, {_ROLLUP.format('doc_pages')} SELECT path FROM tree")
+def folder_prefixes(spark, sf_dir):
+    return tree.prefixes(doc_pages(spark, sf_dir))
+
+
+@register(f"WITH {SQL}, {_ROLLUP.format('doc_pages')}, open AS (SELECT path FROM tree WHERE depth < 2) SELECT path, depth < 2 AS opened FROM tree WHERE depth <= 2")
+def layout_partly_open(spark, sf_dir):
+    """Folders that are drawn if those of the two upper levels are open."""
+    rows = doc_pages(spark, sf_dir)
+    some = tree.rollup(rows).where("depth < 2").select("path")
+    return tree.layout(rows, expanded=some).where("kind = 'folder'").select("path", F.col("label").endswith("[-]").alias("opened"))
+
+
 @register(_LAYOUT + "SELECT idx, round(r * sin(phi) * cos(theta), 4) + 0.0 AS x3, round(r * sin(phi) * sin(theta), 4) + 0.0 AS y3, round(r * cos(phi), 4) + 0.0 AS z3 FROM a")
 def layout_3d(spark, sf_dir):
     return tree.layout(doc_pages(spark, sf_dir)).select("idx", *((F.round(c, 4) + 0.0).alias(c) for c in ("x3", "y3", "z3")))
@@ -461,17 +527,42 @@ def layout_projected(spark, sf_dir):
 # Exports.
 
 
-@register(
-    rf"WITH {SQL} SELECT url AS Address, CAST(status_code AS VARCHAR) AS status, regexp_replace(coalesce(title, ''), '\r?\n', ' ', 'g') AS title, CAST(length(regexp_replace(coalesce(title, ''), '\r?\n', ' ', 'g')) AS VARCHAR) AS title_length, regexp_replace(coalesce(meta_desc, ''), '\r?\n', ' ', 'g') AS description, CASE image_kind WHEN 0 THEN '' WHEN 1 THEN '/img/' || doc_id || '.png' WHEN 2 THEN '/img/' || doc_id || '.png (alt: )' ELSE '/img/' || doc_id || '.png (alt: a picture)' END AS images, CASE WHEN h1 IS NULL THEN '' ELSE 'H1: ' || h1 END AS headings, regexp_replace(markdown, '\r?\n', chr(13) || chr(10), 'g') AS markdown FROM doc_pages"
-)
+def _line(column: str) -> str:
+    return rf"regexp_replace(coalesce({column}, ''), '\r?\n', ' ', 'g')"
+
+
+#: The main table's columns in SQL, in order.
+_MAIN = {
+    "Address": "url", "Status Code": "CAST(status_code AS VARCHAR)", "Error Message": "''", "Indexable": "CAST(indexable AS VARCHAR)", "Indexability": "CASE WHEN indexable THEN 'Indexable' ELSE 'Other' END",
+    "Title": _line("title"), "Title Length": f"CAST(length({_line('title')}) AS VARCHAR)", "Meta Description": _line("meta_desc"), "Meta Length": f"CAST(length({_line('meta_desc')}) AS VARCHAR)",
+    "H1": _line("h1"), "H1 Count": "CAST(h1_count AS VARCHAR)", "H2": _line("h2"), "H2 Count": "CAST(h2_count AS VARCHAR)", "Word Count": "CAST(word_count AS VARCHAR)", "Size (Bytes)": "CAST(size_bytes AS VARCHAR)", "Canonical": "coalesce(canonical, '')",
+    "Depth": "CAST(depth AS VARCHAR)", "Response Time (ms)": "CAST(response_time_ms AS VARCHAR)", "Inlinks": "''", "Outlinks": "outlink",
+    "Images": "CASE image_kind WHEN 0 THEN '' WHEN 1 THEN '/img/' || doc_id || '.png' WHEN 2 THEN '/img/' || doc_id || '.png (alt: )' ELSE '/img/' || doc_id || '.png (alt: a picture)' END",
+    "OG Title": _line("og_title"), "OG Description": "coalesce(og_description, '')", "OG Image": "coalesce(og_image, '')", "OG URL": "''", "OG Type": "'article'", "Twitter Title": "''", "Twitter Description": "''", "Twitter Image": "''", "Twitter Card": "coalesce(twitter_card, '')",
+    "Schema Errors": "CASE WHEN has_errors THEN 'Missing ''@type'' property.' ELSE '' END", "Headings": "CASE WHEN h1 IS NULL THEN '' ELSE 'H1: ' || h1 END", "Markdown": r"regexp_replace(markdown, '\r?\n', chr(13) || chr(10), 'g')",
+    "Schema": """CASE WHEN has_schema THEN '{"@context":"https://schema.org","@type":"Article"}' ELSE '' END""",
+}
+
+
+@register(f"WITH {SQL} SELECT " + ", ".join(f'{v} AS "{k}"' for k, v in _MAIN.items()) + " FROM doc_pages")
 def csv_projection(spark, sf_dir):
-    rows = export.main_table(doc_pages(spark, sf_dir))
-    return rows.select("Address", F.col("Status Code").alias("status"), F.col("Title").alias("title"), F.col("Title Length").alias("title_length"), F.col("Meta Description").alias("description"), F.col("Images").alias("images"), F.col("Headings").alias("headings"), F.col("Markdown").alias("markdown"))
+    return export.main_table(doc_pages(spark, sf_dir))
 
 
-@register(f"WITH {SQL} SELECT url, outlink AS target FROM doc_pages")
+@register(f"WITH {SQL} SELECT outlink AS target FROM doc_pages")
 def outlinks_export(spark, sf_dir):
-    return doc_pages(spark, sf_dir).select("url", F.explode("outlinks").alias("target"))
+    return export.outlinks_table(doc_pages(spark, sf_dir)).select(F.col("Destination Outlink URL").alias("target"))
+
+
+@register(f"WITH {SQL} SELECT b.url AS source FROM (SELECT DISTINCT url FROM doc_pages) a JOIN (SELECT DISTINCT url, outlink FROM doc_pages) b ON b.outlink = a.url")
+def inlinks_export(spark, sf_dir):
+    rows = doc_pages(spark, sf_dir)
+    return export.inlinks_table(links.with_inlinks(rows, links.edges(rows))).select(F.col("Source Inlink URL").alias("source"))
+
+
+@register(f"WITH {SQL} SELECT url, CASE WHEN h1 IS NULL THEN '' ELSE 'H1: ' || h1 || chr(10) END AS outline FROM doc_pages")
+def outline_export(spark, sf_dir):
+    return doc_pages(spark, sf_dir).select("url", export.outline().alias("outline"))
 
 
 @register(f"WITH {SQL} SELECT '/img/' || doc_id || '.png' AS src, CASE image_kind WHEN 3 THEN 'a picture' ELSE '' END AS alt FROM doc_pages WHERE image_kind <> 0")
@@ -514,9 +605,24 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(f"{path[:-1]}[t]")
 
 
-@register("SELECT DISTINCT user_id, event_type FROM events")
+@register("SELECT DISTINCT user_id || '/' || event_type AS url FROM events")
 def dedup_stream(spark, sf_dir):
-    return streams.drain(_stream(spark, sf_dir, "events").select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]))
+    """Each address once: a user's kind of event stands for it."""
+    return streams.drain(streams.discovered(_stream(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("url"))))
+
+
+@register("SELECT count(*) AS crawled, " + ", ".join(f"count(*) FILTER (event_id % 5 = {k - 2}) AS status_{k}xx" for k in (2, 3, 4, 5)) + ", count(*) FILTER (event_id % 5 = 4) AS errors FROM events")
+def status_stream(spark, sf_dir):
+    """Running status counters; an event's number stands for a response's status."""
+    return streams.drain(streams.counters(_stream(spark, sf_dir, "events").select((200 + 100 * (F.col("event_id") % 5)).alias("status_code"))), "complete")
+
+
+@register(f"WITH {SQL} SELECT a.url, (SELECT string_agg(DISTINCT b.url, ' ' ORDER BY b.url) FROM doc_pages b WHERE b.outlink = a.url) AS sources FROM doc_pages a")
+def inlinks_two_streams(spark, sf_dir):
+    """Pages and links as two streams; the last that was told of each page."""
+    told = streams.inlinks_stream(from_documents(_stream(spark, sf_dir, "documents")), links.edges(from_documents(_stream(spark, sf_dir, "documents"))))
+    last = streams.drain(told, "update").groupBy("url").agg(F.max_by("inlinks", "n").alias("s"))
+    return last.select("url", F.when(F.size("s") > 0, F.array_join("s", " ")).alias("sources"))
 
 
 @register("SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY event_type")
