@@ -1,52 +1,13 @@
-"""Spark helpers of this subpackage: the shared folder, sizes of partitions, global offsets, components of a graph."""
+"""Spark helpers of this subpackage: keys of texts, sizes of inputs and partitions, components of a graph."""
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.shared import Scratch, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and all runs in one process."""
-    have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not have:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        have = os.path.join(tempfile.gettempdir(), f"webloom-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", have)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(have)
-    return have
-
-
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
-    return Scratch(df.sparkSession).write(df, kind)
-
-
-class Scratch:
-    """Tables written to the shared folder on the way to a result; `drop` deletes them once no table needs them."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def write(self, df: DataFrame, kind: str) -> DataFrame:
-        path = f"{shared_dir(self.spark).rstrip('/')}/webloom-{kind}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for path in self.paths:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        self.paths.clear()
+__all__ = ["Scratch", "check_of", "clashes", "components", "input_bytes", "key_of", "partitions", "shared_dir", "told_apart", "written"]
 
 
 def key_of(value: Column) -> Column:
@@ -87,10 +48,6 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
 def components(links: DataFrame, kind: str, rounds: int = 60) -> DataFrame:
     """Rows (node, root) for all nodes of `links` (a, b): root is the smallest node that can be reached.
 
