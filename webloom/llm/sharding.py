@@ -4,11 +4,12 @@ A row's shard follows from its key and the number of shards alone, without a tab
 rows only into itself, 1/(n + 1) of them. `slot` numbers a shard's rows gapless from 0 in the order of bin, key and
 the other columns named; a bin is part of the key's hash, so a shard is numbered in many tasks, and only counts of
 (shard, bin) are summed up: bins are as many as keep them within MAX_COUNTS rows, whatever the input, which may be
-broadcast. With so many shards that even one bin each is more, their counts are joined without a broadcast.
+broadcast. With so many shards that even one bin each is more, their counts are joined without a broadcast. A bin of more
+than HOT_BIN rows, as where a third of all rows are alike, is written and numbered in parts.
 
 Defined cases: a row without key takes its other columns' hash for a key, so such rows spread over the shards; rows
 with one key share a shard (that is the law) and are dealt to bins by their other columns too; repeated rows get
-slots of their own, in one task that streams through them; very long texts are not read; an empty table gives no rows;
+slots of their own; very long texts are not read; an empty table gives no rows;
 columns beside those named are passed on, whatever their names, unless they clash with an output column, which
 replaces them.
 """
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._kernels import U64, mix
+from ._spark import written
 
 MAX_COUNTS = 1 << 17
+#: Rows of a bin that one task numbers, and the parts that a larger one is dealt to.
+HOT_BIN, PARTS = 1 << 22, 1024
 
 
 def stable_key(values: np.ndarray) -> np.ndarray:
@@ -68,8 +72,19 @@ def assign(df: DataFrame, key: str = "doc_id", order: tuple[str, ...] = (), shar
     schema = T.StructType([*(T.StructField(at[f.name], f.dataType) for f in df.schema.fields), *(T.StructField(c, T.IntegerType()) for c in ("shard", "grown", "bin"))])
     rows = wide.toDF("key", "rest", *at.values()).mapInArrow(dealt, schema)
     counts = rows.groupBy("shard", "bin").count()
-    before = counts.select(F.col("shard").alias("s"), F.col("bin").alias("b"), (F.sum("count").over(Window.partitionBy("shard").orderBy("bin")) - F.col("count")).alias("before"))
-    before = F.broadcast(before) if (shards + 1) * bins <= MAX_COUNTS else before
-    within = F.row_number().over(Window.partitionBy("shard", "bin").orderBy(*(at[c] for c in (key, *order)))) - 1
-    numbered = rows.withColumn("within", within).join(before, (F.col("shard") == F.col("s")) & (F.col("bin") == F.col("b")))
+    hot = written(counts.where(F.col("count") > HOT_BIN).select(F.col("shard").alias("hs"), F.col("bin").alias("hb")), "hot")
+    if hot.isEmpty():
+        rows = rows.withColumn("part", F.lit(0))
+    else:
+        # Hot bins are at most MAX_COUNTS, as all bins are. Written rows have the same numbers whenever they are read.
+        own = (F.col("shard") == F.col("hs")) & (F.col("bin") == F.col("hb"))
+        marked = F.broadcast(hot) if (shards + 1) * bins <= MAX_COUNTS else hot
+        crowded = written(rows.join(marked, own, "left_semi"), "crowded").withColumn("part", (1 + F.monotonically_increasing_id() % PARTS).cast("int"))
+        rows = rows.join(marked, own, "left_anti").withColumn("part", F.lit(0)).unionByName(crowded)
+        counts = rows.groupBy("shard", "bin", "part").count()
+    counts = counts if "part" in counts.columns else counts.withColumn("part", F.lit(0))
+    before = counts.select(F.col("shard").alias("s"), F.col("bin").alias("b"), F.col("part").alias("p"), (F.sum("count").over(Window.partitionBy("shard").orderBy("bin", "part")) - F.col("count")).alias("before"))
+    before = F.broadcast(before) if hot.isEmpty() and (shards + 1) * bins <= MAX_COUNTS else before
+    within = F.row_number().over(Window.partitionBy("shard", "bin", "part").orderBy(*(at[c] for c in (key, *order)))) - 1
+    numbered = rows.withColumn("within", within).join(before, (F.col("shard") == F.col("s")) & (F.col("bin") == F.col("b")) & (F.col("part") == F.col("p")))
     return numbered.select(*(F.col(n).alias(c) for c, n in at.items()), F.lit("key").alias("law"), "shard", (F.col("before") + F.col("within")).alias("slot"), F.col("grown").alias("grown_shard"))
