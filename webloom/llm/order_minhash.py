@@ -216,7 +216,8 @@ def _possible(texts: DataFrame, left: DataFrame, scratch: Scratch) -> DataFrame:
     prefix = scratch.write(placed.where(f"place <= size - div({p} * size + {q - 1}, {q}) + 1"), "prefixes")
     # The component with most nodes of a shingle is met by the others only, not by itself.
     of = prefix.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-    others = prefix.join(of, "shingle").where("root <> most").select("shingle", *(F.col(c).alias(f"{c}_o") for c in ("node", "root", "size", "place")))
+    # Written, so that each join stands by itself and Spark can split its large partitions where a shingle is very common.
+    others = scratch.write(prefix.join(of, "shingle").where("root <> most").select("shingle", *(F.col(c).alias(f"{c}_o") for c in ("node", "root", "size", "place"))), "others")
     fits = f"{q} * least(size, size_o) >= {p} * greatest(size, size_o)"
     enough = f"{p + q} * (1 + least(size - place, size_o - place_o)) >= {p} * (size + size_o)"
     met = others.join(prefix, "shingle").where("root <> root_o").where(fits).where(enough)
