@@ -295,6 +295,17 @@ def test_counts_too_many_to_broadcast(spark, sf, monkeypatch):
     assert Counter((r.doc_id, r.shard) for r in rows) == want and len({(r.shard, r.slot) for r in rows}) == len(rows)
 
 
+def test_crowded_bins_are_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_BIN", 100)
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.lit(1).alias("size"))
+    rows = sharding.assign(df, order=("size",), shards=4, bins=8).collect()
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == 6000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert len({r.shard for r in rows if r.doc_id == 7}) == 1
+
+
 def test_buckets_of_equal_lengths(spark, sf, tmp_path):
     pieces = packing.pack(spark.read.parquet(f"{sf}/documents.parquet"))
     packing.write(pieces, str(tmp_path / "packed"))
