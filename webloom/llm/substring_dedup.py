@@ -9,8 +9,8 @@ On each level but the last one sub-window stands for each window: the one with t
 equal). Equal windows choose the same one, so a window whose representative does not repeat cannot repeat, and only
 one in ten to fourteen positions is counted. The last level hashes the windows that are still candidates, with 128 bits.
 
-Documents are dealt to groups by a hash of id and text; groups are as many as keep one near GROUP_BYTES of input. A
-group sends each bucket of hashes one message with the distinct hashes it holds and whether it holds them more than
+Documents are dealt to groups by a hash of id and text; groups are as many as keep one near GROUP_BYTES of input, and
+there are four buckets of hashes for so many bytes, however many partitions there are. A group sends each bucket of hashes one message with the distinct hashes it holds and whether it holds them more than
 once; the bucket answers each group with the hashes that repeat over all groups. So a passage that stands in every
 document costs one entry per group and not one per copy, hashes alone travel, and texts move once, to their group
 (the exchange is shared by all levels).
@@ -202,33 +202,28 @@ def _messages(group: int, entries: list[np.ndarray], kind, buckets: int) -> pa.R
 
 
 def _answers(kind):
-    def run(batches):
-        """One partition of buckets: which hashes repeat, told to every group that holds them."""
-        groups, weights, hashes = [], [], []
-        for batch in batches:
-            for grp, one, many in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                for raw, weight in ((one, 1), (many, 2)):
-                    part = np.frombuffer(raw, kind)
-                    if len(part):
-                        hashes.append(part)
-                        groups.append(np.full(len(part), grp, np.int32))
-                        weights.append(np.full(len(part), weight, np.int32))
-        if not hashes:
-            return
+    def run(messages):
+        """One bucket: which hashes repeat, told to every group that holds them."""
+        groups, weights, hashes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, kind)]
+        for grp, one, many in zip(*(messages.column(c).to_pylist() for c in ("grp", "one", "many"))):
+            for raw, weight in ((one, 1), (many, 2)):
+                part = np.frombuffer(raw, kind)
+                if len(part):
+                    hashes.append(part)
+                    groups.append(np.full(len(part), grp, np.int32))
+                    weights.append(np.full(len(part), weight, np.int32))
         hashes, groups, weights = map(np.concatenate, (hashes, groups, weights))
         order = _order(hashes)
         hashes, groups, weights = hashes[order], groups[order], weights[order]
-        begin = _runs(hashes)
-        total = np.add.reduceat(weights, begin)
+        begin = _runs(hashes) if len(hashes) else np.zeros(0, np.int64)
+        total = np.add.reduceat(weights, begin) if len(hashes) else weights
         keep = np.repeat(total > 1, np.diff(np.append(begin, len(hashes))))
         hashes, groups = hashes[keep], groups[keep]
         order = np.argsort(groups, kind="stable")
         hashes, groups = hashes[order], groups[order]
         begin = _runs(groups) if len(groups) else np.zeros(0, np.int64)
         ends = np.append(begin[1:], len(groups))
-        for i in range(0, len(begin), 256):
-            some = list(zip(begin[i : i + 256].tolist(), ends[i : i + 256].tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([int(groups[a]) for a, _ in some], pa.int32()), pa.array([hashes[a:b].tobytes() for a, b in some], pa.binary())], names=["grp", "hashes"])
+        return pa.table({"grp": pa.array(groups[begin], pa.int32()), "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(begin.tolist(), ends.tolist())], pa.binary())})
 
     return run
 
@@ -243,7 +238,7 @@ def _kinds(sizes: list[int]) -> list:
     return [U64] * (len(sizes) - 1) + [PAIR]
 
 
-def _levels(docs: DataFrame, sizes: list[int], n_groups: int) -> DataFrame:
+def _levels(docs: DataFrame, sizes: list[int], buckets: int) -> DataFrame:
     """docs has a column `grp` and a text `_wl_text`; returns the answers of all levels: grp, level, hashes."""
     kinds = _kinds(sizes)
 
@@ -252,7 +247,7 @@ def _levels(docs: DataFrame, sizes: list[int], n_groups: int) -> DataFrame:
 
         def both(texts, known):
             if texts.num_rows == 0:
-                return pa.Table.from_batches([_messages(0, [], kind, n_groups)])
+                return pa.Table.from_batches([_messages(0, [], kind, buckets)])
             state = Level(sizes, [_known(known.filter(pc.equal(known.column("level"), at)), kinds[at]) for at in range(level)])
             out, live = [], level == 0 or len(state.answers[-1])
             for _, _, data, starts, ends, word_offsets in Texts(texts.column("_wl_text")) if live else ():
@@ -261,14 +256,14 @@ def _levels(docs: DataFrame, sizes: list[int], n_groups: int) -> DataFrame:
                     found = state.entries(value[a:b], None if other is None else other[a:b], inner)
                     if len(found):
                         out.append(found)
-            return pa.Table.from_batches([_messages(int(texts.column("grp")[0].as_py()), out, kind, n_groups)])
+            return pa.Table.from_batches([_messages(int(texts.column("grp")[0].as_py()), out, kind, buckets)])
 
         return both if level else lambda texts: both(texts, None)
 
     answers, groups = None, docs.groupBy("grp")
     for level, kind in enumerate(kinds):
         sent = groups.applyInArrow(counter(0), MESSAGE) if answers is None else groups.cogroup(answers.groupBy("grp")).applyInArrow(counter(level), MESSAGE)
-        told = sent.repartition(max(partitions(docs.sparkSession), n_groups // 2), "bucket").mapInArrow(_answers(kind), ANSWER).select("grp", F.lit(level).alias("level"), "hashes")
+        told = sent.groupBy("bucket").applyInArrow(_answers(kind), ANSWER).select("grp", F.lit(level).alias("level"), "hashes")
         answers = told if answers is None else answers.unionByName(told)
     return answers
 
@@ -297,16 +292,17 @@ def _cut(texts, known, sizes: list[int]):
 
 
 def _grouped(docs: DataFrame, columns: list) -> tuple[DataFrame, int]:
-    """columns, with the text as _wl_text and the group; as many groups as keep one near a partition's share."""
-    n = max(2 * partitions(docs.sparkSession), -(-input_bytes(docs) // GROUP_BYTES))
+    """columns, with the text as _wl_text and the group, and how many buckets of hashes there are."""
+    units = -(-input_bytes(docs) // GROUP_BYTES)
+    n = max(2 * partitions(docs.sparkSession), units)
     text = F.col("text").cast("string")
-    return docs.select(*columns, text.alias("_wl_text"), F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("grp")), n
+    return docs.select(*columns, text.alias("_wl_text"), F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("grp")), max(16, 4 * units)
 
 
 def judge(docs: DataFrame, window: int = 35, levels: int = LEVELS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     sizes = lengths(window, levels)
-    grouped, n = _grouped(docs, [F.col("doc_id").cast("long").alias("doc_id")])
+    grouped, buckets = _grouped(docs, [F.col("doc_id").cast("long").alias("doc_id")])
 
     def run(texts, known):
         if texts.num_rows == 0:
@@ -315,7 +311,7 @@ def judge(docs: DataFrame, window: int = 35, levels: int = LEVELS) -> DataFrame:
         n_words, lost, digest = zip(*rows)
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
 
-    return grouped.groupBy("grp").cogroup(_levels(grouped, sizes, n).groupBy("grp")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return grouped.groupBy("grp").cogroup(_levels(grouped, sizes, buckets).groupBy("grp")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, window: int = 35, levels: int = LEVELS) -> DataFrame:
@@ -326,7 +322,7 @@ def remove(docs: DataFrame, window: int = 35, levels: int = LEVELS) -> DataFrame
     sizes = lengths(window, levels)
     schema, text_at = docs.schema, docs.columns.index("text")
     # By position, so that no name of docs can clash with a name in here.
-    grouped, n = _grouped(docs, [F.col(f"`{c}`").alias(f"_wl_{i}") for i, c in enumerate(docs.columns) if i != text_at])
+    grouped, buckets = _grouped(docs, [F.col(f"`{c}`").alias(f"_wl_{i}") for i, c in enumerate(docs.columns) if i != text_at])
 
     def run(texts, known):
         if texts.num_rows == 0:
@@ -345,7 +341,7 @@ def remove(docs: DataFrame, window: int = 35, levels: int = LEVELS) -> DataFrame
                 columns.append(texts.column(f"_wl_{i}"))
         return pa.table(columns, names=schema.names)
 
-    return grouped.groupBy("grp").cogroup(_levels(grouped, sizes, n).groupBy("grp")).applyInArrow(run, schema)
+    return grouped.groupBy("grp").cogroup(_levels(grouped, sizes, buckets).groupBy("grp")).applyInArrow(run, schema)
 
 
 def _arrow(schema):
