@@ -10,6 +10,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch while a table is written.
+ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and all runs in one process."""
     have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -39,8 +44,14 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def write(self, df: DataFrame, kind: str) -> DataFrame:
-        path = new_path(self.spark, kind)
-        df.write.parquet(path)
+        """df written and read back, with small batches between the JVM and Python, which bounds what both hold of long texts."""
+        path, conf = new_path(self.spark, kind), self.spark.conf
+        before = conf.get(BATCH_ROWS)
+        conf.set(BATCH_ROWS, min(int(before), ROWS) if int(before) > 0 else ROWS)
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(BATCH_ROWS, before)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
