@@ -237,7 +237,7 @@ def identify(docs: DataFrame, learnable: Column | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce(F.col("text").rlike(_LETTERED), F.lit(False)).alias("lettered"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(K.released(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, languages: set[str] | None = None) -> DataFrame:
@@ -253,4 +253,4 @@ def keep_known(docs: DataFrame, languages: set[str] | None = None) -> DataFrame:
 
     # By position, so that no name of docs can clash with a name in here.
     lettered = F.coalesce(F.col("text").cast("string").rlike(_LETTERED), F.lit(False))
-    return docs.select("*", lettered).toDF(*(f"c{i}" for i in range(len(names) + 1))).mapInArrow(run, docs.schema)
+    return docs.select("*", lettered).toDF(*(f"c{i}" for i in range(len(names) + 1))).mapInArrow(K.released(run), docs.schema)

@@ -157,7 +157,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes that are linked."""
     first = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
     both = first.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
-    return scratch.write(both.mapInArrow(_verified, "a long, b long"), "links")
+    return scratch.write(both.mapInArrow(K.released(_verified), "a long, b long"), "links")
 
 
 def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def _possible(texts: DataFrame, left: DataFrame, scratch: Scratch) -> DataFrame:
     that they share enough must be left on both sides.
     """
     p, q = THRESHOLD
-    listed = scratch.write(texts.join(left, "node").select("node", "root", "text").mapInArrow(_shingled, "node long, root long, size long, shingles array<long>"), "shingles")
+    listed = scratch.write(texts.join(left, "node").select("node", "root", "text").mapInArrow(K.released(_shingled), "node long, root long, size long, shingles array<long>"), "shingles")
     each = listed.select("node", "root", "size", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select(F.col("shingle").alias("s"), "n")
     own = Window.partitionBy("node")
@@ -229,7 +229,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     and the keys that several texts share, if there are any (node, low)."""
     scratch, text = Scratch(docs.sparkSession), F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of(text).alias("node"), check_of(text).alias("check"), text.alias("text"))
-    sketched = written(rows.mapInArrow(_sketched, "doc_id long, node long, check long, sketch array<long>, size long"), "sketches")
+    sketched = written(rows.mapInArrow(K.released(_sketched), "doc_id long, node long, check long, sketch array<long>, size long"), "sketches")
     # A text is known by 128 bits: a key of 64, and 64 more that tell apart the few texts that share a key.
     shared_keys = clashes(sketched)
     rows, sketched = told_apart(rows, shared_keys), told_apart(sketched, shared_keys)

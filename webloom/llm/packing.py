@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._kernels import STEP_BYTES, batch_rows, flat, steps
+from ._kernels import STEP_BYTES, batch_rows, flat, released, steps
 from .bpe import default_path, encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -69,7 +69,7 @@ def pack(docs: DataFrame, longest: int = 1024, path: str | None = None, end_id:
                 payload = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(bounds * 4), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(counts[doc]), payload], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(pieces), SCHEMA)
     return rows.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 

@@ -135,7 +135,7 @@ def _measure(batches):
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row per document: counts, ratios and verdict."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(K.released(_measure), SCHEMA)
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -148,4 +148,4 @@ def keep(docs: DataFrame) -> DataFrame:
             verdict = [x for part in _measure([pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"])]) for x in part.column(10).to_pylist()]
             yield batch.filter(pa.array(verdict, pa.bool_()))
 
-    return docs.mapInArrow(chosen, docs.schema)
+    return docs.mapInArrow(K.released(chosen), docs.schema)

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._kernels import U64, crc_shift, flat, mix
+from ._kernels import U64, crc_shift, flat, mix, released
 from ._spark import Scratch, partitions, shared_dir
 from .bpe import default_path, encoder
 from .packing import text_steps, with_end
@@ -209,7 +209,7 @@ def write(docs: DataFrame, store: str | None = None, path: str | None = None, en
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     store = store or f"{shared_dir(spark).rstrip('/')}/webloom-store-{uuid.uuid4().hex}"
     n = partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(path or default_path(), end_id), PARTS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(_encode(path or default_path(), end_id)), PARTS)
     # The sort that finds copies of chunks is the order of the files, too.
     copy = F.row_number().over(Window.partitionBy("kind", "key", "digest").orderBy("n_tokens"))
     once = rows.repartition(n, "key").withColumn("copy", copy).where(f"copy = 1 or kind = {_RECIPE}")
