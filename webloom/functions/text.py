@@ -61,20 +61,35 @@ def strip_markdown(text: Column) -> Column:
 
 
 def marked(text: Column) -> Column:
-    """The text in lower case between two \x01, with what is neither letter, number nor space as \x01."""
-    return F.concat(F.lit("\x01"), F.regexp_replace(F.lower(text), f"[^{_WORD} ]", "\x01"), F.lit("\x01"))
+    """The text in lower case with \x02 at its ends and around each of its other characters than letters and numbers, of which
+    all but the space are \x01: so a whole word stands between two \x02, whatever its neighbours are."""
+    plain = F.regexp_replace(F.lower(text), f"[^{_WORD} ]", "\x01")
+    return F.concat(F.lit("\x02"), F.regexp_replace(plain, "[ \x01]", "\x02$0\x02"), F.lit("\x02"))
 
 
-def whole_word_at(text: Column, keyword: Column) -> Column:
-    """The 1-based place of the first hit of a keyword of letters, numbers and spaces that is no part of a longer word; 0 if none."""
-    return whole_word_in(marked(text), keyword)
+def _bordered(keyword: Column) -> Column:
+    return F.concat(F.lit("\x02"), F.replace(keyword, F.lit(" "), F.lit("\x02 \x02")), F.lit("\x02"))
+
+
+def has_whole_word(marked: Column, keyword: Column) -> Column:
+    """Whether a keyword of letters, numbers and spaces is in a marked text and no part of a longer word: one plain search."""
+    return marked.contains(_bordered(keyword))
+
 
+def marked_place(marked: Column, keyword: Column) -> Column:
+    """Where the first such hit's border is in a marked text; 0 if there is none."""
+    return F.instr(marked, _bordered(keyword))
 
-def whole_word_in(marked: Column, keyword: Column) -> Column:
-    """The same in a marked text: plain searches for the keyword between each two borders, without a pattern a row."""
-    borders = [F.lit(" "), F.lit("\x01")]
-    hits = [F.nullif(F.instr(marked, F.concat(a, keyword, b)), F.lit(0)) for a in borders for b in borders]
-    return F.coalesce(F.least(*hits), F.lit(0))
+
+def unmarked_place(marked: Column, place: Column) -> Column:
+    """The 1-based place in the text of a hit whose border is at this place of the marked text."""
+    before = F.substring(marked, F.lit(1), place)
+    return F.when(place > 0, place + 1 - (F.char_length(before) - F.char_length(F.replace(before, F.lit("\x02"), F.lit(""))))).otherwise(0)
+
+
+def whole_word_at(text: Column, keyword: Column) -> Column:
+    """The 1-based place of the first whole-word hit of a keyword in a text; 0 if none."""
+    return unmarked_place(marked(text), marked_place(marked(text), keyword))
 
 
 def escape_markup(text: Column) -> Column:
