@@ -13,8 +13,8 @@ bytes, which is the same for all languages and adds a phrase at most; segments o
 one numpy step per byte of a segment and all languages.
 
 `keep_known` rejects what is of no learned language: texts without a letter, and texts of LEAST_BYTES normalised bytes or
-more for which even the best language needs more than MOST_BITS a byte (learned languages need 2 to 4.5 here, unlearned
-ones 5 to 9, random letters 9.6 and more); and, if target languages are named, texts of others.
+more for which even the best language needs more than MOST_BITS a byte (learned languages need up to 4.5 here, unlearned
+ones mostly 5 to 9, random letters 9.6 and more); and, if target languages are named, texts of others.
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is every text if nothing could be learned;
 at equal phrases the first language by name wins; score is 1 - phrases of the best / phrases of the second (1 if

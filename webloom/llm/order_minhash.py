@@ -19,8 +19,9 @@ the members, and as texts share many buckets with different members, links join
 still holds several components, its nodes meet again in up to ROUNDS rounds under pairs of sketches and with other
 ends, which makes components grow at little cost, so that few pairs are left. What is left in buckets of several components is then searched
 exactly: a prefix-filtered join over their shingles (Chaudhuri et al., 2006; Xiao et al., 2008) gives all pairs of
-different components that can be at the threshold, and each is verified. Joins on buckets, shingles
-and nodes are plain equi-joins, whose large partitions Spark splits. Only texts of nodes with a candidate go on to be
+different components that can be at the threshold, and each is verified. Joins on buckets and
+shingles are equi-joins between written tables, not with an aggregate's output or another join's, so that Spark's adaptive
+execution can split a partition that a very common bucket or shingle makes large. Only texts of nodes with a candidate go on to be
 aligned. Nothing is collected to the driver.
 
 Defined cases: a null text or one without words is in no group; a very long text is read whole, so a task needs memory for
@@ -160,10 +161,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(both.mapInArrow(K.released(_verified), "a long, b long"), "links")
 
 
-def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+def _apart(shared: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """node, size, root, bucket of the rows of shared whose bucket holds nodes of several components."""
     own = shared.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", "size", "bucket", F.coalesce("root", "node").alias("root"))
-    mixed = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("bucket").alias("m"))
+    mixed = scratch.write(own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("bucket").alias("m")), "mixed")
     return own.join(mixed, F.col("bucket") == F.col("m")).select("node", "size", "root", "bucket")
 
 
@@ -210,13 +211,13 @@ def _possible(texts: DataFrame, left: DataFrame, scratch: Scratch) -> DataFrame:
     listed = scratch.write(texts.join(left, "node").select("node", "root", "text").mapInArrow(K.released(_shingled), "node long, root long, size long, shingles array<long>"), "shingles")
     each = listed.select("node", "root", "size", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select(F.col("shingle").alias("s"), "n")
+    common = scratch.write(common, "common")
     own = Window.partitionBy("node")
     place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "shingle"))
     placed = each.join(common, F.col("shingle") == F.col("s")).select("node", "root", "size", "shingle", place.alias("place"))
     prefix = scratch.write(placed.where(f"place <= size - div({p} * size + {q - 1}, {q}) + 1"), "prefixes")
     # The component with most nodes of a shingle is met by the others only, not by itself.
-    of = prefix.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-    # Written, so that each join stands by itself and Spark can split its large partitions where a shingle is very common.
+    of = scratch.write(prefix.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("most")), "most")
     others = scratch.write(prefix.join(of, "shingle").where("root <> most").select("shingle", *(F.col(c).alias(f"{c}_o") for c in ("node", "root", "size", "place"))), "others")
     fits = f"{q} * least(size, size_o) >= {p} * greatest(size, size_o)"
     enough = f"{p + q} * (1 + least(size - place, size_o - place_o)) >= {p} * (size + size_o)"
@@ -239,7 +240,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     single = sketched.where("sketch is not null").dropDuplicates(["node"]).select("node", "sketch", "size")
     members = scratch.write(single.select("node", "size", F.explode("sketch").alias("bucket")), "members")
     whole = F.struct("node", "size")
-    ends = members.groupBy("bucket").agg(F.min(whole).alias("low"), F.max(whole).alias("high")).where("low.node <> high.node")
+    ends = scratch.write(members.groupBy("bucket").agg(F.min(whole).alias("low"), F.max(whole).alias("high")).where("low.node <> high.node"), "ends")
     shared = scratch.write(members.join(ends, "bucket").select("node", "size", "bucket", "low", "high"), "shared")
     met = shared.select("node", "size", F.explode(F.array("low", "high")).alias("lead")).where(_of_a_size() & F.expr("node <> lead.node"))
     tested = scratch.write(met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct(), "pairs")
@@ -249,13 +250,13 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
 
     # A link that was not met yet is between nodes of a bucket that holds several components. Their sketches are met again
     # two by two, which parts dissimilar texts, with other ends of the buckets in each round, while rounds add links.
-    left = _apart(shared, roots).select("node").distinct()
+    left = _apart(shared, roots, scratch).select("node").distinct()
     left = scratch.write(single.join(left, "node", "left_semi"), "left")
     texts = scratch.write(texts.join(left, "node", "left_semi"), "texts")
     for step in range(1, ROUNDS + 1):
-        apart = scratch.write(_apart(left.select("node", "size", F.explode(_paired(step)).alias("bucket")), roots), "apart")
+        apart = scratch.write(_apart(left.select("node", "size", F.explode(_paired(step)).alias("bucket")), roots, scratch), "apart")
         order, whole = F.xxhash64("node", "bucket"), F.struct("node", "size", "root")
-        ends = apart.groupBy("bucket").agg(F.min_by(whole, order).alias("low"), F.max_by(whole, order).alias("high"))
+        ends = scratch.write(apart.groupBy("bucket").agg(F.min_by(whole, order).alias("low"), F.max_by(whole, order).alias("high")), "ends")
         met = apart.join(ends, "bucket").select("node", "size", "root", F.explode(F.array("low", "high")).alias("lead")).where(_of_a_size() & F.expr("root <> lead.root"))
         pairs = met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
         pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -265,7 +266,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
         roots, tested = scratch.write(_merged(roots, links), "roots"), tested.unionByName(pairs)
 
     # What no lead was near to: every pair of components that can still be linked.
-    left = scratch.write(_apart(shared, roots).select("node", "root").distinct(), "left")
+    left = scratch.write(_apart(shared, roots, scratch).select("node", "root").distinct(), "left")
     pairs = scratch.write(_possible(texts, left, scratch).join(tested, ["a", "b"], "left_anti"), "pairs")
     roots = written(_merged(roots, _verify(pairs, texts, scratch)), "roots")
     scratch.drop()
