@@ -123,6 +123,20 @@ def test_any_html_is_taken(html):
     assert got["word_count"] >= 0 and isinstance(got["markdown"], str)
 
 
+@pytest.mark.parametrize("n", [1, 3, 4, 6])
+def test_unclosed_formatting_does_not_add_up(n):
+    """Of formatting elements that are alike the last three are reopened; those a cell is in do not count in it."""
+    tree = htmltree.parse("<article>" + "<p><b>x" * n + "<p>y</article>")
+    marks = ["**" * min(k + 1, 4) for k in range(n)]
+    want = [f"{m}x{m}" for m in marks] + ["**" * min(n, 3) + "y" + "**" * min(n, 3)]
+    assert markdown.to_markdown(tree, AuditConfig()).split("\n\n") == want
+    mixed = htmltree.parse("<article><p><b><b class=c><b><b><b>a</b></b></b><p>z</article>")
+    # The first of four alike lapses and three are closed, so the one of class c is left.
+    assert [e.attrs for e in list(mixed.walk())[-2:]] == [{}, {"class": "c"}]
+    cells = htmltree.parse("<b><b><b><table><tr><td><p><b>a<p>z</td></tr></table>")
+    assert [e.tag for e in cells.walk()][-4:] == ["p", "b", "p", "b"]
+
+
 DEEP = 100_000
 
 

@@ -1,7 +1,8 @@
 """A small HTML tree over the standard library's tokenizer, and a CSS matcher.
 
 Follows browsers where pages need it: void elements, raw text, implied end tags, an implied html, head and body,
-formatting elements that are reopened after the block that closed them, and closing at the end of the document.
+formatting elements that are reopened after the block that closed them (the last three of those that are alike, so that
+unclosed ones do not add up), and closing at the end of the document.
 Elements inside a table that do not belong there stay where they are written (no foster parenting).
 """
 
@@ -26,13 +27,19 @@ IMPLIED = {
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tbody": (("tr", "td", "th", "tbody", "thead", "tfoot"), ("table",)), "thead": (("tbody", "thead", "tfoot"), ("table",)), "tfoot": (("tr", "td", "th", "tbody", "thead", "tfoot"), ("table",)),
 }
 SCOPE = frozenset("html table td th caption button marquee object template".split())
+#: Formatting elements outside of one of these are not counted inside of it.
+MARKERS = ("td", "th", "caption", "marquee", "object", "template", "applet")
+#: Of open formatting elements with the same tag and attributes, how many are reopened.
+ALIKE = 3
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "alike")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        # While open: the formatting elements like this one that are to be reopened; None if this one is not.
+        self.alike: list[Element] | None = None
 
     def walk(self) -> Iterator[Element]:
         """This element and all below it, in document order."""
@@ -65,6 +72,7 @@ class _Builder(HTMLParser):
         self.head: Element | None = None
         self.body: Element | None = None
         self.reopen: list[tuple[str, dict]] = []
+        self.formats: dict[tuple, list[Element]] = {}
 
     # Where nodes go.
 
@@ -77,11 +85,20 @@ class _Builder(HTMLParser):
     def _enter(self, node: Element) -> None:
         self.open.append(node)
         self.counts[node.tag] += 1
+        if node.tag in FORMATTING:
+            inside = sum(self.counts[m] for m in MARKERS)
+            node.alike = self.formats.setdefault((node.tag, tuple(sorted(node.attrs.items())), inside), [])
+            node.alike.append(node)
+            if len(node.alike) > ALIKE:
+                node.alike.pop(0).alike = None
 
     def _leave(self, at: int) -> None:
         """Takes all open elements from this place on from the stack."""
         for e in self.open[at:]:
             self.counts[e.tag] -= 1
+            if e.alike is not None:
+                e.alike.remove(e)
+                e.alike = None
         del self.open[at:]
 
     def _in_body(self) -> None:
@@ -107,7 +124,7 @@ class _Builder(HTMLParser):
 
     def _close(self, at: int) -> None:
         """Closes the open element at this place and all inside; formatting ones are reopened later."""
-        inner = [(e.tag, e.attrs) for e in self.open[at + 1 :] if e.tag in FORMATTING]
+        inner = [(e.tag, e.attrs) for e in self.open[at + 1 :] if e.alike is not None]
         self._leave(at)
         self.reopen = inner + self.reopen
 
