@@ -249,7 +249,18 @@ def duplicate_h1_flag(spark, sf_dir):
     return extract.extract_pages(pages(spark, sf_dir), markdown=False).select("page_id", audit.duplicate_h1_flag().alias("several"))
 
 
-@register()
+#: Markdown of the generated pages: a heading, then paragraphs, of which some open a <b> that nothing closes. It goes on in all
+#: later paragraphs, nested once for each, but no more than three are carried on into the next paragraph.
+_MARKDOWN = (
+    "bodies AS (SELECT page_id, url, html, regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>(?:<b>)?[^<]*') AS p FROM pages), "
+    "paragraphs AS (SELECT page_id, i, starts_with(t, '<p><b>') AS opens, trim(regexp_replace(replace(replace(regexp_replace(t, '^<p>(<b>)?', ''), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM (SELECT page_id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM bodies)), "
+    "nested AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY page_id ORDER BY i) AS b FROM paragraphs), "
+    "written AS (SELECT page_id, string_agg(repeat('**', CAST(least(b, CASE WHEN opens THEN 4 ELSE 3 END) AS INT)) || t || CASE WHEN opens THEN chr(10) ELSE '' END || repeat('**', CAST(least(b, CASE WHEN opens THEN 4 ELSE 3 END) AS INT)), chr(10) || chr(10) ORDER BY i) AS t FROM nested GROUP BY page_id), "
+    f"markdowns AS (SELECT page_id, url, '# ' || regexp_replace({_H1}, '\\s+', ' ', 'g') || coalesce(chr(10) || chr(10) || t, '') AS markdown FROM pages LEFT JOIN written USING (page_id))"
+)
+
+
+@register(f"WITH {_MARKDOWN} SELECT url, markdown FROM markdowns")
 def html_to_markdown(spark, sf_dir):
     return extract.to_markdown_pages(pages(spark, sf_dir))
 
@@ -300,10 +311,13 @@ def url_path(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", urls.path(F.col("url")).alias("path"), urls.without_fragment(F.col("url")).alias("bare"))
 
 
-@register(
-    f"WITH s AS (SELECT page_id, regexp_extract(regexp_replace({_PATH}, '/+$', ''), '([^/]*)$', 1) AS last FROM pages), e AS (SELECT page_id, CASE WHEN last LIKE '_%.%' AND strpos(substr(last, 2), '.') > 0 THEN regexp_replace(last, '\\.[^.]*$', '') ELSE last END AS stem FROM s) "
-    r"SELECT page_id, CASE WHEN stem = '' THEN 'index' ELSE translate(regexp_replace(stem, '[^\p{L}\p{M}\p{N}_-]', '-', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS slug FROM e"
+_SLUG = (
+    f"s AS (SELECT page_id, regexp_extract(regexp_replace({_PATH}, '/+$', ''), '([^/]*)$', 1) AS last FROM pages), e AS (SELECT page_id, CASE WHEN last LIKE '_%.%' AND strpos(substr(last, 2), '.') > 0 THEN regexp_replace(last, '\\.[^.]*$', '') ELSE last END AS stem FROM s), "
+    r"slugs AS (SELECT page_id, CASE WHEN stem = '' THEN 'index' ELSE translate(regexp_replace(stem, '[^\p{L}\p{M}\p{N}_-]', '-', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS slug FROM e)"
 )
+
+
+@register(f"WITH {_SLUG} SELECT page_id, slug FROM slugs")
 def url_slug(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", urls.slug(F.col("url")).alias("slug"))
 
@@ -410,21 +424,30 @@ def candidate_keywords(spark, sf_dir):
 _STRIPPED = r"regexp_replace(coalesce(markdown, ''), '\[([^\]]*)(?:\]|\z)(?:\([^)]*(?:\)|\z))?|[*_`#]', '\1', 'g')"
 
 
-@register(
+_OPPORTUNITIES = (
     f"WITH {SQL}, {_KEYWORDS}, bodies AS (SELECT url, {_HEADING_TEXT} || ' ' || {_STRIPPED} AS body FROM doc_pages WHERE status_code BETWEEN 200 AND 299), "
     f"phrases AS (SELECT DISTINCT url, array_to_string(g, ' ') AS phrase FROM ({_grams('bodies', 'body', 'url')})), "
     # Other than words and spaces becomes #, so a hit is the phrase between two of space and #.
-    r"marked AS (SELECT url, '#' || regexp_replace(lower(body), '[^\p{L}\p{M}\p{N} ]', '#', 'g') || '#' AS body FROM bodies), "
+    r"marked AS (SELECT url, body AS whole, '#' || regexp_replace(lower(body), '[^\p{L}\p{M}\p{N} ]', '#', 'g') || '#' AS body FROM bodies), "
     "hits AS (SELECT p.url, p.phrase FROM (SELECT url, phrase FROM phrases SEMI JOIN keywords ON phrase = keyword) p JOIN marked b ON p.url = b.url "
     "WHERE contains(b.body, ' ' || p.phrase || ' ') OR contains(b.body, '#' || p.phrase || ' ') OR contains(b.body, ' ' || p.phrase || '#') OR contains(b.body, '#' || p.phrase || '#')), "
-    "pairs AS (SELECT h.url AS source_url, k.url AS target_url, h.phrase AS keyword, row_number() OVER (PARTITION BY h.url, k.url ORDER BY len(string_split(h.phrase, ' ')) DESC, h.phrase) AS r FROM hits h JOIN keywords k ON h.phrase = k.keyword WHERE h.url <> k.url) "
-    "SELECT source_url, target_url, keyword FROM pairs ANTI JOIN doc_pages ON source_url = doc_pages.url AND target_url = outlink WHERE r = 1"
+    "pairs AS (SELECT h.url AS source_url, k.url AS target_url, h.phrase AS keyword, row_number() OVER (PARTITION BY h.url, k.url ORDER BY len(string_split(h.phrase, ' ')) DESC, h.phrase) AS r FROM hits h JOIN keywords k ON h.phrase = k.keyword WHERE h.url <> k.url), "
+    "chances AS (SELECT source_url, target_url, keyword FROM pairs ANTI JOIN doc_pages ON source_url = doc_pages.url AND target_url = outlink WHERE r = 1) "
 )
+
+
+@register(_OPPORTUNITIES + "SELECT * FROM chances")
 def link_opportunities(spark, sf_dir):
     return mining.link_opportunities(doc_pages(spark, sf_dir), context=False)
 
 
-@register()
+_MARKUP = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
+
+
+@register(
+    _OPPORTUNITIES + ", places AS (SELECT source_url, keyword, whole, least(" + ", ".join(f"nullif(instr(body, '{x}' || keyword || '{y}'), 0)" for x in " #" for y in " #") + ") AS hit FROM (SELECT DISTINCT source_url, keyword FROM chances) JOIN marked ON url = source_url) "
+    f"""SELECT source_url AS "Source URL", target_url AS "Target URL", keyword AS "Keyword", '...' || {_MARKUP.format("substr(whole, greatest(hit - 35, 1), hit - greatest(hit - 35, 1) + length(keyword) + 35)")} || '...' AS "Context" FROM chances JOIN places USING (source_url, keyword)"""
+)
 def link_opportunities_context(spark, sf_dir):
     return export.opportunities_table(mining.link_opportunities(doc_pages(spark, sf_dir)))
 
@@ -518,10 +541,22 @@ def layout_edges(spark, sf_dir):
     return tree.layout_edges(tree.layout(doc_pages(spark, sf_dir)))
 
 
-@register()
+_LABEL = "CASE WHEN strlen(p) > 30 THEN '...' || right(p, 28) ELSE p END"
+
+
+@register(
+    _LAYOUT + f", seen AS (SELECT a.*, r * sin(phi) * cos(theta) AS x3, r * sin(phi) * sin(theta) AS y3, r * cos(phi) AS z3, t.name, t.errors, d.status_code, d.indexable, {_PATH.replace('url', 'a.url')} AS p FROM a LEFT JOIN tree t ON a.kind = 'folder' AND t.path = a.path LEFT JOIN doc_pages d ON a.url = d.url), "
+    "turned AS (SELECT *, x3 * cos(0.5) + z3 * sin(0.5) AS x1, z3 * cos(0.5) - x3 * sin(0.5) AS z1 FROM seen), tilted AS (SELECT *, y3 * cos(0.25) - z1 * sin(0.25) AS y2, y3 * sin(0.25) + z1 * cos(0.25) AS z2 FROM turned), "
+    "scaled AS (SELECT *, CASE WHEN z2 + 600 > 50 THEN 600 / (z2 + 600) ELSE 0.1::DOUBLE END AS scale FROM tilted) "
+    "SELECT idx, CASE WHEN kind = 'folder' THEN CASE WHEN errors > 0 THEN 'folder_error' ELSE 'folder_ok' END WHEN status_code IS NULL THEN 'none' WHEN status_code BETWEEN 200 AND 299 THEN CASE WHEN indexable THEN 'ok' ELSE 'not_indexable' END WHEN status_code BETWEEN 300 AND 399 THEN 'redirect' ELSE 'error' END AS colour, "
+    f"CASE WHEN kind = 'page' THEN {_LABEL} ELSE CASE WHEN path = '/' THEN 'Root (/)' ELSE name END || ' (' || pages || ') [-]' END AS label, "
+    "round(x1 * scale, 4) + 0.0 AS proj_x, round(y2 * scale, 4) + 0.0 AS proj_y, round(z2, 4) + 0.0 AS proj_z, round(scale, 6) + 0.0 AS proj_scale, path = '/' OR (kind = 'folder' AND pages >= 28) AS label_shown, row_number() OVER (ORDER BY z2, idx) AS paint FROM scaled"
+)
 def layout_projected(spark, sf_dir):
-    nodes = tree.projected(tree.layout(doc_pages(spark, sf_dir)), 0.5, 0.25)
-    return nodes.select("idx", tree.colour().alias("colour"), "label", F.round("proj_x", 4).alias("proj_x"), F.round("proj_y", 4).alias("proj_y"), F.round("proj_z", 4).alias("proj_z"), F.round("proj_scale", 6).alias("proj_scale"), tree.label_shown(F.lit(1000)).alias("label_shown"))
+    """What a camera sees, in the order it is painted in."""
+    nodes = tree.painted(tree.projected(tree.layout(doc_pages(spark, sf_dir)), 0.5, 0.25))
+    rounded = [(F.round(c, 6 if c == "proj_scale" else 4) + 0.0).alias(c) for c in ("proj_x", "proj_y", "proj_z", "proj_scale")]
+    return nodes.select("idx", tree.colour().alias("colour"), "label", *rounded, tree.label_shown(F.lit(1000)).alias("label_shown"), "paint")
 
 
 # Exports.
@@ -570,7 +605,7 @@ def images_export(spark, sf_dir):
     return export.images_table(doc_pages(spark, sf_dir)).select(F.col("Image Source URL").alias("src"), F.col("Alt Text").alias("alt"))
 
 
-@register()
+@register(f"WITH {_SLUG}, {_MARKDOWN} SELECT slug || '.md' AS name, max(url) AS url, max_by(markdown, url) AS markdown, count(*) > 1 AS collides FROM markdowns JOIN slugs USING (page_id) GROUP BY slug")
 def markdown_export(spark, sf_dir):
     return export.markdown_files(extract.to_markdown_pages(pages(spark, sf_dir)))
 
