@@ -247,6 +247,24 @@ def test_merkle_folds_as_the_whole_tree():
         assert token_store.merkle(leaves) == whole(leaves)
 
 
+SHORT = (
+    "We left the house at six, as it was still dark, and put the old boat on the back of his truck. My aunt had made tea for us all, but no one drank any of it. A dog ran up and down by the gate; it may have known how far we had to go that day, and that she would not come with us.",
+    "To fit a new lamp, first cut off the power and wait. Undo both screws, pull the glass down and lift out the bulb. Do not touch its pins. Push the new one in until you hear a click, then fix the glass so that the mark is at the top. If it does not light up, take it out and try once more.",
+    "Fees are due on the first of May. You can pay by card, by cheque or in cash at any of our desks; ask Joan if you want a form. Who pays late will owe us five per cent a month. We do not send bills by post, so keep this page. For a quick reply, write to us at the box below, or just ring up Zoe at noon.",
+)
+
+
+def test_short_prose_is_kept_and_short_noise_is_not(spark):
+    import random
+    import string
+
+    rng = random.Random(20)
+    noise = [" ".join("".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)) for _ in range(55)) for n in (4, 5, 6, 8)]
+    rows = quality.judge(spark.createDataFrame(list(enumerate([*SHORT, *noise])), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert not any(r.base_failed for r in rows)
+    assert [r.kept for r in rows] == [True] * len(SHORT) + [False] * len(noise)
+
+
 def test_noise_and_half_noise_are_dropped(spark, sf):
     import random
     import string

@@ -4,9 +4,10 @@ A text is kept if the base rules hold and its compression is in the band of its
 after over bytes before, level 3) of the whole text lies between the limits of its length class - repetitive text
 falls below, random text above - and the same is true of its chunks of CHUNK bytes, from one chunk on, but for
 OUT_PERCENT of them. The last chunk ends with the text, so that every byte is in one. Texts too short
-for a ratio to mean anything have the base rules only. Upper limits are the largest ratio of any text of 50 words or more
-in the languages at hand, plus about 0.01; random words of 62 letters and digits lie above in every class, of 26
-letters from 1.5 KB on, and of 16 from 4 KB on (shorter ones compress as prose does).
+for a ratio to mean anything have the base rules only. Upper limits lie between prose of 50 words or more - the generated
+texts, and English prose of manuals and licences, of which at most 0.2 % of any class is above - and random words of 62
+letters and digits, which are above in every class; of 26 letters they are from 1.5 KB on, and of 16 from 4 KB on (shorter
+ones compress as prose does).
 
 Every text is measured whole, a very long one by itself; there is no shuffle and memory is bounded by the longest text.
 
@@ -27,7 +28,7 @@ from . import _kernels as K
 
 #: From so many bytes on, the least and the largest ratio of a whole text.
 BANDS = (
-    (256, 0.38, 0.79), (384, 0.38, 0.785), (512, 0.33, 0.73), (768, 0.33, 0.695), (1024, 0.30, 0.635), (1536, 0.30, 0.59),
+    (256, 0.38, 0.83), (352, 0.38, 0.81), (384, 0.38, 0.795), (512, 0.33, 0.75), (768, 0.33, 0.71), (1024, 0.30, 0.65), (1536, 0.30, 0.59),
     (2048, 0.27, 0.57), (3072, 0.27, 0.54), (4096, 0.25, 0.525), (8192, 0.25, 0.485), (16384, 0.22, 0.46),
 )
 #: Bytes of a chunk, the band of its ratio, and how many of a hundred may lie outside.
