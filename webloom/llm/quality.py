@@ -28,7 +28,7 @@ from . import _kernels as K
 
 #: From so many bytes on, the least and the largest ratio of a whole text.
 BANDS = (
-    (256, 0.38, 0.83), (352, 0.38, 0.81), (384, 0.38, 0.795), (512, 0.33, 0.75), (768, 0.33, 0.71), (1024, 0.30, 0.65), (1536, 0.30, 0.59),
+    (256, 0.38, 0.83), (352, 0.38, 0.81), (384, 0.38, 0.795), (448, 0.38, 0.78), (512, 0.33, 0.75), (768, 0.33, 0.71), (1024, 0.30, 0.65), (1536, 0.30, 0.59),
     (2048, 0.27, 0.57), (3072, 0.27, 0.54), (4096, 0.25, 0.525), (8192, 0.25, 0.485), (16384, 0.22, 0.46),
 )
 #: Bytes of a chunk, the band of its ratio, and how many of a hundred may lie outside.
