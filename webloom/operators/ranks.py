@@ -5,26 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.shared import written
+
+#: monotonically_increasing_id() has the partition above these bits and the row's number in it below.
+ROW_BITS = 33
+
 
 def ranked(rows: DataFrame, order: list[Column], place: str = "place", sums: dict[str, Column] | None = None) -> DataFrame:
-    """rows with their place (from 1) in the order of columns that are not null, and sums up to and with each row.
+    """rows with their place (from 1) in the order of columns, and sums up to and with each row.
 
-    Ranges between sampled keys are numbered each by itself and begin after the rows of those before; the keys are the
-    same on every run, so ranges and counts agree. rows are read three times: write them first if they cost much.
+    Rows are dealt into ranges of the order by Spark's own range partitioning, sorted in each range, numbered there and written
+    to the shared folder, so that ranges and counts are the same for all that reads them. A range begins after the rows of those
+    before it: their counts are one row a range, of which there are no more than shuffle partitions. Rows that are equal in all of order
+    are in one range; give a last column that tells them apart where many may be equal.
     """
-    spark, sums = rows.sparkSession, sums or {}
-    keyed = rows.withColumn("_key", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)))).withColumns({f"_{k}": v for k, v in sums.items()})
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sample = sorted(tuple(r[0]) for r in keyed.select("_key").orderBy(F.xxhash64("_key")).limit(20 * n).collect())
-    bounds = spark.createDataFrame([([sample[len(sample) * k // n] for k in range(1, n)] if sample else [],)], f"_bounds array<{keyed.schema['_key'].dataType.simpleString()}>")
-    ranged = keyed.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col("_key")))).drop("_bounds")
-    # One row a range, of which there are no more than shuffle partitions.
-    totals = ranged.groupBy(F.col("_range").alias("_of")).agg(F.count("*").alias("_n"), *(F.sum(f"_{k}").alias(f"_all_{k}") for k in sums))
+    sums = sums or {}
+    keys = {f"_k{i}": c for i, c in enumerate(order)}
+    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = rows.withColumns(keys | {f"_{k}": v for k, v in sums.items()})
+    dealt = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*keys)
+    dealt = written(dealt.withColumn("_id", F.monotonically_increasing_id()), "ranked").withColumn("_range", F.shiftright("_id", ROW_BITS))
+    totals = dealt.groupBy(F.col("_range").alias("_of")).agg(F.count("*").alias("_n"), *(F.sum(f"_{k}").alias(f"_all_{k}") for k in sums))
     earlier = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("_of", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before{c}") for c in totals.columns[1:]))
-    own = Window.partitionBy("_range").orderBy("_key")
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumns({"_local": F.row_number().over(own)} | {f"_sum_{k}": F.sum(f"_{k}").over(upto) for k in sums})
-    joined = local.join(F.broadcast(starts), F.col("_range") == F.col("_of"))
-    made = {place: F.col("_before_n") + F.col("_local")} | {k: F.col(f"_before_all_{k}") + F.col(f"_sum_{k}") for k in sums}
+    upto = Window.partitionBy("_range").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    joined = dealt.withColumns({f"_sum_{k}": F.sum(f"_{k}").over(upto) for k in sums}).join(F.broadcast(starts), F.col("_range") == F.col("_of"))
+    local = F.col("_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    made = {place: F.col("_before_n") + local + 1} | {k: F.col(f"_before_all_{k}") + F.col(f"_sum_{k}") for k in sums}
     return joined.select(*(F.col(c) for c in rows.columns), *(v.alias(k) for k, v in made.items()))
