@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embed_dedup, language_id, order_minhash, packing, quality, sharding, spm_viterbi, substring_dedup, token_store
+from . import chat_format, embed_dedup, funnels, language_id, mixing, order_minhash, packing, quality, sharding, spm_viterbi, substring_dedup, token_store, turn_repair
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +65,21 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.audit(_table(spark, sf_dir, "conversations"))
+
+
+def op13_funnel_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnels.count(_table(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_level_doubling, op3_jump_shards, op4_compression_bands, op5_content_store, op6_spherical_cells, op7_binary_packing, op8_streaming_viterbi, op9_order_minhash, op10_cross_parsing)}
+    every = (op1_chat_format, op2_level_doubling, op3_jump_shards, op4_compression_bands, op5_content_store, op6_spherical_cells, op7_binary_packing, op8_streaming_viterbi, op9_order_minhash, op10_cross_parsing, op11_entropy_balancing, op12_turn_repair, op13_funnel_sweep)
+    return {f.__name__: f for f in every}
 
 
 OP1_SQL = r"""
@@ -121,5 +134,32 @@ FROM v JOIN heads ON vec_id = heads.a LEFT JOIN counts ON vec_id = counts.a
 """
 
 
+OP13_SQL = """
+WITH c AS (
+  SELECT DISTINCT client_id, kind, arrived_at AS t FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND arrived_at IS NOT NULL
+), f AS (
+  SELECT * FROM (VALUES ('A', 'view', 'click', 'view', 'purchase', 'error'), ('B', 'signup', 'view', 'click', 'purchase', 'error'), ('C', 'click', 'click', 'purchase', 'view', 'signup')) v(funnel, k1, k2, k3, k4, x)
+), a1 AS (
+  SELECT f.*, client_id, t AS t1 FROM f JOIN c ON kind = k1
+), a2 AS (
+  SELECT a.*, CASE WHEN s.t <= t1 + INTERVAL 5 MINUTE AND (e.t IS NULL OR e.t > s.t) THEN s.t END AS t2
+  FROM a1 a ASOF LEFT JOIN c s ON a.client_id = s.client_id AND a.k2 = s.kind AND a.t1 < s.t ASOF LEFT JOIN c e ON a.client_id = e.client_id AND a.x = e.kind AND a.t1 < e.t
+), a3 AS (
+  SELECT a.*, CASE WHEN s.t <= t1 + INTERVAL 5 MINUTE AND (e.t IS NULL OR e.t > s.t) THEN s.t END AS t3
+  FROM a2 a ASOF LEFT JOIN c s ON a.client_id = s.client_id AND a.k3 = s.kind AND a.t2 < s.t ASOF LEFT JOIN c e ON a.client_id = e.client_id AND a.x = e.kind AND a.t2 < e.t
+), a4 AS (
+  SELECT a.*, CASE WHEN s.t <= t1 + INTERVAL 5 MINUTE AND (e.t IS NULL OR e.t > s.t) THEN s.t END AS t4
+  FROM a3 a ASOF LEFT JOIN c s ON a.client_id = s.client_id AND a.k4 = s.kind AND a.t3 < s.t ASOF LEFT JOIN c e ON a.client_id = e.client_id AND a.x = e.kind AND a.t3 < e.t
+), g AS (
+  SELECT funnel, client_id, count(t1) AS n1, count(t2) AS n2, count(t3) AS n3, count(t4) AS n4,
+    CAST(CASE WHEN n4 > 0 THEN 4 WHEN n3 > 0 THEN 3 WHEN n2 > 0 THEN 2 ELSE 1 END AS INT) AS deepest,
+    list_sort(list(epoch_us(t2) - epoch_us(t1)) FILTER (t2 IS NOT NULL)) AS l2, list_sort(list(epoch_us(t3) - epoch_us(t2)) FILTER (t3 IS NOT NULL)) AS l3, list_sort(list(epoch_us(t4) - epoch_us(t3)) FILTER (t4 IS NOT NULL)) AS l4
+  FROM a4 GROUP BY funnel, client_id)
+SELECT funnel, client_id, n1, n2, n3, n4, deepest, l2[(25 * n2 + 99) // 100] AS t2, l3[(25 * n3 + 99) // 100] AS t3, l4[(25 * n4 + 99) // 100] AS t4,
+  count(*) OVER (PARTITION BY funnel, deepest) AS same_depth
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_level_doubling": OP2_SQL, "op6_spherical_cells": OP6_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_level_doubling": OP2_SQL, "op6_spherical_cells": OP6_SQL, "op13_funnel_sweep": OP13_SQL}
