@@ -143,12 +143,27 @@ DEEP = 100_000
 @pytest.mark.parametrize("opening, closing", [("<div>", "</div>"), ("<div>", ""), ("<ul><li>", ""), ("<div itemscope itemprop=p>", "</div>"), ("<b>", ""), ("<section><p>", "")])
 def test_deep_pages(opening, closing):
     """No page is too deep: neither the tree, nor the fields, nor Markdown or microdata recurse."""
-    depth = DEEP if "li" not in opening and opening != "<b>" else 3000
+    depth = DEEP if opening != "<b>" else 3000
     page = f"<title>t</title><body>{opening * depth}<h1>end</h1>{closing * depth}"
     out = extract.extract("https://a.example/", page, AuditConfig(extract_microdata=True))
     assert out["title"] == "t" and out["h1"] == "end" and "end" in out["markdown"]
 
 
+@pytest.mark.parametrize("opening", ["<table><tr><td>a|b", "<blockquote>q", "<ol><li>x", "<h1>a<div>", "<table><tr><td><ul><li>x<blockquote>y<p>z", "<div><tr><td>x"])
+def test_markdown_of_nested_blocks_is_linear(opening):
+    page = opening * (DEEP // opening.count("<") * 2) + "end"
+    got = markdown.to_markdown(htmltree.parse(page), AuditConfig())
+    assert "end" in got and len(got) < 4 * len(page)
+    few = markdown.to_markdown(htmltree.parse(opening * 12 + "end"), AuditConfig())
+    assert "end" in few and len(few) < 60 * len(opening * 12)
+
+
+def test_nested_tables_are_written_once():
+    inner = "<table><tr><td>in</td><td>ner</td></tr></table>"
+    got = markdown.to_markdown(htmltree.parse(f"<table><tr><td>out{inner}</td><td>er</td></tr><tr><td>last</td></tr></table>"), AuditConfig())
+    assert got.count("ner") == 1 and got.startswith("| out  \\| in \\| ner \\|") and got.endswith("| er |\n| --- | --- |\n| last |")
+
+
 def test_microdata_of_many_levels():
     page = "".join(f'<div itemscope itemprop="p{k}" itemtype="https://schema.org/T"><span itemprop=n>v{k}</span>' for k in range(2000))
     (block,) = structured.microdata(htmltree.parse(page))

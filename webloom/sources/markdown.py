@@ -13,6 +13,11 @@ DROPPED = frozenset("script style head iframe noscript svg canvas embed object p
 FRAME = frozenset("header footer nav aside".split())
 MAIN = ("article", "main", '[role="main"]', "#content", "#main", ".main", ".content")
 
+#: Levels of nesting that are rendered as such; what is nested deeper is text, so that output and work stay in proportion to the page.
+DEEPEST = 16
+#: Elements whose inner text is made before they are written.
+NESTING = frozenset("h1 h2 h3 h4 h5 h6 p li pre blockquote a table".split())
+
 _MAIN_TESTS = tuple(map(selector, MAIN))
 
 
@@ -41,6 +46,17 @@ def tidy(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
+def _own(element: Element, tags: tuple[str, ...], other: tuple[str, ...]):
+    """The elements of these tags below an element, but none within one another, within a table or within others."""
+    todo = [c for c in reversed(element.children) if isinstance(c, Element)]
+    while todo:
+        e = todo.pop()
+        if e.tag in tags:
+            yield e
+        elif e.tag != "table" and e.tag not in other:
+            todo += [c for c in reversed(e.children) if isinstance(c, Element)]
+
+
 def _run(step):
     """Runs a generator that yields further ones, whose results it is sent: nesting of any depth needs no recursion."""
     stack, value = [step], None
@@ -58,11 +74,13 @@ class _Writer:
     """Renders nodes into a list of strings; methods that go down are generators for `_run`."""
 
     def __init__(self, config: AuditConfig, tests: list):
-        self.config, self.tests = config, tests
+        self.config, self.tests, self.depth = config, tests, 0
 
     def inner(self, element: Element, level: int, pre: bool):
         out: list[str] = []
+        self.depth += 1
         yield self.children(element, out, level, pre)
+        self.depth -= 1
         return "".join(out)
 
     def children(self, element: Element, out: list[str], level: int, pre: bool):
@@ -92,10 +110,15 @@ class _Writer:
         if tag in DROPPED or (tag in FRAME and self.config.md_only_main_content) or any(t(e) for t in self.tests):
             return
         block = getattr(self, f"on_{tag}", None)
-        if tag == "li":
+        if self.depth >= DEEPEST and tag in NESTING:
+            edge = [] if tag == "a" else ["\n"]
+            out += edge
+            yield self.children(e, out, level, pre)
+            out += edge
+        elif tag == "li":
             mark = "- " if number is None else f"{number}. "
             inner = yield self.inner(e, level, pre)
-            out.append("\n" + "  " * max(level - 1, 0) + mark + inner.strip() + "\n")
+            out.append("\n" + "  " * min(max(level - 1, 0), DEEPEST) + mark + inner.strip() + "\n")
         elif block:
             yield block(e, out, level, pre)
         else:
@@ -172,16 +195,15 @@ class _Writer:
         yield from ()
 
     def on_table(self, e, out, level, pre):
+        """A table's own rows: those of a table in a cell are that cell's text."""
         rows = []
-        for row in e.walk():
-            if row.tag == "tr":
-                cells = []
-                for c in row.walk():
-                    if c is not row and c.tag in ("td", "th"):
-                        inner = yield self.inner(c, level, pre)
-                        cells.append(inner.strip().replace("\n", " ").replace("|", "\\|"))
-                if cells:
-                    rows.append(cells)
+        for row in _own(e, ("tr",), ("td", "th")):
+            cells = []
+            for c in _own(row, ("td", "th"), ("tr",)):
+                inner = yield self.inner(c, level, pre)
+                cells.append(inner.strip().replace("\n", " ").replace("|", "\\|"))
+            if cells:
+                rows.append(cells)
         lines = ["| " + " | ".join(cells) + " |\n" for cells in rows]
         if rows:
             lines.insert(1, "|" + " --- |" * len(rows[0]) + "\n")
