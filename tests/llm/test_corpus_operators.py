@@ -193,6 +193,25 @@ def test_stream_keeps_a_window():
     assert done == len(text) + 1 and lag < 300
 
 
+def test_unbroken_runs_take_linear_time():
+    """Runs whose paths do not meet, 200,000 characters each; ids equal the lattice's on shorter ones."""
+    import base64
+    import random
+    import time
+
+    e, n = spm_viterbi.encoder(spm_viterbi.default_path()), 200_000
+    noise = base64.b64encode(random.Random(4).randbytes(n)).decode()
+    for run in ("a" * n, noise[:n], "=" * n, "abc" * (n // 3), "-" * n):
+        began = time.process_time()
+        ids = list(e.stream(e.points(" " + run)))
+        assert time.process_time() - began < 20
+        assert "".join(e.texts[i].decode() for i in ids) == " " + run
+        short = " " + run[:300]
+        assert list(e.stream(e.points(short))) == viterbi(e, e.points(short))
+    both, offsets = e.encode_texts(["x " + "a" * n, noise[:n]])
+    assert e.decode_flat(both.astype(int), offsets)[0].tobytes().decode() == "x " + "a" * n + noise[:n]
+
+
 def test_round_trip_whole_table(spark, sf):
     rows = queries.op8_streaming_viterbi(spark, sf).collect()
     assert len(rows) == docs_of(spark, sf).count() and all(r.round_trip for r in rows)

@@ -1,9 +1,11 @@
 """SentencePiece encoding by streaming Viterbi, and decoding.
 
 The best segmentation of a text is the one whose pieces' stored scores sum highest; at equal scores the longest last
-piece wins. `stream` reads a text once: it keeps the best score and backpointer of the positions of a window, and as
-soon as the backpointer paths of all positions that can still be extended (those within the longest piece's length)
-meet in one boundary, it commits the ids before it and forgets them. So a text of any length needs a window only.
+piece wins. `stream` reads a text once: it keeps the backpointers of the positions of a window, and where the paths of all
+positions that can still be extended (those from which what was read begins a piece, within the longest piece's length)
+meet in one boundary, it commits the ids before it and forgets them. The window is looked over whenever it has doubled, so
+time is in proportion to the text. Where paths never meet (a long run of one character) the window is the whole run, at
+twelve bytes a code point.
 
 In most models a piece holds U+2581 (a space) at its start or nothing else, so all paths meet at every word's start: there
 the stream commits whatever was read, and a word is a window. `Encoder` uses that commit rule for many texts at once:
@@ -17,13 +19,15 @@ taken as stored also where the file was made by merges (ranks): this is the Vite
 the library's order of merges.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; rows are encoded each by itself, so ties and
-repeated rows need no rule; a very long text is encoded by itself, and a window grows only while paths do not meet; an
-empty table gives no rows; other columns, whatever their names, are ignored.
+repeated rows need no rule; a very long text is encoded by itself, and a window grows only while paths do not meet, for which a
+long unbroken run needs its own length; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -82,6 +86,20 @@ class Encoder(PieceTable):
         self.text_begins = np.cumsum(self.text_sizes) - self.text_sizes
         self.forget()
 
+    @functools.cached_property
+    def tree(self) -> tuple[dict[int, int], list[tuple[int, float] | None]]:
+        """The pieces as a tree: (node, code point) in one number -> node, and the piece that ends in each node; 0 is the root."""
+        children: dict[int, int] = {}
+        ends: list[tuple[int, float] | None] = [None]
+        for points, piece in self.pieces.items():
+            node = 0
+            for point in points:
+                node = children.setdefault(node << 21 | point, len(ends))
+                if node == len(ends):
+                    ends.append(None)
+            ends[node] = piece
+        return children, ends
+
     def _index(self) -> None:
         """The pieces in the order of their hashes, and a sieve that passes their hashes and few others."""
         self.ids = np.array([i for i, _ in self.pieces.values()], np.uint32)
@@ -190,43 +208,57 @@ class Encoder(PieceTable):
         return [SPACE if c == " " else LITERAL if ord(c) == SPACE else ord(c) for c in prefixed]
 
     def stream(self, points: Iterable[int]) -> Iterator[int]:
-        """The ids of a text, given as code points with spaces as U+2581, each as soon as it is sure."""
-        window: list[int] = []  # code points from the last committed boundary on
-        cost, back, found = [0.0], [0], [-1]  # by position in the window
+        """The ids of a text, given as code points with spaces as U+2581, each as soon as it is sure.
+
+        A place may begin a later piece while what was read since is the beginning of one; those places are held with their node in
+        the tree of pieces, longest first. The window is looked over for the boundary in which all their paths meet whenever
+        it has doubled, so that a text whose paths never meet (a run of one character) takes time in proportion to its length.
+        """
+        (children, ends), least = self.tree, 2 * self.longest
+        window, sizes, found = array("I"), array("I"), array("i")  # code points; size and id of the best piece that ends after each
+        held: list[tuple[int, int, float]] = []
+        cost, look = 0.0, least
         for point in points:
-            window.append(point)
             i = len(window)
-            best, at, piece = float("inf"), i - 1, -1
-            for size in range(min(i, self.longest), 0, -1):
-                k = self.pieces.get(tuple(window[i - size :]))
-                own = k[1] if k else self.unknown if size == 1 else None
-                if own is not None and cost[i - size] + own < best:
-                    best, at, piece = cost[i - size] + own, i - size, k[0] if k else -1
-            cost.append(best)
-            back.append(at)
+            held.append((i, 0, cost))
+            best, size, piece, after = float("inf"), 1, -1, []
+            for begin, node, before in held:
+                node = children.get(node << 21 | point)
+                if node is not None:
+                    after.append((begin, node, before))
+                    if (own := ends[node]) and before + own[1] < best:
+                        best, size, piece = before + own[1], i + 1 - begin, own[0]
+            if (point,) not in self.pieces and cost + self.unknown < best:
+                best, size, piece = cost + self.unknown, 1, -1
+            held, cost = after, best
+            window.append(point)
+            sizes.append(size)
             found.append(piece)
-            if i >= 2 * self.longest:
-                # What comes next can begin at any of the last `longest` positions.
-                live = set(range(i - self.longest + 1, i + 1))
-                while len(live) > 1:
-                    top = max(live)
-                    live.discard(top)
-                    live.add(back[top])
-                boundary = live.pop()
-                if boundary:
-                    yield from self._ids(window, back, found, boundary)
-                    base = cost[boundary]
-                    window = window[boundary:]
-                    cost = [c - base for c in cost[boundary:]]
-                    back = [max(b - boundary, 0) for b in back[boundary:]]
-                    found = found[boundary:]
-        yield from self._ids(window, back, found, len(window))
-
-    def _ids(self, window, back, found, end) -> list[int]:
+            if len(window) >= look:
+                if boundary := self._meet(sizes, held):
+                    yield from self._ids(window, sizes, found, boundary)
+                    for column in (window, sizes, found):
+                        del column[:boundary]
+                    held = [(begin - boundary, node, before - cost) for begin, node, before in held]
+                    cost = 0.0
+                look = max(least, 2 * len(window))
+        yield from self._ids(window, sizes, found, len(window))
+
+    @staticmethod
+    def _meet(sizes, held) -> int:
+        """The last boundary on the best paths to the end and to all held places."""
+        heap = sorted({-len(sizes), *(-begin for begin, _, _ in held)})
+        while len(heap) > 1:
+            top = -heapq.heappop(heap)
+            if -top != heap[0]:
+                heapq.heappush(heap, sizes[top - 1] - top)
+        return -heap[0]
+
+    def _ids(self, window, sizes, found, end) -> list[int]:
         out = []
         while end:
-            begin = back[end]
-            out.append([found[end]] if found[end] >= 0 else self.byte_ids[list(_bytes_of(window[begin]))].tolist())
+            begin = end - sizes[end - 1]
+            out.append([found[end - 1]] if found[end - 1] >= 0 else self.byte_ids[list(_bytes_of(window[begin]))].tolist())
             end = begin
         return [i for ids in reversed(out) for i in ids]
 
