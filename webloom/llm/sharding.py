@@ -7,9 +7,8 @@ the other columns named; a bin is part of the key's hash, so a shard is numbered
 broadcast. With so many shards that even one bin each is more, their counts are joined without a broadcast. A bin of more
 than HOT_BIN rows, as where a third of all rows are alike, is written and numbered in parts.
 
-Defined cases: a row without key takes its other columns' hash for a key, so such rows spread over the shards; rows
-with one key share a shard (that is the law) and are dealt to bins by their other columns too; repeated rows get
-slots of their own; very long texts are not read; an empty table gives no rows;
+Defined cases: rows with one key share a shard (that is the law) and are dealt to bins by their other columns too; rows without
+key have one key, NO_KEY, and so share a shard as well; repeated rows get slots of their own; very long texts are not read; an empty table gives no rows;
 columns beside those named are passed on, whatever their names, unless they clash with an output column, which
 replaces them.
 """
@@ -28,6 +27,8 @@ from ._spark import written
 MAX_COUNTS = 1 << 17
 #: Rows of a bin that one task numbers, and the parts that a larger one is dealt to.
 HOT_BIN, PARTS = 1 << 22, 1024
+#: The key of rows that have none.
+NO_KEY = -(1 << 63)
 
 
 def stable_key(values: np.ndarray) -> np.ndarray:
@@ -68,7 +69,7 @@ def assign(df: DataFrame, key: str = "doc_id", order: tuple[str, ...] = (), shar
             k = stable_key(values)
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(jump(k, shards), pa.int32()), pa.array(jump(k, shards + 1), pa.int32()), pa.array((mix(k ^ other.astype(U64)) % U64(bins)).astype(np.int32))], names=[*at.values(), "shard", "grown", "bin"])
 
-    wide = df.select(F.coalesce(F.col(key).cast("long"), rest), rest, *(F.col(f"`{c}`").alias(n) for c, n in at.items()))
+    wide = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), rest, *(F.col(f"`{c}`").alias(n) for c, n in at.items()))
     schema = T.StructType([*(T.StructField(at[f.name], f.dataType) for f in df.schema.fields), *(T.StructField(c, T.IntegerType()) for c in ("shard", "grown", "bin"))])
     rows = wide.toDF("key", "rest", *at.values()).mapInArrow(dealt, schema)
     counts = rows.groupBy("shard", "bin").count()
