@@ -30,6 +30,8 @@ from ._kernels import U64, mix
 from ._spark import Scratch, check_of, clashes, components, key_of, told_apart, written
 
 SAMPLE, PER_CELL, MAX_CELLS, ROUNDS = 20_000, 2048, 1024, 8
+#: Vectors whose largest component is below it or above its inverse are scaled by a power of two first.
+SMALLEST = 1e-100
 #: Home vectors and visitors in a block, and rows multiplied at a time.
 HOME_BLOCK, VISIT_BLOCK, STRIP = 2048, 8192, 512
 
@@ -178,8 +180,10 @@ def _bytes(kind: str):
             out = []
             for v in batch.column(1).to_pylist():
                 x = np.array(v, dtype=kind) if v and None not in v else np.zeros(1)
-                norm = np.linalg.norm(x.astype(np.float64))
-                out.append(x.tobytes() if np.isfinite(norm) and norm > 0 else None)
+                top = np.abs(x).max(initial=0) if np.isfinite(x).all() else 0
+                if top > 0 and not SMALLEST < top < 1 / SMALLEST:  # its square would not be a number, or be zero; a power of two keeps directions
+                    x = np.ldexp(x, -int(np.frexp(top)[1])).astype(kind)
+                out.append(x.tobytes() if top > 0 else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "raw"])
 
     return run
