@@ -153,8 +153,8 @@ def test_bands_reject_both_ends():
 
 def test_packing(spark, sf, odd):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
-    rows = packing.digest(packing.pack(docs)).collect()
-    assert len({r.sequence_id for r in rows}) == len(rows)
+    rows = packing.bucketed(docs).collect()
+    assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
     assert all(r.length & (r.length - 1) == 0 and r.length <= 1024 and r.offset == 0 for r in rows)
     pairs = [(r.doc_id, r.text) for r in docs.collect()]
     want = Counter()
@@ -165,7 +165,13 @@ def test_packing(spark, sf, odd):
             at += size
         assert at == len(ids)
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
-    assert packing.pack(odd.limit(0)).count() == 0
+    assert packing.pack(odd.limit(0)).count() == 0 and packing.bucketed(odd.limit(0)).count() == 0
+
+
+def test_sequences_do_not_depend_on_files(spark, sf, odd):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text")).cache()
+    found = [Counter(map(tuple, packing.bucketed(docs.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2]
 
 
 def test_store(spark, sf, odd, tmp_path):
@@ -324,6 +330,17 @@ def test_crowded_bins_are_numbered_in_parts(spark, monkeypatch):
     assert len({r.shard for r in rows if r.doc_id == 7}) == 1
 
 
+def test_rows_without_key_share_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_BIN", 100)
+    df = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), (F.col("id") % 11).alias("size"))
+    rows = sharding.assign(df, order=("size",), shards=8, bins=4).collect()
+    assert len({(r.shard, r.grown_shard) for r in rows if r.doc_id is None}) == 1
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == 2000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_buckets_of_equal_lengths(spark, sf, tmp_path):
     pieces = packing.pack(spark.read.parquet(f"{sf}/documents.parquet"))
     packing.write(pieces, str(tmp_path / "packed"))

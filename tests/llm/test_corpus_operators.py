@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from test_batch_operators import crc, library_ids
 from webloom.llm import _kernels as K
 from webloom.llm import embed_dedup, language_id, order_minhash, packing, quality, queries, spm_viterbi, substring_dedup
 from webloom.llm._spark import components
@@ -115,6 +116,14 @@ def test_vectors_odd_rows(spark, monkeypatch):
     assert embed_dedup.classes(df.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_components(spark):
+    """Components whose squares are not numbers, or zero, in double precision."""
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [5e-324, 5e-324]), (5, [1e300, -1e300]), (6, [1.0, 1.0]), (7, [1e200, float("inf")]), (8, [0.0, 0.0]), (9, [1e-310, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.classes(df).collect()}
+    assert got == {**{k: (4, 1) for k in (1, 2, 3, 4, 6)}, **{k: (0, k) for k in (5, 7, 8, 9)}}
+
+
 def test_visits_lose_no_pair():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 6))
@@ -543,11 +552,34 @@ def test_pipeline_stage_by_stage(spark, sf):
     kept = {k[0]: k[3] for k in brute_substrings(rows, 35)}
     for r in out["substring_dedup"].collect():
         assert hashlib.sha256(" ".join(WORD.findall(r.text)).encode()).hexdigest() == kept[r.doc_id]
-    want = Counter(tuple(r) for r in packing.digest(packing.pack(out["substring_dedup"])).drop("sequence_id").collect())
+    rows = [(r.doc_id, r.text) for r in out["substring_dedup"].collect()]
+    want = Counter()
+    for (i, _), ids in zip(rows, library_ids([t for _, t in rows])):
+        at = 0
+        for size in [1024] * (len(ids) // 1024) + [1 << b for b in range(9, -1, -1) if len(ids) % 1024 >> b & 1]:
+            want[(i, at, size, crc(ids[at : at + size]), len(ids), 0)] += 1
+            at += size
     assert Counter(tuple(r) for r in out["packing"].drop("sequence_id").collect()) == want
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, sf).drop("sequence_id").collect()) == want
 
 
+def test_pipeline_of_odd_rows(spark, sf, tmp_path):
+    """Null ids, repeated rows, null and empty texts, names that clash, and no rows at all."""
+    docs = docs_of(spark, sf).where("doc_id < 60").withColumns({"n_words": F.lit(1), "row": F.lit("r"), "length": F.lit(2)})
+    text = docs.orderBy(F.length("text").desc()).first()["text"]
+    odd = spark.createDataFrame([(None, text, "en", "s", 1, 1, "r", 2), (None, None, "en", "s", 0, 1, "r", 2), (7000, "", None, None, None, 1, "r", 2)], docs.schema)
+    for name, table in (("odd", docs.unionByName(odd).unionByName(docs.limit(9))), ("none", docs.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        pieces = {}
+        for r in rows:
+            pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+        assert bool(rows) == (name == "odd") and 7000 not in pieces
+        for own in pieces.values():  # one row of each text is left, so each id's pieces lie end to end
+            own.sort()
+            assert [a for a, _, _ in own] == [sum(n for _, n, _ in own[:k]) for k in range(len(own))] and sum(n for _, n, _ in own) == own[0][2]
+
+
 def test_kernels():
     data, offsets = K.flat(__import__("pyarrow").array(["a b", None, "", " c\n", "d"]))
     starts, ends, at = K.words(data, offsets)

@@ -3,12 +3,13 @@
 A document's ids (with the end id) are cut into full sequences and then pieces of the binary digits of what is left,
 largest first. Every piece is a sequence of its own, of a power-of-two length, so no sequence crosses documents and
 nothing is padded. `write` buckets equal lengths: a folder for each length holds rows of so many ids each and nothing
-else, from which a reader takes batches of one shape; `read` gives one bucket back.
+else, from which a reader takes batches of one shape; `read` gives one bucket back, and `sequences` numbers what all buckets hold.
 
 Defined cases: a null or empty text is the end id alone; rows with equal doc_id are documents of their own; a very long
 text is encoded by itself, so a task needs memory for its longest text; an empty table gives no rows; other columns,
-whatever their names, are ignored. There is no shuffle: a piece depends on its document only, and sequence ids are
-unique numbers given by each task (task number, then position), the same again when a task reruns on the same input.
+whatever their names, are ignored. Ids are not shuffled: a piece depends on its document only. Sequence ids are places in the order of
+length, doc_id (null first), start and ids' crc32, gapless from 0 whatever files the table is in; pieces that are equal in all of it
+are alike in all but that number.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.operators.ranks import ranked
+from webloom.shared import Scratch, new_path
+
 from ._kernels import STEP_BYTES, batch_rows, flat, released, steps
 from .bpe import default_path, encoder
 
@@ -54,7 +58,7 @@ def cut(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def pack(docs: DataFrame, longest: int = 1024, path: str | None = None, end_id: int = 0) -> DataFrame:
-    """Pieces: doc_id, start, length, doc_tokens, ids (little-endian uint32), sequence_id, offset."""
+    """Pieces: doc_id, start, length, doc_tokens, ids (little-endian uint32)."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the sequence length must be a power of two")
     path = path or default_path()
@@ -69,12 +73,7 @@ def pack(docs: DataFrame, longest: int = 1024, path: str | None = None, end_id:
                 payload = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(bounds * 4), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(counts[doc]), payload], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(pieces), SCHEMA)
-    return rows.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-
-
-def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(pieces), SCHEMA)
 
 
 def write(pieces: DataFrame, path: str) -> None:
@@ -82,6 +81,26 @@ def write(pieces: DataFrame, path: str) -> None:
     pieces.write.partitionBy("length").parquet(path)
 
 
+def _buckets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id long, start long, doc_tokens long, ids binary, length long").parquet(path)
+
+
 def read(spark: SparkSession, path: str, length: int) -> DataFrame:
     """One bucket: sequences of `length` ids each."""
-    return spark.read.parquet(path).where(F.col("length") == length)
+    return _buckets(spark, path).where(F.col("length") == length)
+
+
+def sequences(spark: SparkSession, path: str) -> DataFrame:
+    """What the buckets hold, without the ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    scratch = Scratch(spark)
+    held = scratch.write(_buckets(spark, path).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", F.monotonically_increasing_id().alias("row")), "pieces")
+    placed = ranked(held, [F.col(c) for c in ("length", "doc_id", "start", "ids_crc32", "row")])
+    scratch.drop()
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("place") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+
+
+def bucketed(docs: DataFrame, longest: int = 1024, path: str | None = None, end_id: int = 0) -> DataFrame:
+    """The sequences of docs, written to buckets in the shared folder and read back from there."""
+    place = new_path(docs.sparkSession, "buckets")
+    write(pack(docs, longest, path, end_id), place)
+    return sequences(docs.sparkSession, place)

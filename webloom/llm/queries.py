@@ -48,7 +48,7 @@ def op6_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), 1024))
+    return packing.bucketed(_table(spark, sf_dir, "documents"), 1024)
 
 
 def op8_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
