@@ -38,7 +38,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(docs, 1024))
+    return packing.bucketed(docs, 1024)
 
 
 STAGES = [
