@@ -41,7 +41,7 @@ class Scratch:
     """Tables written to the shared folder on the way to a result; `drop` deletes them once no table needs them."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.tables = spark, [], []
 
     def write(self, df: DataFrame, kind: str) -> DataFrame:
         """df written and read back, with small batches between the JVM and Python, which bounds what both hold of long texts."""
@@ -55,7 +55,20 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, kind: str, column: str) -> DataFrame:
+        """df dealt once by a column, written and read back in as many buckets as shuffle partitions: joins and aggregates by that column
+        take the buckets as they are. It also spreads rows that came in few parts."""
+        path, n = new_path(self.spark, kind), max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        name = f"webloom_{kind}_{uuid.uuid4().hex}"
+        df.repartition(n, column).write.bucketBy(n, column).option("path", path).format("parquet").saveAsTable(name)
+        self.paths.append(path)
+        self.tables.append(name)
+        return self.spark.table(name)
+
     def drop(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables.clear()
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for path in self.paths:
             at = jvm.org.apache.hadoop.fs.Path(path)
