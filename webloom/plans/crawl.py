@@ -15,6 +15,9 @@ from webloom import schema
 from webloom.config import AuditConfig
 from webloom.functions import audit, urls
 from webloom.operators import dashboard, links
+from webloom.operators.ranks import ranked
+from webloom.operators.seen import Seen
+from webloom.shared import Scratch
 from webloom.sources import extract, seeds
 
 _FRONTIER = "url string, depth long"
@@ -38,6 +41,13 @@ def assemble(responses: DataFrame, config: AuditConfig) -> DataFrame:
     return rows.select(*out)
 
 
+def first_urls(frontier: DataFrame, most: int) -> DataFrame:
+    """The first URLs of a frontier in their order: all where there are no more, else by their places, which are numbered in ranges."""
+    if frontier.count() <= most:
+        return frontier
+    return ranked(frontier, [F.col("url")]).where(F.col("place") <= most).drop("place")
+
+
 @dataclass
 class Crawl:
     """A crawl in a work folder that driver and executors share."""
@@ -85,15 +95,20 @@ class Crawl:
             crawled = spark.read.parquet(f"{self.work}/rows").count()
         elif not self._has(f"{self.work}/frontier/wave=0/_SUCCESS"):
             spark.createDataFrame([(u, 0) for u in dict.fromkeys(good)], _FRONTIER).write.mode("overwrite").parquet(f"{self.work}/frontier/wave=0")
+        seen = Seen(spark, f"{self.work}/seen")
         while self._has(f"{self.work}/frontier/wave={wave}/_SUCCESS") and crawled < config.max_urls:
-            frontier = spark.read.schema(_FRONTIER).parquet(f"{self.work}/frontier/wave={wave}").orderBy("url").limit(config.max_urls - crawled)
+            frontier = spark.read.schema(_FRONTIER).parquet(f"{self.work}/frontier/wave={wave}")
+            # Before the wave is fetched; a crawl that stopped in between adds it again, which does no harm.
+            seen.add(frontier)
+            frontier = first_urls(frontier, config.max_urls - crawled)
             assemble(self._respond(frontier), config).write.mode("overwrite").parquet(f"{self.work}/rows/wave={wave}")
             rows = spark.read.schema(schema.CRAWL).parquet(f"{self.work}/rows/wave={wave}")
             crawled += rows.count()
-            seen = spark.read.schema(_FRONTIER).parquet(f"{self.work}/frontier")
-            following = links.unseen(links.followed(rows, base, config, catalogue).select(F.col("dst").alias("url"), "depth"), seen)
+            scratch = Scratch(spark)
+            following = seen.new(links.followed(rows, base, config, catalogue).select(F.col("dst").alias("url"), "depth"), scratch)
             wave += 1
             following.write.mode("overwrite").parquet(f"{self.work}/frontier/wave={wave}")
+            scratch.drop()
             if spark.read.schema(_FRONTIER).parquet(f"{self.work}/frontier/wave={wave}").isEmpty():
                 break
         rows = spark.read.schema(schema.CRAWL).parquet(f"{self.work}/rows") if self._has(f"{self.work}/rows") else spark.createDataFrame([], schema.CRAWL)
