@@ -26,12 +26,40 @@ def discovered(links: DataFrame, approximate: bool = False) -> DataFrame:
     return links.agg((F.approx_count_distinct("url") if approximate else F.count_distinct("url")).alias("discovered"))
 
 
+def duplicates(pages: DataFrame, names: tuple[str, ...] = audit.COUNTED) -> DataFrame:
+    """One row: for each name, how many pages have a value that others have too.
+
+    Values are counted by partial sums and the counts over 1 added up, so no page is joined to its value's count and a value that is
+    very common is one row a task when it moves.
+    """
+    values = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names)))
+    rows = pages.select(values.alias("v")).where("coalesce(v.value, '') <> ''").groupBy("v.name", "v.value").agg(F.count("*").alias("rows")).where("rows > 1")
+    return rows.agg(*(F.coalesce(F.sum(F.when(F.col("name") == n, F.col("rows"))), F.lit(0)).cast("long").alias(n) for n in names))
+
+
+#: The predicates on values that other pages have too, and the values.
+DUPLICATES = {"title_duplicate": "title", "desc_duplicate": "meta_desc", "h1_duplicate": "h1"}
+
+
+def counts_of(pages: DataFrame, names: list[str]) -> DataFrame:
+    """One row: `n`, all pages, and for each of the audit predicates named how many pages it holds for."""
+    table, several = audit.audit(), tuple(DUPLICATES[n] for n in names if n in DUPLICATES)
+    plain = pages.agg(F.count("*").alias("n"), *(_count(table[n][1]).alias(n) for n in names if n not in DUPLICATES))
+    if not several:
+        return plain
+    # One row each.
+    return plain.crossJoin(F.broadcast(duplicates(pages, several).withColumnsRenamed({v: k for k, v in DUPLICATES.items() if v in several})))
+
+
+def audit_rows(counts: DataFrame) -> DataFrame:
+    """ord, filter, label, category, count of one row that has a column for each audit predicate."""
+    rows = F.array(*(F.struct(F.lit(k).cast("int").alias("ord"), F.lit(name).alias("filter"), F.lit(audit.LABELS[name]).alias("label"), F.lit(category).alias("category"), F.col(name).alias("count")) for k, (name, (category, _)) in enumerate(audit.audit().items())))
+    return counts.select(F.inline(rows))
+
+
 def audit_counts(pages: DataFrame) -> DataFrame:
-    """ord, filter, label, category, count of all audit predicates: one aggregate, turned to rows."""
-    table = audit.audit()
-    wide = audit.with_value_counts(pages).agg(*(_count(p).alias(name) for name, (_, p) in table.items()))
-    rows = F.array(*(F.struct(F.lit(k).cast("int").alias("ord"), F.lit(name).alias("filter"), F.lit(audit.LABELS[name]).alias("label"), F.lit(category).alias("category"), F.col(name).alias("count")) for k, (name, (category, _)) in enumerate(table.items())))
-    return wide.select(F.inline(rows))
+    """ord, filter, label, category, count of all audit predicates: one aggregate of pages and one of values, turned to rows."""
+    return audit_rows(counts_of(pages, list(audit.audit())))
 
 
 #: Points per share of pages that have an issue, and how it is told.
@@ -42,8 +70,7 @@ MOST_ISSUES = 5
 
 def health_score(pages: DataFrame) -> DataFrame:
     """score (0 to 100, half up), band; pages that have no row score 0 of 0 as 100."""
-    table = audit.audit()
-    counted = audit.with_value_counts(pages, ("title",)).agg(F.count("*").alias("n"), *(_count(table[name][1]).alias(name) for name, _ in WEIGHTS))
+    counted = counts_of(pages, [name for name, _ in WEIGHTS])
     lost = reduce(lambda a, b: a + b, [F.col(name) * weight for name, weight in WEIGHTS])
     raw = F.when(F.col("n") == 0, 100.0).otherwise(100.0 - lost / F.col("n"))
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))).cast("long")

@@ -92,6 +92,24 @@ def robots_blocked(url: Column, rules: list[str]) -> Column:
     return F.coalesce(blocked, F.lit(False))
 
 
+def robots_matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """pages (url, ...) with `rule`, the longest of their host's robots rules (host, rule) that their path begins with; null if none.
+
+    An equi-join on (host, prefix): a host's rules say which lengths there are, a page's path is cut at those lengths only, and
+    the pieces are looked up. No page meets a rule that it does not begin with, however many hosts and rules there are.
+    """
+    rules = rules.where("host is not null and rule <> ''").select(F.col("host").alias("r_host"), "rule").distinct()
+    lengths = rules.groupBy(F.col("r_host").alias("l_host")).agg(F.collect_set(F.char_length("rule")).alias("lengths"))
+    names = pages.columns
+    asked = pages.withColumns({"_host": urls.host(F.col("url")), "_path": urls.path(F.col("url"))}).join(lengths, F.col("_host") == F.col("l_host"), "left")
+    fitting = F.filter("lengths", lambda n: n <= F.char_length("_path"))
+    prefixes = F.transform(F.sort_array(fitting, False), lambda n: F.substring(F.col("_path"), F.lit(1), n))
+    keyed = asked.select("url", "_host", F.explode(prefixes).alias("_prefix")).distinct()
+    met = keyed.join(rules, (F.col("_host") == F.col("r_host")) & (F.col("_prefix") == F.col("rule")))
+    longest = met.groupBy(F.col("url").alias("m_url")).agg(F.max_by("rule", F.struct(F.char_length("rule"), "rule")).alias("rule"))
+    return pages.join(longest, F.col("url") == F.col("m_url"), "left").select(*names, "rule")
+
+
 def sorted_view(pages: DataFrame, column: str, descending: bool = False) -> DataFrame:
     """The grid's order by one column, nulls as 0 or empty text."""
     missing = F.lit("") if dict(pages.dtypes)[column] == "string" else F.lit(0)
