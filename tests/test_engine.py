@@ -434,26 +434,70 @@ def test_layout_of_some_open_folders(spark):
     assert [r.proj_z for r in drawn] == sorted(r.proj_z for r in drawn) and [r.paint for r in drawn] == list(range(1, len(drawn) + 1))
 
 
+def parts_of(spark, path, batches, kind):
+    """A stream that takes one batch after the other."""
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, kind).coalesce(1).write.parquet(f"{path}/part={k}")
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path))
+
+
 def test_inlinks_of_two_streams(spark, tmp_path):
-    """A link before its page, one after it, and one to no page."""
-    for name, batches, kind in (("rows", [[("t",)], [("u",)]], "url string"), ("edges", [[("a", "t"), ("b", "u"), ("a", "z")], [("c", "t")]], "src string, dst string")):
-        for k, batch in enumerate(batches):
-            spark.createDataFrame(batch, kind).coalesce(1).write.parquet(str(tmp_path / name / f"part={k}"))
-    read = lambda name, kind: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / name))
-    told = events.drain(events.inlinks_stream(read("rows", "url string"), read("edges", "src string, dst string")), "update")
-    last = {r.url: r.inlinks for r in told.groupBy("url").agg(F.max_by("inlinks", "n").alias("inlinks")).collect()}
-    assert last == {"t": ["a", "c"], "u": ["b"]}
-
-
-def test_audits_are_recounted_by_batch(spark, tmp_path):
-    first = crawl_rows(spark, {"url": "https://a.example/1", "title": "same"})
-    second = crawl_rows(spark, {"url": "https://a.example/2", "title": "same"}, {"url": "https://a.example/3"})
+    """Links before their page, after it, again, and to no page; then the streams stop, and go on from their state."""
+    rows, edges = (tmp_path / "rows", "url string"), (tmp_path / "edges", "src string, dst string")
+    streams = [parts_of(spark, rows[0], [[("t",)], [("u",)], [("t",)]], rows[1]), parts_of(spark, edges[0], [[("a", "t"), ("b", "u"), ("a", "z")], [("c", "t"), ("a", "t")], [(None, "t")]], edges[1])]
+    told = []
+    put = lambda df, n: told.append(sorted(map(tuple, df.collect()), key=repr))
+    events.run(events.inlinks_stream(*streams), str(tmp_path / "state"), put)
+    assert len(told) >= 3
+    assert sorted((x for batch in told for x in batch), key=repr) == sorted([("t", None), ("t", "a"), ("t", "c"), ("u", None), ("u", "b")], key=repr)
+    for k, batch in enumerate([[("d", "t"), ("a", "t"), ("e", "v")]]):
+        spark.createDataFrame(batch, edges[1]).coalesce(1).write.parquet(f"{edges[0]}/later={k}")
+    spark.createDataFrame([("z",)], rows[1]).coalesce(1).write.parquet(f"{rows[0]}/later=0")
+    told.clear()
+    again = [spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path)) for path, kind in (rows, edges)]
+    events.run(events.inlinks_stream(*again), str(tmp_path / "state"), put)
+    assert sorted((x for batch in told for x in batch), key=repr) == sorted([("t", "d"), ("z", None), ("z", "a")], key=repr)
+    got = {r.url: (r.n, r.inlinks) for r in events.gathered_inlinks(spark.createDataFrame([("t", None), ("t", "c"), ("t", "a"), ("w", None)], "url string, src string")).collect()}
+    assert got == {"t": (2, ["a", "c"]), "w": (0, [])}
+
+
+def test_audits_are_recounted_by_batch(spark, sf, tmp_path):
+    """After each micro-batch the counts are those of all pages so far, also where a stream goes on from its state."""
+    from webloom.plans.surrogate import doc_pages
+
+    whole = doc_pages(spark, sf)
+    rows = sorted(whole.collect(), key=lambda r: r.url)
+    cut = [rows[:1], rows[1:30], rows[30:31] * 2, rows[31:120], rows[120:]]
+    stream = parts_of(spark, tmp_path / "in", cut[:3], whole.schema)
     told = {}
-    handle = events.recounting(str(tmp_path / "pages"), lambda counts, n: told.update({n: {r.filter: r["count"] for r in counts.collect()}}))
-    handle(first, 0)
-    handle(second, 1)
-    handle(second, 1)
-    assert (told[0]["all"], told[0]["title_duplicate"]) == (1, 0) and (told[1]["all"], told[1]["title_duplicate"], told[1]["title_missing"]) == (3, 2, 1)
+    handle = events.recounting(str(tmp_path / "sums"), lambda counts, n: told.update({n: {r.filter: r["count"] for r in counts.collect()}}))
+    events.run(events.audit_deltas(stream), str(tmp_path / "state"), handle)
+    for k, batch in enumerate(cut[3:], 3):
+        spark.createDataFrame(batch, whole.schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
+    again = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    events.run(events.audit_deltas(again), str(tmp_path / "state"), handle)
+    for k in range(5):
+        so_far = spark.createDataFrame([r for batch in cut[: k + 1] for r in batch], whole.schema)
+        assert told[k] == {r.filter: r["count"] for r in dashboard.audit_counts(so_far).collect()}
+
+
+def test_counts_without_joins_equal_flags_by_row(spark, sf):
+    from webloom.plans.surrogate import doc_pages
+
+    rows = doc_pages(spark, sf).union(doc_pages(spark, sf).limit(20))
+    flagged = audit.with_value_counts(rows)
+    want = {n: flagged.where(p).count() for n, (_, p) in audit.audit().items() if n in dashboard.DUPLICATES}
+    got = {r.filter: r["count"] for r in dashboard.audit_counts(rows).collect()}
+    assert {n: got[n] for n in want} == want
+    plan = dashboard.audit_counts(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # of two rows, one each
+
+
+def test_robots_of_many_hosts(spark):
+    pages = spark.createDataFrame([(1, "https://A.example/x/y"), (2, "https://a.example/x"), (3, "https://b.example/x/y"), (4, "https://c.example"), (5, "no url"), (6, None), (7, "https://a.example/x/y")], "id int, url string")
+    rules = spark.createDataFrame([("a.example", "/x"), ("a.example", "/x/"), ("a.example", "/x/"), ("b.example", "/y"), ("c.example", "/"), (None, "/x"), ("b.example", "")], "host string, rule string")
+    got = {r.id: r.rule for r in links.robots_matches(pages, rules).collect()}
+    assert got == {1: "/x/", 2: "/x", 3: None, 4: "/", 5: None, 6: None, 7: "/x/"}
 
 
 def test_no_local_folder_on_a_cluster():
@@ -464,3 +508,47 @@ def test_no_local_folder_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {})
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+
+
+# Known URLs in buckets.
+
+
+def test_seen_urls(spark, tmp_path):
+    from webloom.operators.seen import Seen
+
+    seen = Seen(spark, str(tmp_path / "s"), buckets=8)
+    none = spark.createDataFrame([], "url string, depth long")
+    assert sorted(map(tuple, seen.new(spark.createDataFrame([("u1", 3), ("u1", 2), (None, 1)], none.schema)).collect())) == [("u1", 2)]
+    seen.add(none)
+    seen.add(spark.range(3000).select(F.concat(F.lit("u"), "id").alias("url"), F.lit(0).alias("depth")))
+    seen.add(spark.range(2990, 3500).select(F.concat(F.lit("u"), "id").alias("url"), F.lit(1).alias("depth")))
+    asked = spark.range(2000, 6000).select(F.concat(F.lit("u"), "id").alias("url"), (F.col("id") % 5).alias("depth"))
+    want = {(f"u{k}", k % 5) for k in range(3500, 6000)}
+    assert set(map(tuple, seen.new(asked.union(asked)).collect())) == want
+    # Another session finds the table by its folder.
+    spark.sql(f"DROP TABLE {seen.name}")
+    again = Seen(spark, str(tmp_path / "s"), buckets=8)
+    assert set(map(tuple, again.new(asked).collect())) == want
+    # Only the candidates are dealt anew: the bucketed side has no exchange.
+    plan = again.unknown(asked.repartition(3))._jdf.queryExecution().executedPlan().toString()
+    sides = plan[plan.index("Exchange hashpartitioning(url") :]
+    assert plan.count("hashpartitioning") == 1 and "Bucketed: true" in sides and "SelectedBucketsCount: 8 out of 8" in sides
+
+
+def test_seen_filters_let_few_through(spark, tmp_path):
+    from webloom.operators.seen import Seen
+    from webloom.shared import Scratch
+
+    seen = Seen(spark, str(tmp_path / "s"), buckets=4)
+    seen.add(spark.range(5000).select(F.concat(F.lit("u"), "id").alias("url"), F.lit(0).alias("depth")))
+    scratch = Scratch(spark)
+    seen.new(spark.range(5000, 25000).select(F.concat(F.lit("u"), "id").alias("url"), F.lit(0).alias("depth")), scratch)
+    assert spark.read.parquet(scratch.paths[0]).where("maybe").count() < 400
+
+
+def test_crawl_limit_takes_the_first_urls(spark):
+    from webloom.plans.crawl import first_urls
+
+    frontier = spark.range(100).select(F.format_string("u%03d", "id").alias("url"), F.lit(0).cast("long").alias("depth"))
+    assert {r.url for r in first_urls(frontier, 7).collect()} == {f"u{k:03d}" for k in range(7)}
+    assert first_urls(frontier, 100).count() == 100

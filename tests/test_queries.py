@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from webloom.plans import queries as engine
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks".split()
 
 
 @pytest.fixture(scope="module")

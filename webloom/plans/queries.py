@@ -11,7 +11,7 @@ from webloom.config import AuditConfig
 from webloom.functions import audit, text, urls
 from webloom.operators import dashboard, links, mining, tree
 from webloom.plans.surrogate import PREDICATES, SQL, doc_pages, from_documents
-from webloom.shared import written
+from webloom.shared import new_path, written
 from webloom.sources import export, extract, seeds, structured
 from webloom.streaming import events as streams
 
@@ -135,6 +135,11 @@ def depth_histogram(spark, sf_dir):
     return dashboard.depth_histogram(doc_pages(spark, sf_dir))
 
 
+@register(f"WITH {SQL}, h AS (SELECT r AS depth, count(url) AS pages FROM range(6) t(r) LEFT JOIN doc_pages ON least(depth, 5) = r GROUP BY r) SELECT depth, pages, greatest(2.0, CAST(pages AS DOUBLE) / greatest((SELECT max(pages) FROM h), 1) * 100) AS bar FROM h")
+def depth_bars(spark, sf_dir):
+    return dashboard.histogram_scale(dashboard.depth_histogram(doc_pages(spark, sf_dir)))
+
+
 @register(
     f"WITH {SQL}, flags AS (SELECT "
     + ", ".join(f"({PREDICATES[n]}) AS {n}" for n, _ in dashboard.WEIGHTS)
@@ -322,6 +327,14 @@ def url_slug(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", urls.slug(F.col("url")).alias("slug"))
 
 
+@register("SELECT src, CASE WHEN regexp_extract(last, '[.]([^.]+)$', 1) = '' THEN 'png' ELSE regexp_extract(last, '[.]([^.]+)$', 1) END AS extension FROM (SELECT src, regexp_extract(regexp_extract(src, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) AS last FROM (SELECT regexp_replace(url, '#.*$', '') || CASE page_id % 3 WHEN 0 THEN '.jpeg?v=1.5' WHEN 1 THEN '.x.webp' ELSE '' END AS src FROM pages))")
+def image_extension(spark, sf_dir):
+    """The file ending that an image is stored under; a page's address with an ending stands for an image's."""
+    ending = F.when(F.col("page_id") % 3 == 0, ".jpeg?v=1.5").when(F.col("page_id") % 3 == 1, ".x.webp").otherwise("")
+    images = pages(spark, sf_dir).select(F.concat(urls.without_fragment(F.col("url")), ending).alias("src"))
+    return images.select("src", urls.extension(F.col("src")).alias("extension"))
+
+
 @register(
     "WITH b AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages), c AS (SELECT page_id, CASE WHEN regexp_matches(u, '^[^/]+//[^/]*$') THEN u || '/' ELSE u END AS u FROM b), d AS (SELECT page_id, u, list_filter(string_split(regexp_extract(u, '^[a-z]+://[^/]*(.*)$', 1), '/'), lambda x: x <> '') AS s FROM c) "
     "SELECT page_id, CASE WHEN u LIKE '%/' THEN u WHEN contains(s[-1], '.') OR len(s) > 1 THEN regexp_replace(u, '[^/]*$', '') ELSE u || '/' END AS catalogue FROM d"
@@ -340,6 +353,21 @@ def robots_blocked(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", links.robots_blocked(F.col("url"), rules).alias("blocked"))
 
 
+#: Robots files that differ by host: folders of some of its pages, and two that are the same everywhere.
+_HOST_RULES = f"files AS (SELECT {_HOST} AS host, {_PATH} AS path, page_id FROM pages), rules AS (SELECT host, substr(min(path), 1, 4) AS rule FROM files GROUP BY host UNION SELECT host, max(path) FROM files GROUP BY host UNION SELECT DISTINCT host, unnest(['/a', '/da']) FROM files)"
+
+
+@register(f"WITH {_HOST_RULES}, met AS (SELECT page_id, max_by(rule, struct_pack(n := length(rule), r := rule)) AS rule FROM files f JOIN rules r ON f.host = r.host AND starts_with(f.path, r.rule) GROUP BY page_id) SELECT page_id, met.rule IS NOT NULL AS blocked, met.rule AS rule FROM files LEFT JOIN met USING (page_id)")
+def robots_all_hosts(spark, sf_dir):
+    """The pages of all hosts under the robots files of all hosts."""
+    rows = pages(spark, sf_dir)
+    paths = rows.groupBy(urls.host(F.col("url")).alias("host")).agg(F.min(urls.path(F.col("url"))).alias("first"), F.max(urls.path(F.col("url"))).alias("last"))
+    lines = ["User-agent: otherbot", "Disallow: /", "User-agent: *", F.concat(F.lit("Disallow: "), F.substring("first", 1, 4)), F.concat(F.lit("disallow: "), "last"), "Disallow: /a", "Disallow: /da", "Disallow:"]
+    files = paths.select("host", F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in lines)).alias("value"))
+    met = links.robots_matches(rows.select("page_id", "url"), seeds.robots_rules_table(files, "webloom/0.1"))
+    return met.select("page_id", F.col("rule").isNotNull().alias("blocked"), "rule")
+
+
 @register(f"SELECT src, dst FROM ({_LINKS}) WHERE regexp_matches(dst, '[a-m]$') AND NOT regexp_matches(dst, 'qu|th')")
 def regex_include_exclude(spark, sf_dir):
     return page_links(spark, sf_dir).where(links.allowed(F.col("dst"), AuditConfig(include_regex="[a-m]$", exclude_regex="qu|th")))
@@ -367,9 +395,10 @@ def links_followed(spark, sf_dir):
     return links.followed(doc_pages(spark, sf_dir), "site.example", AuditConfig(max_depth=5))
 
 
-@register(f"WITH {SQL} SELECT url, status_code FROM doc_pages WHERE url = 'https://site.example/en/src0/0'")
+@register(f"WITH {SQL} SELECT url, status_code FROM doc_pages WHERE url = (SELECT max(url) FROM doc_pages)")
 def page_lookup(spark, sf_dir):
-    return links.lookup(doc_pages(spark, sf_dir), "https://site.example/en/src0/0").select("url", "status_code")
+    rows = doc_pages(spark, sf_dir)
+    return links.lookup(rows, rows.agg(F.max("url")).first()[0]).select("url", "status_code")
 
 
 @register(f"WITH {SQL} SELECT url, 'Article' AS types, 'https://schema.org' AS contexts FROM doc_pages WHERE has_schema")
@@ -378,6 +407,19 @@ def schema_summary(spark, sf_dir):
     return rows.select("url", structured.summary(structured.combined(F.col("schema_json_ld"))).alias("s")).select("url", "s.types", "s.contexts")
 
 
+@register(
+    f"WITH {SQL} SELECT url, CASE doc_id % 5 WHEN 0 THEN 'Article + Unknown + Person, Place' WHEN 1 THEN 'WebPage' WHEN 2 THEN 'A + B' WHEN 3 THEN 'Unknown (Invalid JSON)' ELSE 'Unknown' END AS types, "
+    "CASE doc_id % 5 WHEN 0 THEN 'https://schema.org + schema.org + x' WHEN 1 THEN 'c' || doc_id WHEN 2 THEN 'schema.org + schema.org' WHEN 3 THEN 'Unknown' ELSE 'schema.org' END AS contexts FROM doc_pages"
+)
+def schema_summary_arrays(spark, sf_dir):
+    """Blocks of every form: an array of items with an array in it, one item, two blocks, none that is valid, no type."""
+    i = F.regexp_extract("url", r"(\d+)$", 1).cast("long")
+    several = F.array(F.lit('[{"@type":"Article","@context":"https://schema.org"},{"name":"n"},[{"@type":"Person","@context":"x"},{"@type":"Place"}]]'))
+    one = F.array(F.lit("{broken"), F.concat(F.lit('{"@type":"WebPage","@context":"c'), i.cast("string"), F.lit('"}')))
+    blocks = F.when(i % 5 == 0, several).when(i % 5 == 1, one).when(i % 5 == 2, F.array(F.lit('{"@type":"A"}'), F.lit('{"@type":"B"}'))).when(i % 5 == 3, F.array(F.lit("{broken"))).otherwise(F.array(F.lit('{"@type":["T"]}')))
+    return doc_pages(spark, sf_dir).select("url", structured.summary(F.coalesce(structured.combined(blocks), F.lit("{"))).alias("s")).select("url", "s.types", "s.contexts")
+
+
 @register(
     f"WITH {SQL} SELECT m AS message, count(*) AS pages FROM (SELECT unnest(CASE WHEN len(ms) = 0 THEN ['{audit.SOCIAL_FINE}'] ELSE ms END) AS m FROM (SELECT list_filter([CASE WHEN og_title IS NULL THEN '{audit.OG_TITLE_MISSING}' WHEN og_title <> title THEN '{audit.OG_TITLE_OTHER}' END, "
     f"CASE WHEN og_description IS NULL THEN '{audit.OG_DESCRIPTION_MISSING}' WHEN og_description <> meta_desc THEN '{audit.OG_DESCRIPTION_OTHER}' END, CASE WHEN og_image IS NULL THEN '{audit.OG_IMAGE_MISSING}' END, CASE WHEN twitter_card IS NULL THEN '{audit.CARD_MISSING}' END], lambda x: x IS NOT NULL) AS ms FROM doc_pages)) GROUP BY m"
@@ -624,7 +666,7 @@ def events_tumbling(spark, sf_dir):
     return _ntz(streams.tumbling(streams.timed(table(spark, sf_dir, "events")))).withColumn("value", F.round("value", 4))
 
 
-@register("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+@register("WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
 def events_session(spark, sf_dir):
     return _ntz(streams.sessions(streams.timed(table(spark, sf_dir, "events"))))
 
@@ -634,10 +676,80 @@ def events_props_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
 
 
+#: Micro-batches that a stream of a table comes in.
+PARTS = 5
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    # As a pattern, since a stream does not take the path of a single file.
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(f"{path[:-1]}[t]")
+    """A table as a stream of PARTS micro-batches; one that is a single file is written in parts first."""
+    rows = table(spark, sf_dir, name)
+    files, path = len(rows.inputFiles()), f"{sf_dir}/{name}.parquet"
+    if files < PARTS:
+        path = new_path(spark, f"{name}-parts")
+        rows.repartition(PARTS).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // PARTS))).parquet(path)
+
+
+#: Days of arrivals in a micro-batch of _arrivals, which has six.
+DAYS = 20
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as a stream in the order of arrival: six micro-batches of twenty days each, files written one after the other."""
+    rows, path = table(spark, sf_dir, "clicks"), new_path(spark, "arrivals")
+    batch = F.least(F.floor(F.dayofyear("arrived_at") / DAYS), F.lit(5))
+    for k in range(6):
+        part = rows.where(batch == k).select("ts", "client_id", F.col("kind").alias("event_type"), "value")
+        part.coalesce(1).write.parquet(f"{path}/part={k}")
+    return spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+#: A row is late if its window had ended by the latest time of all batches before its own, less an hour, and windows that have ended by the last are told.
+_LATE = (
+    f"arrived AS (SELECT *, least(dayofyear(arrived_at) // {DAYS}, 5) AS b FROM clicks WHERE ts IS NOT NULL AND arrived_at IS NOT NULL), marks AS (SELECT b, max(epoch_ms(ts)) AS top FROM arrived GROUP BY b), "
+    "open AS (SELECT k AS b, coalesce((SELECT max(top) FROM marks WHERE marks.b < k) - 3600000, 0) AS mark FROM range(7) t(k)), last AS (SELECT mark AS done FROM open WHERE b = 6), "
+    "judged AS (SELECT a.*, mark, done FROM arrived a JOIN open USING (b), last)"
+)
+
+
+@register(f"WITH {_LATE} SELECT event_type, start, n FROM (SELECT kind AS event_type, time_bucket(INTERVAL 6 HOUR, ts) AS start, count(*) AS n, any_value(done) AS done FROM judged WHERE epoch_ms(time_bucket(INTERVAL 6 HOUR, ts)) + 21600000 > mark GROUP BY 1, 2) WHERE epoch_ms(start) + 21600000 <= done")
+def closed_windows_stream(spark, sf_dir):
+    """Tumbling windows of six hours that the watermark has closed, in append mode: late rows are left out, each window is told once."""
+    with streams.one_watermark(spark):
+        events = streams.timed(_arrivals(spark, sf_dir), "1 hour")
+        return _ntz(streams.drain(streams.tumbling(events, "6 hours").select("event_type", "start", "n")))
+
+
+@register(f"WITH {_LATE} SELECT b AS batch, count(DISTINCT (kind, time_bucket(INTERVAL 6 HOUR, ts))) AS late FROM judged WHERE epoch_ms(time_bucket(INTERVAL 6 HOUR, ts)) + 21600000 <= mark GROUP BY b")
+def late_windows_stream(spark, sf_dir):
+    """For each micro-batch with late rows, how many windows (by kind) they came too late for."""
+    with streams.one_watermark(spark):
+        told: list[dict] = []
+        streams.drain(streams.tumbling(streams.timed(_arrivals(spark, sf_dir), "1 hour"), "6 hours"), progress=told)
+        late = [(int(p["batchId"]), sum(int(o["numRowsDroppedByWatermark"]) for o in p["stateOperators"])) for p in told]
+    return spark.createDataFrame([x for x in late if x[1]], "batch long, late long")
+
+
+@register("SELECT kind AS event_type, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS start, count(*) AS n FROM clicks, range(4) t(k) WHERE ts IS NOT NULL GROUP BY 1, 2")
+def sliding_stream(spark, sf_dir):
+    """Windows of a day, one beginning every six hours, over six micro-batches."""
+    return _ntz(streams.drain(streams.sliding(streams.timed(_arrivals(spark, sf_dir), None)), "complete"))
+
+
+@register("WITH e AS (SELECT client_id AS user_id, ts FROM clicks WHERE ts IS NOT NULL), g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def sessions_stream(spark, sf_dir):
+    """Sessions of clients over six micro-batches: those that later rows join are merged."""
+    events = streams.timed(_arrivals(spark, sf_dir), None).withColumnRenamed("client_id", "user_id")
+    return _ntz(streams.drain(streams.sessions(events.where("ts is not null")), "complete"))
+
+
+@register("WITH " + SQL + ", flags AS (SELECT " + ", ".join(f"({p}) AS f_{n}" for n, p in PREDICATES.items()) + " FROM doc_pages) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS filter, count(*) FILTER (f_{n}) AS count FROM flags" for n in PREDICATES) + ")")
+def audit_counts_stream(spark, sf_dir):
+    """The audit counts kept up batch by batch, as they stand after the last one."""
+    told: list[DataFrame] = []
+    place = new_path(spark, "recount")
+    streams.run(streams.audit_deltas(from_documents(_stream(spark, sf_dir, "documents"))), f"{place}/state", streams.recounting(f"{place}/sums", lambda counts, n: told.append(counts)))
+    return told[-1].select("filter", "count")
 
 
 @register("SELECT DISTINCT user_id || '/' || event_type AS url FROM events")
@@ -654,10 +766,10 @@ def status_stream(spark, sf_dir):
 
 @register(f"WITH {SQL} SELECT a.url, (SELECT string_agg(DISTINCT b.url, ' ' ORDER BY b.url) FROM doc_pages b WHERE b.outlink = a.url) AS sources FROM doc_pages a")
 def inlinks_two_streams(spark, sf_dir):
-    """Pages and links as two streams; the last that was told of each page."""
-    told = streams.inlinks_stream(from_documents(_stream(spark, sf_dir, "documents")), links.edges(from_documents(_stream(spark, sf_dir, "documents"))))
-    last = streams.drain(told, "update").groupBy("url").agg(F.max_by("inlinks", "n").alias("s"))
-    return last.select("url", F.when(F.size("s") > 0, F.array_join("s", " ")).alias("sources"))
+    """Pages and links as two streams; all that was told of each page."""
+    documents = _stream(spark, sf_dir, "documents")
+    last = streams.gathered_inlinks(streams.drain(streams.inlinks_stream(from_documents(documents), links.edges(from_documents(documents)))))
+    return last.select("url", F.when(F.col("n") > 0, F.array_join("inlinks", " ")).alias("sources"))
 
 
 @register("SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY event_type")
