@@ -12,7 +12,7 @@ from webloom.functions import audit, text, urls
 from webloom.operators import dashboard, links, mining, tree
 from webloom.plans.surrogate import PREDICATES, SQL, doc_pages, from_documents
 from webloom.shared import new_path, written
-from webloom.sources import export, extract, seeds, structured
+from webloom.sources import export, extract, seeds, store, structured
 from webloom.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -652,6 +652,42 @@ def markdown_export(spark, sf_dir):
     return export.markdown_files(extract.to_markdown_pages(pages(spark, sf_dir)))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """The pages laid out by host in three batches, which is the order a stream takes them in."""
+    store.register(spark)
+    rows, path = pages(spark, sf_dir), new_path(spark, "responses")
+    for k in range(3):
+        store.layout(rows.where(F.col("page_id") % 3 == k), path, k, 4)
+    return path
+
+
+_RESPONSES = "SELECT regexp_replace(url, '#.*$', '') AS url, CAST(200 AS INT) AS status_code, CAST(strlen(html) AS BIGINT) AS size FROM pages"
+
+
+@register(_RESPONSES)
+def responses_read(spark, sf_dir):
+    """Stored responses through the data source, a partition for each file of a host bucket."""
+    read = spark.read.format("webloom_responses").load(_stored(spark, sf_dir))
+    return read.select("url", "status_code", F.octet_length("body").cast("long").alias("size"))
+
+
+@register(_RESPONSES)
+def responses_stream(spark, sf_dir):
+    """The same as a stream: offsets are counts of files, and a micro-batch takes at most three."""
+    read = spark.readStream.format("webloom_responses").option("maxFilesPerTrigger", 3).load(_stored(spark, sf_dir))
+    return streams.drain(read.select("url", "status_code", F.octet_length("body").cast("long").alias("size")), bounded=False)
+
+
+@register(f"WITH {_SLUG}, {_MARKDOWN} SELECT slug || '.md' AS name, sha256(max_by(markdown, url)) AS digest FROM markdowns JOIN slugs USING (page_id) GROUP BY slug")
+def markdown_stored(spark, sf_dir):
+    """Markdown files as they are in the folder they were exported to."""
+    path = new_path(spark, "markdown")
+    export.store_markdown(extract.to_markdown_pages(pages(spark, sf_dir)), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.try_url_decode(name).alias("name"), F.sha2(F.col("content"), 256).alias("digest"))
+
+
 # Events and streams.
 
 _TUMBLING = "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"

@@ -66,14 +66,23 @@ def one_watermark(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def run(stream: DataFrame, place: str, put: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
-    """Hands each micro-batch of all input that is there to `put`, with the state in `place`, and stops; a later call goes on from there."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination()
+def run(stream: DataFrame, place: str, put: Callable[[DataFrame, int], None], mode: str = "append", bounded: bool = True) -> StreamingQuery:
+    """Hands each micro-batch of all input that is there to `put`, with the state in `place`, and stops; a later call goes on from there.
+
+    bounded: the source says itself what is there when the run begins, as Spark's own do; else batches are asked for until none comes.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", place).foreachBatch(put)
+    if bounded:
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+    else:
+        query = writer.start()
+        query.processAllAvailable()
+        query.stop()
     return query
 
 
-def drain(stream: DataFrame, mode: str = "append", progress: list[dict] | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", progress: list[dict] | None = None, bounded: bool = True) -> DataFrame:
     """Runs a stream over all input that is there, and returns what it gave; what Spark tells of each batch goes to `progress`.
 
     Results and state are in the shared folder. A mode that repeats rows is written whole by each batch to a folder of
@@ -87,7 +96,7 @@ def drain(stream: DataFrame, mode: str = "append", progress: list[dict] | None =
         batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
         last.append(number)
 
-    query = run(stream, f"{place}/state", put, mode)
+    query = run(stream, f"{place}/state", put, mode, bounded)
     if progress is not None:
         progress += [json.loads(p.json) for p in query.recentProgress]
     if not last:
