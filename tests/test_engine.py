@@ -552,3 +552,29 @@ def test_crawl_limit_takes_the_first_urls(spark):
     frontier = spark.range(100).select(F.format_string("u%03d", "id").alias("url"), F.lit(0).cast("long").alias("depth"))
     assert {r.url for r in first_urls(frontier, 7).collect()} == {f"u{k:03d}" for k in range(7)}
     assert first_urls(frontier, 100).count() == 100
+
+
+# Sketches.
+
+
+def test_heavy_ngrams_equal_the_full_count(spark, monkeypatch):
+    """A few phrases that are common and many that are rare: the sketch is small, and what it names is enough."""
+    common = [f"very common phrase {k}" for k in range(30)]
+    titles = [c for k, c in enumerate(common) for _ in range(60 + k)] + [f"rare{k} thing{k}" for k in range(3000)]
+    df = crawl_rows(spark, *({"url": f"u{k}", "title": t} for k, t in enumerate(titles))).repartition(5)
+    want = mining.top_ngrams(df, F.col("title"), 20).collect()
+    full = []
+    monkeypatch.setattr(mining, "top_ngrams", lambda *a: full.append(a) or want_frame)
+    want_frame = spark.createDataFrame(want)
+    assert mining.heavy_ngrams(df, F.col("title"), 20, 2000).collect() == want and not full
+    # Too small a sketch, or fewer phrases than asked for: all are counted.
+    assert mining.heavy_ngrams(df, F.col("title"), 20, 16).collect() == want and len(full) == 1
+    mining.heavy_ngrams(df.limit(0), F.col("title"), 20).collect()
+    assert len(full) == 2
+
+
+def test_sketches_of_waves_merge(spark):
+    waves = [spark.range(k * 4000, k * 4000 + 6000).select(F.concat(F.lit("u"), "id").alias("url")) for k in range(4)]
+    kept = spark.createDataFrame([dashboard.sketch(w).first() for w in waves])
+    assert abs(dashboard.merged_discovered(kept).first()[0] - 18000) < 18000 * 0.02
+    assert dashboard.merged_discovered(kept.limit(0)).first()[0] == 0

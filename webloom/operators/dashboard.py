@@ -37,6 +37,20 @@ def duplicates(pages: DataFrame, names: tuple[str, ...] = audit.COUNTED) -> Data
     return rows.agg(*(F.coalesce(F.sum(F.when(F.col("name") == n, F.col("rows"))), F.lit(0)).cast("long").alias(n) for n in names))
 
 
+#: Bits of a sketch's registers: an error of some 0.4 %.
+SKETCH = 16
+
+
+def sketch(links: DataFrame) -> DataFrame:
+    """One row `sketch` that stands for the distinct URLs; sketches of waves or days are merged by merged_discovered."""
+    return links.agg(F.hll_sketch_agg("url", SKETCH).alias("sketch"))
+
+
+def merged_discovered(sketches: DataFrame) -> DataFrame:
+    """discovered: about how many distinct URLs stored sketches (sketch) stand for together, without their URLs."""
+    return sketches.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).cast("long").alias("discovered"))
+
+
 #: The predicates on values that other pages have too, and the values.
 DUPLICATES = {"title_duplicate": "title", "desc_duplicate": "meta_desc", "h1_duplicate": "h1"}
 

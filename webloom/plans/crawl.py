@@ -100,6 +100,7 @@ class Crawl:
             frontier = spark.read.schema(_FRONTIER).parquet(f"{self.work}/frontier/wave={wave}")
             # Before the wave is fetched; a crawl that stopped in between adds it again, which does no harm.
             seen.add(frontier)
+            dashboard.sketch(frontier).write.mode("overwrite").parquet(f"{self.work}/sketches/wave={wave}")
             frontier = first_urls(frontier, config.max_urls - crawled)
             assemble(self._respond(frontier), config).write.mode("overwrite").parquet(f"{self.work}/rows/wave={wave}")
             rows = spark.read.schema(schema.CRAWL).parquet(f"{self.work}/rows/wave={wave}")
@@ -119,6 +120,10 @@ class Crawl:
             out = out.unionByName(failed.select(*schema.failed_row(F.col("seed"), F.lit(0), "Failed Connection", F.concat(F.lit("Invalid URL: "), F.col("seed")))))
         return out
 
+    def about_discovered(self) -> DataFrame:
+        """discovered: about how many URLs the waves so far had in their frontiers, from their sketches alone."""
+        return dashboard.merged_discovered(self.spark.read.schema("sketch binary").parquet(f"{self.work}/sketches"))
+
     def stats(self, rows: DataFrame) -> DataFrame:
         """Counters of a crawl; rows of seeds that are no URL do not count."""
         known = self.spark.read.schema(_FRONTIER).parquet(f"{self.work}/frontier")

@@ -302,6 +302,15 @@ def discovered_count(spark, sf_dir):
     return dashboard.discovered(page_links(spark, sf_dir).select(F.col("dst").alias("url")))
 
 
+@register(f"SELECT count(DISTINCT dst) AS discovered, true AS near FROM ({_LINKS})")
+def discovered_sketch(spark, sf_dir):
+    """The exact count of link targets, and whether that of merged sketches, one for each part of the pages, is within two in a hundred."""
+    found = written(page_links(spark, sf_dir).select(F.col("dst").alias("url"), F.pmod(F.xxhash64("src"), F.lit(7)).alias("part")), "targets")
+    sketches = found.groupBy("part").agg(F.hll_sketch_agg("url", dashboard.SKETCH).alias("sketch"))
+    both = dashboard.discovered(found).crossJoin(F.broadcast(dashboard.merged_discovered(sketches).withColumnRenamed("discovered", "about")))
+    return both.select("discovered", (F.abs(F.col("about") - F.col("discovered")) <= F.greatest(F.lit(1.0), F.col("discovered") * 0.02)).alias("near"))
+
+
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 _PATH = "CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END"
 
@@ -455,6 +464,12 @@ def ngram_by_len(spark, sf_dir):
     return mining.ngrams(doc_pages(spark, sf_dir)).groupBy("length").agg(F.count("*").alias("phrases"), F.sum("frequency").alias("total"))
 
 
+@register(f"{_NGRAMS} ORDER BY frequency DESC, phrase LIMIT 200")
+def ngram_heavy(spark, sf_dir):
+    """The same by a sketch of frequent phrases and an exact count of those it names."""
+    return mining.heavy_ngrams(doc_pages(spark, sf_dir))
+
+
 _KEYWORDS = f"keywords AS (SELECT DISTINCT url, array_to_string(g, ' ') AS keyword FROM ({_grams('(SELECT url, unnest([coalesce(title, chr(32)), coalesce(h1, chr(32))]) AS field FROM doc_pages WHERE status_code BETWEEN 200 AND 299 AND indexable)', 'field', 'url')}) WHERE {_ENDS} AND strlen(array_to_string(g, ' ')) >= 4 AND ((n = 1 AND size = 1) OR (n > 1 AND len(list_filter(g, lambda t: strlen(t) < 2)) = 0)))"
 
 
