@@ -60,6 +60,17 @@ def test_substrings_odd_rows(spark, levels):
     assert substring_dedup.judge(df.limit(0), 9, levels).count() == 0
 
 
+def test_substrings_of_crowds(spark, monkeypatch):
+    """Rows equal in id and text by the thousand: with a window, without one, and with one that other rows have too."""
+    monkeypatch.setattr(substring_dedup, "COPIES", 20)
+    long, short = " ".join(f"w{k}" for k in range(50)), "too short \n to have a window"
+    rows = [(None, long)] * 2000 + [(5, short)] * 300 + [(6, long + " tail")] * 15 + [(7, "head " + " ".join(f"w{k}" for k in range(8, 45)) + " end")] + [(8, None)] * 40 + [(9, "")] * 30 + [(5, long)]
+    df = spark.createDataFrame([(*r, 9, "x") for r in rows], "doc_id long, text string, n_chars int, _wl_id string").repartition(4)
+    assert as_counter(substring_dedup.judge(df)) == Counter(brute_substrings(rows, 35))
+    left = Counter((r.doc_id, r.text, r.n_chars) for r in substring_dedup.remove(df.drop("_wl_id")).collect())
+    assert left[(None, "", 0)] == 2000 and left[(5, short, 9)] == 300 and left[(6, "", 0)] == 15 and left[(7, "head end", 8)] == 1 and left[(8, None, 9)] == 40 and left[(9, "", 9)] == 30 and left[(5, "", 0)] == 1
+
+
 def test_substrings_removed_text(spark):
     passage = " ".join(f"w{k}" for k in range(12))
     rows = [(1, f"first\n{passage} end  of", 9, "a"), (2, f"{passage} second", 9, "b"), (3, "kept  as\nit is", 14, None), (4, None, None, "c")]
@@ -321,6 +332,14 @@ def test_near_duplicates_odd_rows(spark):
     assert order_minhash.classes(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_equal_rows(spark):
+    """Rows equal in id and text by the thousand, and a near copy of them."""
+    text = " ".join(f"word{k}" for k in range(120))
+    rows = [(None, text)] * 3000 + [(4, text.replace("word60", "other"))] + [(5, "something else that is short")] * 500
+    got = Counter((r.doc_id, r.component_id) for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(None, 4): 3000, (4, 4): 1, (5, 5): 500}
+
+
 def test_near_duplicates_of_a_large_family(spark, monkeypatch):
     """Members that no lead of a bucket is near to are linked without further rounds too."""
     rng = random.Random(5)

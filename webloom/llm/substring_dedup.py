@@ -13,7 +13,8 @@ Documents are dealt to groups by a hash of id and text; groups are as many as ke
 there are four buckets of hashes for so many bytes, however many partitions there are. A group sends each bucket of hashes one message with the distinct hashes it holds and whether it holds them more than
 once; the bucket answers each group with the hashes that repeat over all groups. So a passage that stands in every
 document costs one entry per group and not one per copy, hashes alone travel, and texts move once, to their group
-(the exchange is shared by all levels).
+(the exchange is shared by all levels). Of rows equal in id and text that are there over COPIES times one is sent for the others, so
+that a third of all rows being alike is no third of a group's.
 
 Defined cases: words are runs of other than U+0020 and U+0009 to U+000D; a null or empty text has none, and loses
 none; all copies of a repeated window go, the first as well; rows that repeat are documents of their own, so both lose
@@ -32,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._spark import input_bytes, partitions
+from ._spark import check_of, input_bytes, key_of, partitions, written
 
 U64 = K.U64
 #: Words hashed at a time, and the bits of a position in such a step.
 STEP_WORDS, PLACE_BITS = 1 << 18, 24
 #: Levels at most, and bytes of input that a group of texts is meant to have.
 LEVELS, GROUP_BYTES = 3, 1 << 26
+#: Rows equal in id and text that one group may get.
+COPIES = 64
 SIEVE = U64((1 << 22) - 1)
 MESSAGE = "grp int, bucket int, one binary, many binary"
 ANSWER = "grp int, hashes binary"
@@ -299,19 +302,53 @@ def _grouped(docs: DataFrame, columns: list) -> tuple[DataFrame, int]:
     return docs.select(*columns, text.alias("_wl_text"), F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("grp")), max(16, 4 * units)
 
 
+def _crowded(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with `_wl_spare`, without the rows that are there over COPIES times, but with one spare of each; and those rows.
+
+    Such rows, equal in doc_id and text, would all be one group's. What becomes of them is known: a window of theirs stands in every copy. One
+    copy is enough to tell the other documents of their windows, so the copies' texts do not move.
+    """
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({"_wl_id": F.col("doc_id").cast("long"), "_wl_key": key_of(text), "_wl_check": check_of(text)})
+    names = ["_wl_id", "_wl_key", "_wl_check"]
+    counts = keyed.where("text is not null").groupBy(*names).agg(F.count("*").alias("n")).where(F.col("n") > COPIES)
+    crowds = written(counts.select(*(F.col(c).alias(f"{c}_c") for c in names)), "crowds")
+    if crowds.isEmpty():
+        return docs.withColumn("_wl_spare", F.lit(False)), None
+    same = F.col("_wl_id").eqNullSafe(F.col("_wl_id_c")) & (F.col("_wl_key") == F.col("_wl_key_c")) & (F.col("_wl_check") == F.col("_wl_check_c"))
+    crowd = keyed.where("text is not null").join(crowds, same, "left_semi")
+    spare = crowd.dropDuplicates(names).select(*docs.columns, F.lit(True).alias("_wl_spare"))
+    alone = keyed.join(crowds, same, "left_anti").select(*docs.columns, F.lit(False).alias("_wl_spare"))
+    return alone.unionByName(spare), crowd.select(*docs.columns)
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _lost(window: int):
+    """Of a row of a crowd: its words, and whether it loses them all, which it does if it has a window."""
+    n = F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)).cast("long")
+    return n, n >= window
+
+
 def judge(docs: DataFrame, window: int = 35, levels: int = LEVELS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     sizes = lengths(window, levels)
-    grouped, buckets = _grouped(docs, [F.col("doc_id").cast("long").alias("doc_id")])
+    docs, crowd = _crowded(docs.select("doc_id", "text"))
+    grouped, buckets = _grouped(docs, [F.col("doc_id").cast("long").alias("doc_id"), "_wl_spare"])
 
     def run(texts, known):
-        if texts.num_rows == 0:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string())})
-        rows = [(n_words, lost, hashlib.sha256(b" ".join(w for r in runs for w in r.split())).hexdigest()) for n_words, lost, runs, _ in _cut(texts, known, sizes)]
-        n_words, lost, digest = zip(*rows)
-        return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
+        kept = [(n_words, lost, hashlib.sha256(b" ".join(w for r in runs for w in r.split())).hexdigest()) for n_words, lost, runs, _ in _cut(texts, known, sizes)] if texts.num_rows else []
+        n_words, lost, digest = zip(*kept) if kept else ([], [], [])
+        own = {"doc_id": texts.column("doc_id"), "spare": texts.column("_wl_spare")} if kept else {"doc_id": pa.array([], pa.int64()), "spare": pa.array([], pa.bool_())}
+        return pa.table(own | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}).select(["doc_id", "n_words", "n_removed", "kept_sha256", "spare"])
 
-    return grouped.groupBy("grp").cogroup(_levels(grouped, sizes, buckets).groupBy("grp")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    out = grouped.groupBy("grp").cogroup(_levels(grouped, sizes, buckets).groupBy("grp")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, spare boolean").where("not spare").drop("spare")
+    if crowd is None:
+        return out
+    n, all_lost = _lost(window)
+    words = F.array_join(F.regexp_extract_all(F.col("text").cast("string"), F.lit(_WORD), F.lit(0)), " ")
+    return out.unionByName(crowd.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_words"), F.when(all_lost, n).otherwise(0).alias("n_removed"), F.sha2(F.when(all_lost, "").otherwise(words), 256).alias("kept_sha256")))
 
 
 def remove(docs: DataFrame, window: int = 35, levels: int = LEVELS) -> DataFrame:
@@ -321,13 +358,14 @@ def remove(docs: DataFrame, window: int = 35, levels: int = LEVELS) -> DataFrame
     """
     sizes = lengths(window, levels)
     schema, text_at = docs.schema, docs.columns.index("text")
+    docs, crowd = _crowded(docs)
     # By position, so that no name of docs can clash with a name in here.
-    grouped, buckets = _grouped(docs, [F.col(f"`{c}`").alias(f"_wl_{i}") for i, c in enumerate(docs.columns) if i != text_at])
+    grouped, buckets = _grouped(docs, [*(F.col(f"`{c}`").alias(f"_wl_{i}") for i, c in enumerate(schema.names) if i != text_at), "_wl_spare"])
 
     def run(texts, known):
         if texts.num_rows == 0:
             return _arrow(schema).empty_table()
-        old = texts.column("_wl_text").to_pylist()
+        old, spare = texts.column("_wl_text").to_pylist(), texts.column("_wl_spare")
         found = list(_cut(texts, known, sizes))
         new = [x if not f[1] else b" ".join(f[2]).decode() for x, f in zip(old, found)]
         columns = []
@@ -339,9 +377,14 @@ def remove(docs: DataFrame, window: int = 35, levels: int = LEVELS) -> DataFrame
                 columns.append(pa.array([c if not f[1] else len(t) for c, t, f in zip(counts, new, found)], field.type))
             else:
                 columns.append(texts.column(f"_wl_{i}"))
-        return pa.table(columns, names=schema.names)
+        return pa.table(columns, names=schema.names).filter(pc.invert(spare))
 
-    return grouped.groupBy("grp").cogroup(_levels(grouped, sizes, buckets).groupBy("grp")).applyInArrow(run, schema)
+    out = grouped.groupBy("grp").cogroup(_levels(grouped, sizes, buckets).groupBy("grp")).applyInArrow(run, schema)
+    if crowd is None:
+        return out
+    _, all_lost = _lost(window)
+    left = {"text": F.lit(""), "n_chars": F.lit(0)}
+    return out.unionByName(crowd.select(*(F.when(all_lost, left[f.name].cast(f.dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name in left else F.col(f"`{f.name}`") for f in schema.fields)))
 
 
 def _arrow(schema):
