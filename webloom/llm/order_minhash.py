@@ -150,8 +150,10 @@ def _verified(batches):
 def _texts_of(shared: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, text of all nodes that share a bucket: the one time that all texts move."""
     wanted = shared.select("node").distinct().join(nodes, "node").select(F.col("node").alias("w"), F.col("least").alias("of"))
-    texts = rows.where("text is not null").join(wanted, (F.col("node") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "text")
-    return texts.dropDuplicates(["node"])
+    # Rows that are equal in both become one where they are, so that copies of a text do not move.
+    once = rows.where("text is not null").dropDuplicates(["node", "doc_id"])
+    texts = once.join(wanted, (F.col("node") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "text")
+    return texts
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
