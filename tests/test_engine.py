@@ -266,6 +266,36 @@ def test_project_round_trip(spark, tmp_path):
     assert "key" not in config.to_json()
 
 
+def test_projects_are_read_and_written_in_parts(spark, tmp_path):
+    """Lines of ours as parts and as one file, and a document indented by two spaces; records with what could be taken for borders."""
+    import json
+
+    odd = ['],\n  "stats": {', '\n    },\n    {\n', '{"seed_url": x "results": [', None, "é\u2028]"]
+    df = crawl_rows(spark, *({"title": odd[k % 5], "images": [("s", None, "p")] * (k % 2), "headings": [(2, "h}")]} for k in range(200))).repartition(5)
+    stats = dashboard.status_classes(df).withColumn("discovered", F.lit(9).cast("long"))
+    want = sorted(map(str, df.collect()))
+    folder, file = str(tmp_path / "p"), str(tmp_path / "p.json")
+    seeds.write_project(df, "https://a.example", AuditConfig(max_urls=7), stats, folder, file)
+    whole = json.load(open(file, encoding="utf-8"))
+    assert len(whole["results"]) == 200 and whole["stats"]["crawled"] == 200
+    pretty = tmp_path / "pretty.json"
+    pretty.write_text(json.dumps(whole, indent=2, ensure_ascii=False), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        for path in (folder, file, str(pretty)):
+            seed, config, rows, got = seeds.read_project(spark, path)
+            assert (seed, config.max_urls, got["crawled"]) == ("https://a.example", 7, 200)
+            assert sorted(map(str, rows.select(*schema.CRAWL.names).collect())) == want
+            assert rows.groupBy(F.spark_partition_id()).count().count() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    seeds.write_project(df.limit(0), "s", AuditConfig(), stats, folder, file)
+    assert json.load(open(file))["results"] == [] and seeds.read_project(spark, file)[2].count() == 0
+    (tmp_path / "flat.json").write_text(json.dumps(whole))
+    assert seeds.read_project(spark, str(tmp_path / "flat.json"))[2].count() == 200
+
+
 SITE = {
     "https://a.example/": '<title>Home</title><a href="/one">1</a><a href="/two#x">2</a><a href="https://b.example/">b</a><a href="/secret/x">s</a>',
     "https://a.example/one": '<title>One</title><a href="/">home</a><a href="/one">self</a><a href="/three">3</a>',

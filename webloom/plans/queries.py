@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom import schema
 from webloom.config import AuditConfig
 from webloom.functions import audit, text, urls
 from webloom.operators import dashboard, links, mining, tree
@@ -667,6 +668,17 @@ def markdown_export(spark, sf_dir):
     return export.markdown_files(extract.to_markdown_pages(pages(spark, sf_dir)))
 
 
+@register(f"WITH {SQL} SELECT url, title, markdown, len(markdown) AS size, image_kind <> 0 AS images FROM doc_pages")
+def project_round_trip(spark, sf_dir):
+    """Pages as a project in parts, read back record by record."""
+    rows, path = doc_pages(spark, sf_dir), new_path(spark, "project")
+    whole = rows.select(*(F.col(f.name) if f.name in rows.columns else schema.default_of(f).alias(f.name) for f in schema.CRAWL.fields))
+    stats = dashboard.status_classes(whole).withColumn("discovered", F.lit(0).cast("long"))
+    seeds.write_project(whole, "https://site.example", AuditConfig(), stats, path)
+    back = seeds.read_project(spark, path)[2]
+    return back.select("url", "title", "markdown", F.char_length("markdown").cast("long").alias("size"), (F.size("images") > 0).alias("images"))
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> str:
     """The pages laid out by host in three batches, which is the order a stream takes them in."""
     store.register(spark)

@@ -16,6 +16,8 @@ from webloom.config import AuditConfig
 from webloom.functions import urls
 from webloom.shared import written
 
+from . import store
+
 
 def seed_lines(text: DataFrame, column: str = "value") -> DataFrame:
     """url of each line that is not blank, with a scheme."""
@@ -134,11 +136,45 @@ def pages_as_responses(pages: DataFrame) -> DataFrame:
 
 # Project files.
 
-PROJECT = "seed_url string, config string, results array<struct<{}>>, stats struct<{}>"
+#: What stands between two records of a project that is indented by two spaces, before the first and after the last.
+BETWEEN, BEFORE, AFTER = "\n    },\n    {\n", '\n  "results": [\n    {\n', "\n    }\n  ],\n"
+_HEAD, _RESULTS, _TAIL = '{"seed_url": ', '"results": [', '], "stats": '
+
+
+def _head_of(document: str) -> tuple[str, AuditConfig, dict]:
+    try:
+        whole = json.loads(document)
+        return whole["seed_url"], AuditConfig.from_json(json.dumps(whole["config"])), whole.get("stats") or {}
+    except (ValueError, KeyError, TypeError):
+        raise ValueError("Failed to open project file.") from None
 
 
 def read_project(spark: SparkSession, path: str) -> tuple[str, AuditConfig, DataFrame, dict]:
-    """Seed, settings, results and stats of a project file; stats are those of the file."""
+    """Seed, settings, results and stats of a project, a file or the folder of its parts; stats are those of the file.
+
+    A project is read in splits that are cut at its records, so a task holds one record at a time: each is a line of its own as
+    project_json writes it, or stands between two fixed lines where the document is indented. Any other layout is one row of one task.
+    """
+    lines = spark.read.text(path)
+    head = lines.where(F.col("value").startswith(_HEAD) & F.col("value").endswith(_RESULTS)).first()
+    if head:
+        tail = lines.where(F.col("value").startswith(_TAIL)).first()
+        found = _head_of(head["value"] + (tail["value"] if tail else "]}"))
+        rows = lines.where(F.col("value").startswith('{"url"') | F.col("value").startswith(',{"url"')).select(F.ltrim(F.col("value"), F.lit(",")).alias("record"))
+    elif not lines.where(F.col("value") == '  "results": [').isEmpty():
+        chunks = spark.read.option("lineSep", BETWEEN).text(path)
+        first = chunks.where(F.col("value").contains(BEFORE)).first()["value"].partition(BEFORE)[0]
+        last = chunks.where(F.col("value").contains(AFTER)).first()["value"].partition(AFTER)[2]
+        found = _head_of(first + '\n  "results": [],\n' + last)
+        own = F.substring_index(F.substring_index("value", BEFORE, -1), AFTER, 1)
+        rows = chunks.select(F.concat(F.lit("{"), own, F.lit("}")).alias("record"))
+    else:
+        return _read_whole(spark, path)
+    seed, config, stats = found
+    return seed, config, rows.select(F.from_json("record", schema.CRAWL).alias("r")).select("r.*"), stats
+
+
+def _read_whole(spark: SparkSession, path: str) -> tuple[str, AuditConfig, DataFrame, dict]:
     from pyspark.sql import types as T
 
     stats = T.StructType([T.StructField(f.name, f.dataType) for f in schema.STATS.fields])
@@ -151,17 +187,37 @@ def read_project(spark: SparkSession, path: str) -> tuple[str, AuditConfig, Data
 
 
 def project_json(results: DataFrame, seed: str, config: AuditConfig, stats: DataFrame) -> DataFrame:
-    """The lines of a project's JSON, in one ordered partition, for a text file.
+    """The lines of a project's JSON, a record a line, in parts whose order is that of the document.
 
-    A project is one document, so one task writes it, but a row at a time; Parquet is for results that are more.
+    The head has the first record; all others begin with a comma and may come in any order, so they are written where they are.
     """
     spark = results.sparkSession
     rows = written(results.select(F.monotonically_increasing_id().alias("at"), F.to_json(F.struct(*(f.name for f in schema.CRAWL.fields)), {"ignoreNullFields": "false"}).alias("value")), "project")
-    last = rows.agg(F.max("at").alias("last"))
-    lines = rows.crossJoin(F.broadcast(last)).select(F.lit(1).alias("part"), "at", F.when(F.col("at") == F.col("last"), F.col("value")).otherwise(F.concat("value", F.lit(","))).alias("value"))
-    head = spark.createDataFrame([(0, 0, f'{{"seed_url": {json.dumps(seed)}, "config": {config.to_json()}, "results": [')], "part int, at long, value string")
-    tail = stats.select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("at"), F.concat(F.lit('], "stats": '), F.to_json(F.struct("*")), F.lit("}")).alias("value"))
-    return head.union(lines).union(tail).repartition(1).sortWithinPartitions("part", "at").select("value")
+    first = rows.agg(F.min("at").alias("first"))
+    opening = f"{_HEAD}{json.dumps(seed)}, \"config\": {config.to_json()}, {_RESULTS}"
+    one = rows.agg(F.min_by("value", "at").alias("value"))
+    head = one.select(F.explode(F.when(F.col("value").isNull(), F.array(F.lit(opening))).otherwise(F.array(F.lit(opening), F.col("value")))).alias("value"))
+    rest = rows.join(F.broadcast(first), F.col("at") > F.col("first")).select(F.concat(F.lit(","), F.col("value")).alias("value"))
+    tail = stats.select(F.concat(F.lit(_TAIL), F.to_json(F.struct("*")), F.lit("}")).alias("value"))
+    return head.union(rest).union(tail)
+
+
+def write_project(results: DataFrame, seed: str, config: AuditConfig, stats: DataFrame, path: str, file: str | None = None) -> None:
+    """Writes a project in parts to a folder, and joins them to one file if that is named."""
+    project_json(results, seed, config, stats).write.mode("overwrite").text(path)
+    if file:
+        join_parts(path, file)
+
+
+def join_parts(path: str, file: str, step: int = 1 << 20) -> None:
+    """One file of a folder's parts in their order, copied a step of bytes at a time."""
+    source, _ = store.filesystem(path)
+    target, name = store.filesystem(file)
+    with target.open_output_stream(name) as out:
+        for part in store.files_below(path, ".txt"):
+            with source.open_input_stream(part) as got:
+                while data := got.read(step):
+                    out.write(data)
 
 
 def models(catalogue: str) -> list[str]:
