@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webloom import schema
 from webloom.config import AuditConfig
 from webloom.functions import audit, text, urls
-from webloom.operators import dashboard, links, mining, tree
+from webloom.operators import dashboard, links, markup, mining, tree
 from webloom.plans.surrogate import PREDICATES, SQL, doc_pages, from_documents
 from webloom.shared import new_path, written
 from webloom.sources import export, extract, seeds, store, structured
@@ -198,12 +198,12 @@ def labels_and_formats(spark, sf_dir):
 
 @register(f"SELECT page_id, {_TITLE} AS title FROM pages")
 def page_title_extract(spark, sf_dir):
-    return extract.extract_pages(pages(spark, sf_dir), markdown=False).select("page_id", "title")
+    return markup.fields(pages(spark, sf_dir), "title").select("page_id", "title")
 
 
 @register(f"SELECT page_id, {_H1} AS h1 FROM pages")
 def page_h1_extract(spark, sf_dir):
-    return extract.extract_pages(pages(spark, sf_dir), markdown=False).select("page_id", "h1")
+    return markup.fields(pages(spark, sf_dir), "h1").select("page_id", "h1")
 
 
 #: Targets as browsers write them: the page's host without its scheme's own port, the path's other characters percent-encoded.
@@ -212,18 +212,18 @@ _LINKS = f"SELECT url AS src, {_ORIGIN} || '/' || replace(replace(url_encode(sub
 
 
 def page_links(spark, sf_dir):
-    """src, dst of all links of the pages, by the extractor."""
-    return links.edges(extract.extract_pages(pages(spark, sf_dir), markdown=False))
+    """src, dst of all links of the pages."""
+    return links.edges(markup.fields(pages(spark, sf_dir), "outlinks"))
 
 
 @register("SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href=')) AS links FROM pages")
 def page_link_extract(spark, sf_dir):
-    return extract.extract_pages(pages(spark, sf_dir), markdown=False).select("page_id", F.size("outlinks").cast("long").alias("links"))
+    return markup.fields(pages(spark, sf_dir), "outlinks").select("page_id", F.size("outlinks").cast("long").alias("links"))
 
 
 @register(r"SELECT page_id, len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>', ''), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g'), '\S+')) AS words FROM pages")
 def page_word_count(spark, sf_dir):
-    return extract.extract_pages(pages(spark, sf_dir), markdown=False).select("page_id", F.col("word_count").alias("words"))
+    return markup.fields(pages(spark, sf_dir), "word_count").select("page_id", F.col("word_count").alias("words"))
 
 
 _WORDS = r"len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>', ''), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g'), '\S+'))"
@@ -250,9 +250,61 @@ def pages_extracted_dom(spark, sf_dir):
     return rows.select("page_id", "url", "title", "meta_desc", "canonical", "noindex", "h1", "h1_count", "h2", "h2_count", "word_count", F.size("images").alias("images"), F.array_join("outlinks", " ").alias("outlinks"), "og_title", "twitter_card", F.size("schema_json_ld").alias("schemas"), F.array_join("schema_errors", "; ").alias("schema_errors"), F.size("headings").alias("headings"))
 
 
+@register(ORACLES["pages_extracted_dom"].replace("application/ld.json|itemscope", "application/ld.json"))
+def page_fields(spark, sf_dir):
+    """The fields of every page by column functions alone, in the stage that reads the pages."""
+    rows = markup.fields(pages(spark, sf_dir), "title", "meta_desc", "canonical", "noindex", "h1", "h1_count", "h2", "h2_count", "word_count", "images", "outlinks", "og_title", "twitter_card", "schema_json_ld", "schema_errors", "headings")
+    return rows.select("page_id", "url", "title", "meta_desc", "canonical", "noindex", "h1", "h1_count", "h2", "h2_count", "word_count", F.size("images").alias("images"), F.array_join("outlinks", " ").alias("outlinks"), "og_title", "twitter_card", F.size("schema_json_ld").alias("schemas"), F.array_join("schema_errors", "; ").alias("schema_errors"), F.size("headings").alias("headings"))
+
+
+#: Kinds of links: how one is written on a page, and what it means there (o: origin, p: path, d: its folder, q: query).
+_REFERENCES = {
+    "'next page' || page_id": "o || d || 'next%20page' || page_id",
+    "'../up/./x?y=' || page_id || '#z'": "o || regexp_replace(d, '[^/]+/$', '') || 'up/x?y=' || page_id || '#z'",
+    "'?q=a b'": "o || p || '?q=a%20b'",
+    "'#top' || page_id": "o || p || q || '#top' || page_id",
+    "'//Cdn.Example:443/' || page_id": "split_part(url, ':', 1) || '://cdn.example' || CASE WHEN starts_with(url, 'http:') THEN ':443' ELSE '' END || '/' || page_id",
+    "'mailto:a' || page_id || '@b.example'": "'mailto:a' || page_id || '@b.example'",
+    "'HTTPS://Other.EXAMPLE:443/x/../y'": "'https://other.example/y'",
+    "'http://h:99999/' || page_id": "NULL",
+    "'/stra\u00dfe'": "o || '/stra%C3%9Fe'",
+    "''": "o || p || q",
+}
+
+
+@register(
+    f"WITH b AS (SELECT page_id, url, o, regexp_replace(p, '^$', '/') AS p, regexp_replace(regexp_replace(p, '^$', '/'), '[^/]*$', '') AS d, q FROM (SELECT page_id, url, {_ORIGIN} AS o, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p, regexp_extract(url, '^[^?#]*([?][^#]*)', 1) AS q FROM pages)) "
+    + " UNION ALL ".join(f"SELECT page_id, {r} AS reference, {t} AS target FROM b" for r, t in _REFERENCES.items())
+)
+def url_resolution(spark, sf_dir):
+    """Links of every form, seen from every page."""
+    rows = pages(spark, sf_dir).select("page_id", "url", F.explode(F.array(*(F.expr(r) for r in _REFERENCES))).alias("reference"))
+    return rows.select("page_id", "reference", urls.resolved(F.col("url"), F.col("reference")).alias("target"))
+
+
+#: JSON-LD blocks of the documents by doc_id, and what is wrong with each.
+_BLOCKS = {
+    """'{"@context": "https://schema.org", "@type": "Article", "id": ' || doc_id || '}'""": "''",
+    """'{"@context": "http://schema.org/", "id": ' || doc_id || '}'""": f"'{structured.NO_TYPE}'".replace("'@type'", "''@type''"),
+    """'{"@context": "https://x.example/' || doc_id || '", "@graph": null}'""": "'" + structured.OTHER_CONTEXT.replace("'", "''").replace("{}", "https://x.example/' || doc_id || '") + "'",
+    """'[' || doc_id || ', {"@type": "Thing"}, {"@context": {}, "name": "a"}]'""": f"'{structured.BAD_ITEM}; " + "; ".join((structured.NO_CONTEXT, structured.NO_CONTEXT, structured.NO_TYPE)).replace("'", "''") + "'",
+    "CAST(doc_id AS STRING)": f"'{structured.BAD_ROOT}'",
+    """'{"@context": ' || doc_id""": "'" + structured.NO_JSON.format("this is not JSON") + "'",
+    """'[]'""": "''",
+}
+
+
+@register("SELECT doc_id, CASE " + " ".join(f"WHEN doc_id % {len(_BLOCKS)} = {k} THEN {said}" for k, said in enumerate(_BLOCKS.values())) + " END AS errors FROM documents WHERE doc_id IS NOT NULL")
+def jsonld_checks(spark, sf_dir):
+    """JSON-LD checks over variants, in the stage that reads the blocks."""
+    rows = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    block = F.expr("CASE " + " ".join(f"WHEN doc_id % {len(_BLOCKS)} = {k} THEN {b}" for k, b in enumerate(_BLOCKS)) + " END")
+    return rows.select("doc_id", block.alias("block")).select("doc_id", F.array_join(markup.checks(F.col("block")), "; ").alias("errors"))
+
+
 @register(f"SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[ >]')) > 1 AS several FROM pages")
 def duplicate_h1_flag(spark, sf_dir):
-    return extract.extract_pages(pages(spark, sf_dir), markdown=False).select("page_id", audit.duplicate_h1_flag().alias("several"))
+    return markup.fields(pages(spark, sf_dir), "headings").select("page_id", audit.duplicate_h1_flag().alias("several"))
 
 
 #: Markdown of the generated pages: a heading, then paragraphs, of which some open a <b> that nothing closes. It goes on in all
