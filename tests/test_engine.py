@@ -203,6 +203,25 @@ def test_opportunities(spark):
     assert "<b>" not in export.opportunities_table(got).agg(F.max("Context")).first()[0]
 
 
+def test_link_opportunities_move_no_pairs(spark, monkeypatch):
+    """Classes of targets, split into blocks and parts, give the same pairs; no aggregate has the targets of sources as keys."""
+    base = "https://shared.example/"
+    lines = ["green copper kettles", "green copper kettles for tea", "oak tables"]
+    rows = [{"url": base + str(k), "title": lines[k % 3], "h1": lines[k % 2] if k % 5 else None, "markdown": f"Some {lines[(k + 1) % 3]} and item{k % 4}", "outlinks": [base + str((k + 7) % 30), base + str((k + 3) % 30)], "status_code": 404 if k % 11 == 5 else 200} for k in range(30)]
+    want = brute_opportunities([r for r in rows if r["status_code"] == 200])
+    assert len(want) > 300
+    for block, part, parts in ((1000, 50_000, 32), (3, 2, 3)):
+        monkeypatch.setattr(mining, "BLOCK", block)
+        monkeypatch.setattr(mining, "PART", part)
+        monkeypatch.setattr(mining, "PARTS", parts)
+        got = mining.link_opportunities(crawl_rows(spark, *rows), context=False)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not any("Aggregate" in line and "target_url" in line for line in plan.splitlines())
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    assert {tuple(r)[:3] for r in mining.link_opportunities(crawl_rows(spark, *rows)).collect()} == want
+
+
 def test_ngrams(spark):
     df = crawl_rows(spark, {"title": "The red fox", "h1": "Red fox", "headings": [(1, "Red fox")]}, {"title": "a b cd", "status_code": 500})
     got = {(r.phrase, r.length): r.frequency for r in mining.ngrams(df).collect()}
