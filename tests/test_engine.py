@@ -222,6 +222,28 @@ def test_link_opportunities_move_no_pairs(spark, monkeypatch):
     assert {tuple(r)[:3] for r in mining.link_opportunities(crawl_rows(spark, *rows)).collect()} == want
 
 
+def test_snippets_are_cut_from_what_is_around_their_words(spark):
+    """Each hit has the number of its first word, so that no text is searched for each keyword; all snippets equal those of a search."""
+    base = "https://snippets.example/"
+    texts = [
+        "green copper kettles", "  --green copper kettles", "x " * 50 + "green  copper kettles, green copper kettles" + " y" * 50, "\u0130stanbul green copper kettles \u0130 oak tables" + "." * 60,
+        "Oak\ntables; oak tables\U0001f600green copper kettles" + " " * 90 + "end <a> & b", "stra\u00dfe \u03a3\u0391\u03a3 oak tables green", "\u0397 \u00e9t\u00e9 \u0394\u039f\u03a3 oak tables \u24b6b", "", "OAK TABLES" + "-" * 40 + "GREEN COPPER KETTLES",
+    ]
+    rows = [{"url": base + str(k), "title": ["green copper kettles", "oak tables", None][k % 3], "markdown": t, "outlinks": []} for k, t in enumerate(texts)]
+    pages = crawl_rows(spark, *rows)
+    bodies = pages.select("url", mining.source_text().alias("body"))
+    sources = bodies.select("url", text.pieces(F.col("body")).alias("pieces"), text.tokens(F.col("body")).alias("words"))
+    assert sources.join(bodies, "url").where("array_join(pieces, '') <> body").isEmpty()
+    hits = mining.named_keywords(sources, mining.candidate_keywords(pages).select("keyword")).collect()
+    assert {r.at == 0 for r in hits if r.url == base + "3"} == {True} and all(r.at > 0 for r in hits if r.url != base + "3") and len(hits) > 15
+    got = mining.link_opportunities(pages)
+    place = text.whole_word_at(F.col("body"), F.col("keyword"))
+    want = got.join(bodies, F.col("source_url") == F.col("url")).select("source_url", "target_url", "keyword", "context", text.snippet(F.col("body"), place, F.char_length("keyword")).alias("searched"))
+    found = want.collect()
+    assert len(found) > 20 and all(r.context == r.searched for r in found)
+    assert {tuple(r)[:3] for r in found} == brute_opportunities(rows)
+
+
 def test_ngrams(spark):
     df = crawl_rows(spark, {"title": "The red fox", "h1": "Red fox", "headings": [(1, "Red fox")]}, {"title": "a b cd", "status_code": 500})
     got = {(r.phrase, r.length): r.frequency for r in mining.ngrams(df).collect()}
