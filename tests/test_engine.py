@@ -533,6 +533,19 @@ def test_inlinks_of_two_streams(spark, tmp_path):
     assert got == {"t": (2, ["a", "c"]), "w": (0, [])}
 
 
+def test_inlinks_of_two_streams_need_no_python(spark, tmp_path):
+    """Links and pages meet in a join of streams; a page with many sources, copies and nulls are told as before, whatever the order."""
+    pages = [[("p0",), (None,)], [("p1",), ("p0",)], [("hot",), ("p2",)]]
+    edges = [[(f"s{k}", "hot") for k in range(300)] + [("p0", "p1"), (None, "p1")], [(f"s{k}", "hot") for k in range(150, 450)] + [("p0", None), ("p1", "p1")], [("p2", "p0"), ("x", "none"), ("p2", "p0")]]
+    streams = parts_of(spark, tmp_path / "pages", pages, "url string"), parts_of(spark, tmp_path / "edges", edges, "src string, dst string")
+    stream = events.inlinks_stream(*streams)
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "Join Inner" in plan
+    told = [tuple(r) for r in events.drain(stream).collect()]
+    want = {("p0", None), ("p1", None), ("p2", None), ("hot", None), ("p1", "p0"), ("p1", "p1"), ("p0", "p2")} | {("hot", f"s{k}") for k in range(450)}
+    assert len(told) == len(want) and set(told) == want
+
+
 def test_audits_are_recounted_by_batch(spark, sf, tmp_path):
     """After each micro-batch the counts are those of all pages so far, also where a stream goes on from its state."""
     from webloom.plans.surrogate import doc_pages
