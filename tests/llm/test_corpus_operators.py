@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,6 +73,25 @@ def test_substrings_of_crowds(spark, monkeypatch):
     assert left[(None, "", 0)] == 2000 and left[(5, short, 9)] == 300 and left[(6, "", 0)] == 15 and left[(7, "head end", 8)] == 1 and left[(8, None, 9)] == 40 and left[(9, "", 9)] == 30 and left[(5, "", 0)] == 1
 
 
+def test_substrings_hold_little_of_a_group(monkeypatch):
+    texts = pa.table({"_wl_text": [" ".join(f"w{(i * j) % 997}" for j in range(400)) for i in range(1500)]})
+    K.powers(1 << 16), K.powers(1 << 16, 1)
+    sizes = substring_dedup.lengths(35)
+    none = pa.table({"level": pa.array([], pa.int32()), "hashes": pa.array([], pa.binary())})
+    level = substring_dedup.Level(sizes, [np.zeros(0, kind) for kind in substring_dedup._kinds(sizes)])
+    tracemalloc.start()
+    for _, _, data, starts, ends, word_offsets in substring_dedup.Texts(texts.column("_wl_text")):
+        assert not level.candidates(K.span_hashes(data, starts, ends), word_offsets)[0].any()
+    assert sum(1 for _ in substring_dedup._cut(texts, none, sizes)) == 1500
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 2_000_000 and peak < 36_000_000
+    given_back = []
+    monkeypatch.setattr(K, "release", lambda: given_back.append(1))
+    assert substring_dedup._one_group(lambda a: a)(1) == 1 and substring_dedup._one_group(lambda a, b: a + b)(1, 2) == 3
+    assert len(given_back) == 2
+
+
 def test_substrings_removed_text(spark):
     passage = " ".join(f"w{k}" for k in range(12))
     rows = [(1, f"first\n{passage} end  of", 9, "a"), (2, f"{passage} second", 9, "b"), (3, "kept  as\nit is", 14, None), (4, None, None, "c")]

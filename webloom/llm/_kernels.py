@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes of text that one vectorised step holds; a single longer text is a step of its own.
-STEP_BYTES = 1 << 20
+#: Bytes of text that one vectorised step holds; a single longer text is a step of its own. Arrays of a step have 8 bytes for each.
+STEP_BYTES = 1 << 18
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -154,6 +154,13 @@ def batch_rows(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
 
+def release() -> None:
+    """Gives memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def released(run):
     """A function over batches that gives memory back to the system at its end: Python workers live on, idle, in later stages."""
 
@@ -161,9 +168,7 @@ def released(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            release()
 
     return whole
 

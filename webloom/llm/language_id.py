@@ -215,7 +215,7 @@ def _predictor(spark, model: Model):
         begin = size = 0
         for i, t in enumerate(texts):
             size += len(t or "")
-            if size >= K.STEP_BYTES or i + 1 == len(texts):
+            if size >= 4 * K.STEP_BYTES or i + 1 == len(texts):
                 some = [x or "" for x in texts[begin : i + 1]]
                 got = model.predict(some) if model.languages else ([UNKNOWN] * len(some), np.zeros(len(some)), np.ones(len(some), bool))
                 names += got[0]

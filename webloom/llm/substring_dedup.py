@@ -25,6 +25,7 @@ empty table gives no rows; other columns, whatever their names, are passed by `r
 from __future__ import annotations
 
 import hashlib
+import inspect
 
 import numpy as np
 import pyarrow as pa
@@ -265,8 +266,8 @@ def _levels(docs: DataFrame, sizes: list[int], buckets: int) -> DataFrame:
 
     answers, groups = None, docs.groupBy("grp")
     for level, kind in enumerate(kinds):
-        sent = groups.applyInArrow(counter(0), MESSAGE) if answers is None else groups.cogroup(answers.groupBy("grp")).applyInArrow(counter(level), MESSAGE)
-        told = sent.groupBy("bucket").applyInArrow(_answers(kind), ANSWER).select("grp", F.lit(level).alias("level"), "hashes")
+        sent = groups.applyInArrow(_one_group(counter(0)), MESSAGE) if answers is None else groups.cogroup(answers.groupBy("grp")).applyInArrow(_one_group(counter(level)), MESSAGE)
+        told = sent.groupBy("bucket").applyInArrow(_one_group(_answers(kind)), ANSWER).select("grp", F.lit(level).alias("level"), "hashes")
         answers = told if answers is None else answers.unionByName(told)
     return answers
 
@@ -294,6 +295,24 @@ def _cut(texts, known, sizes: list[int]):
             yield b - a, lost, runs, None
 
 
+def _one_group(run):
+    """run on groups of tables; a worker has one group's memory at a time, and none once it is idle."""
+
+    def first(table):
+        try:
+            return run(table)
+        finally:
+            K.release()
+
+    def both(table, other):
+        try:
+            return run(table, other)
+        finally:
+            K.release()
+
+    return both if len(inspect.signature(run).parameters) == 2 else first
+
+
 def _grouped(docs: DataFrame, columns: list) -> tuple[DataFrame, int]:
     """columns, with the text as _wl_text and the group, and how many buckets of hashes there are."""
     units = -(-input_bytes(docs) // GROUP_BYTES)
@@ -343,7 +362,7 @@ def judge(docs: DataFrame, window: int = 35, levels: int = LEVELS) -> DataFrame:
         own = {"doc_id": texts.column("doc_id"), "spare": texts.column("_wl_spare")} if kept else {"doc_id": pa.array([], pa.int64()), "spare": pa.array([], pa.bool_())}
         return pa.table(own | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}).select(["doc_id", "n_words", "n_removed", "kept_sha256", "spare"])
 
-    out = grouped.groupBy("grp").cogroup(_levels(grouped, sizes, buckets).groupBy("grp")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, spare boolean").where("not spare").drop("spare")
+    out = grouped.groupBy("grp").cogroup(_levels(grouped, sizes, buckets).groupBy("grp")).applyInArrow(_one_group(run), "doc_id long, n_words long, n_removed long, kept_sha256 string, spare boolean").where("not spare").drop("spare")
     if crowd is None:
         return out
     n, all_lost = _lost(window)
@@ -379,7 +398,7 @@ def remove(docs: DataFrame, window: int = 35, levels: int = LEVELS) -> DataFrame
                 columns.append(texts.column(f"_wl_{i}"))
         return pa.table(columns, names=schema.names).filter(pc.invert(spare))
 
-    out = grouped.groupBy("grp").cogroup(_levels(grouped, sizes, buckets).groupBy("grp")).applyInArrow(run, schema)
+    out = grouped.groupBy("grp").cogroup(_levels(grouped, sizes, buckets).groupBy("grp")).applyInArrow(_one_group(run), schema)
     if crowd is None:
         return out
     _, all_lost = _lost(window)
