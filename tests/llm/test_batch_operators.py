@@ -367,3 +367,20 @@ def test_buckets_of_equal_lengths(spark, sf, tmp_path):
     for length, n in want.items():
         rows = packing.read(spark, str(tmp_path / "packed"), length).collect()
         assert len(rows) == n and all(len(r.ids) == 4 * length for r in rows)
+
+
+def test_new_pieces_are_encoded_together(monkeypatch):
+    texts = ["thonthea éaiieraux 12½ 日本 'll \x00\xff~\n\n\t x" * 3, "ezcoas oforatou tioued" * 40, "", "<s></s>"]
+    e = bpe.Encoder(bpe.default_path())
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def found():
+        e.forget()
+        ids, offsets = e.encode(texts)
+        return [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+
+    singly, calls = e.learn_singly, []
+    monkeypatch.setattr(e, "learn_singly", lambda pieces: calls.append(len(pieces)) or singly(pieces))
+    assert found() == want and not calls
+    e.letters_of[:] += 1  # a vocabulary that names letters in another way
+    assert found() == want and calls

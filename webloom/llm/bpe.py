@@ -20,6 +20,8 @@ from ._kernels import U64, mix, powers
 
 #: Pieces whose ids one Python worker keeps; the table starts anew beyond it.
 KEEP = 600_000
+#: Pieces that the library encodes as one text.
+TOGETHER = 50
 _L, _N, _S, _O = 1, 2, 3, 0
 #: Code points that \s means in the library's pattern.
 WHITE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -45,6 +47,12 @@ def classes() -> np.ndarray:
     return out
 
 
+@functools.cache
+def point_values() -> np.ndarray:
+    """What every code point adds to the hash of its piece."""
+    return mix(np.arange(sys.maxunicode + 1, dtype=U64) + U64(0x2545F4914F6CDD1D))
+
+
 def piece_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where pieces of 's|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?[^\\sLN]+|\\s+(?!\\S)|\\s+ begin, in a batch of texts."""
     n = len(points)
@@ -150,7 +158,7 @@ class PieceTable:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         starts = self.cut(points, offsets)
         ends = np.append(starts[1:], len(points))
-        wide = mix(points.astype(U64) + U64(0x2545F4914F6CDD1D))
+        wide = point_values()[points]
         key = []
         for which in (0, 1):
             up, down = powers(len(points), which)
@@ -184,6 +192,7 @@ class Encoder(PieceTable):
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -196,12 +205,34 @@ class Encoder(PieceTable):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = iter(range(256, 512))
         self.letters = [chr(b) if b in set(plain) else chr(next(odd)) for b in range(256)]
+        # Pieces are encoded many at once by the same model, which is told where they end by a space: no byte's letter is one.
+        self.split = Tokenizer(self.model)
+        self.split.pre_tokenizer = WhitespaceSplit()
+        self.symbols = np.array([*map(ord, self.letters[:255]), 0x20], np.uint32)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.letters_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.letters_of[list(vocabulary.values())] = [*map(len, vocabulary)]
         self.forget()
 
     def cut(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return piece_starts(points, offsets)
 
     def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # A lone surrogate is in no text, and 0xFF in no UTF-8.
+        raw = np.frombuffer("\ud800".join(pieces).encode("utf-8", "surrogatepass").replace(b"\xed\xa0\x80", b"\xff"), np.uint8)
+        gaps = np.append(np.flatnonzero(raw == 0xFF), len(raw))
+        letters = self.symbols[raw].tobytes().decode("utf-32-le")
+        at = [0, *gaps[TOGETHER - 1 : -1 : TOGETHER].tolist(), len(raw)]
+        got = self.split.encode_batch_fast([letters[a:b] for a, b in zip(at, at[1:])], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in got])
+        ends, after = gaps - np.arange(len(gaps)), np.cumsum(self.letters_of[ids])
+        upto = np.searchsorted(after, ends) + 1
+        # Tokens must end where pieces end, which they don't if the model leaves letters out or names them otherwise.
+        if len(ids) and upto[-1] == len(ids) and np.array_equal(after[upto - 1], ends):
+            return ids, np.diff(upto, prepend=0).astype(np.int32)
+        return self.learn_singly(pieces)
+
+    def learn_singly(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         letters, tokenize = self.letters, self.model.tokenize
         got = [[t.id for t in tokenize("".join([letters[b] for b in x.encode()]))] for x in pieces]
         sizes = np.fromiter(map(len, got), np.int32, len(got))
