@@ -244,6 +244,27 @@ def test_snippets_are_cut_from_what_is_around_their_words(spark):
     assert {tuple(r)[:3] for r in found} == brute_opportunities(rows)
 
 
+def test_pages_that_ask_for_keywords_stay_where_they_are(spark, monkeypatch):
+    """Hits come from a filter of the keywords: no page's words are dealt anew, and false alarms change nothing, however small the filter is."""
+    base = "https://filter.example/"
+    lines = ["green copper kettles", "green copper kettles for tea", "oak tables", "fine oak tables"]
+    rows = [{"url": base + str(k), "title": lines[k % 4], "h1": lines[k % 3] if k % 5 else None, "markdown": f"Some {lines[(k + 1) % 4]} {'\u0130' * (k % 2)} and item{k % 4}, oak\ntables of the green  copper", "outlinks": [base + str((k + 7) % 20)]} for k in range(20)]
+    want, plans, bucketed = brute_opportunities(rows), [], mining.Scratch.bucketed
+
+    def seen(self, df, kind, *args, **options):
+        if kind == "hits":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return bucketed(self, df, kind, *args, **options)
+
+    monkeypatch.setattr(mining.Scratch, "bucketed", seen)
+    for bits, most in ((16, 1 << 21), (0, 1 << 21), (16, 1)):
+        monkeypatch.setattr(mining, "BITS", bits)
+        monkeypatch.setattr(mining, "MOST_NUMBERS", most)
+        found = [tuple(r)[:3] for r in mining.link_opportunities(crawl_rows(spark, *rows)).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    assert "Exchange hashpartitioning" not in plans[0] and "Exchange hashpartitioning" not in plans[1]
+
+
 def test_ngrams(spark):
     df = crawl_rows(spark, {"title": "The red fox", "h1": "Red fox", "headings": [(1, "Red fox")]}, {"title": "a b cd", "status_code": 500})
     got = {(r.phrase, r.length): r.frequency for r in mining.ngrams(df).collect()}
