@@ -265,6 +265,18 @@ def test_pages_that_ask_for_keywords_stay_where_they_are(spark, monkeypatch):
     assert "Exchange hashpartitioning" not in plans[0] and "Exchange hashpartitioning" not in plans[1]
 
 
+def test_parts_of_link_opportunities_are_tasks_of_their_own(spark, monkeypatch):
+    """A task that goes through all parts of a bucket holds the tables of all of them until it ends."""
+    base = "https://parts.example/"
+    rows = [{"url": base + str(k), "title": f"copper kettles number{k}", "markdown": f"Some copper kettles number{(k + 1) % 12}", "outlinks": []} for k in range(12)]
+    monkeypatch.setattr(mining, "PART", 2)
+    monkeypatch.setattr(mining, "PARTS", 3)
+    for context in (False, True):
+        got = mining.link_opportunities(crawl_rows(spark, *rows), context=context)
+        assert got.rdd.getNumPartitions() == 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert {tuple(r)[:3] for r in got.collect()} == brute_opportunities(rows)
+
+
 def test_ngrams(spark):
     df = crawl_rows(spark, {"title": "The red fox", "h1": "Red fox", "headings": [(1, "Red fox")]}, {"title": "a b cd", "status_code": 500})
     got = {(r.phrase, r.length): r.frequency for r in mining.ngrams(df).collect()}
